@@ -61,6 +61,14 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         first = last
 
 
+def span_hashes(values: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Polynomial hashes (modulo 2^64, then mixed with the length) of values[at[i]:to[i]]."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _power("up", _MULT, n), out=sums[1:])
+    return mix((sums[to] - sums[at]) * _power("down", _INV, n)[at] + (to - at).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Return (hash of each word, offsets of each document's words)."""
     n = len(data)
@@ -74,10 +82,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     at, to = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _power("up", _MULT, n), out=sums[1:])
-    words = mix((sums[to] - sums[at]) * _power("down", _INV, n)[at] + (to - at).astype(np.uint64))
-    return words, np.searchsorted(at, offsets)
+    return span_hashes(_BYTE_VALUES[data], at, to), np.searchsorted(at, offsets)
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:

@@ -5,23 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, digest, langid, mixing, quality, sharding
 from .neardup import near_duplicates
 
 
+def vocab_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public byte-level vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocab_path()
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, keep=("doc_id",))
+    back = bpe.decode(ids, path, text_col="decoded", keep=("doc_id", "n_tokens", "ids"))
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    groups = digest.fingerprints(docs).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
+    return digest.edited_fingerprints(docs).join(groups, ["doc_id", "fingerprint"], "left")
+
+
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    weighted = docs.join(labels, "doc_id", "left").withColumn("weight", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0))
+    return mixing.mix(weighted, weight_col="weight")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    out = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.hierarchical_quality(docs, model)
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(_table(spark, sf_dir, "documents"), shards=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_neardup": op4_neardup,
-    }
+    found = (op2_bpe, op3_fingerprint, op4_neardup, op6_mixing, op7_language, op9_quality, op10_shards)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.ORACLE}
