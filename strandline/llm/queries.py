@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, langid, mixing, quality, sharding
+from . import audio, bpe, digest, html, langid, mixing, quality, sharding, warc
 from .neardup import near_duplicates
 
 
@@ -22,6 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes sound as 8-bit samples; copies and edited copies align."""
+    sound = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("audio"))
+    return audio.recordings(sound, params=audio.TEXT_AS_AUDIO)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocab_path()
     ids = bpe.encode(_table(spark, sf_dir, "documents"), path, keep=("doc_id",))
@@ -39,6 +45,10 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(_table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -53,6 +63,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(_table(spark, sf_dir, "pages")).where("kind = 'record'")
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -64,7 +80,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_bpe, op3_fingerprint, op4_neardup, op6_mixing, op7_language, op9_quality, op10_shards)
+    found = (op1_chroma, op2_bpe, op3_fingerprint, op4_neardup, op5_html, op6_mixing, op7_language, op8_warc, op9_quality, op10_shards)
     return {f.__name__: f for f in found}
 
 
