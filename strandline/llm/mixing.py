@@ -29,6 +29,7 @@ def targets(sizes: DataFrame, source: str, size: str, cap: int = CAP, cycle: int
     """(source, size, target) of one row per source: shares of all sizes by weights 1 .. ``cycle``, repeating in order of the source, null last.
 
     Filled up to cap * size in order of cap * size / weight: a source stops there if its share of what is left is more.
+    The share rises over the sources that stop and falls after them, so the greatest that holds is the level of the others.
     """
     rank = F.row_number().over(Window.orderBy(F.col(source).isNull(), F.col(source)))
     s = sizes.withColumn("__w", (rank - 1) % cycle + 1).withColumn("__full", F.col(size) * cap)
@@ -37,7 +38,7 @@ def targets(sizes: DataFrame, source: str, size: str, cap: int = CAP, cycle: int
     left = F.sum(size).over(everything) - F.coalesce(F.sum("__full").over(before), F.lit(0))
     weight = F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0))
     s = s.withColumn("__share", left / weight)
-    level = F.min(F.when(F.col("__full") / F.col("__w") >= F.col("__share"), F.col("__share"))).over(everything)
+    level = F.max(F.when(F.col("__full") / F.col("__w") >= F.col("__share"), F.col("__share"))).over(everything)
     return s.select(source, size, F.least(F.col("__full").cast("double"), F.col("__w") * level).alias("target"))
 
 
@@ -97,7 +98,7 @@ f as (
   select *, {CAP} * source_size as top,
     (sum(source_size) over () - coalesce(sum({CAP} * source_size) over o, 0))::double / (sum(w) over () - coalesce(sum(w) over o, 0))::double as share
   from s window o as (order by {CAP} * source_size::double / w, source is null, source rows between unbounded preceding and 1 preceding)),
-g as (select source, source_size, least(top::double, w * min(case when top::double / w >= share then share end) over ()) as target from f),
+g as (select source, source_size, least(top::double, w * max(case when top::double / w >= share then share end) over ()) as target from f),
 h as (
   select *, case when source_size > 0 then round(target)::bigint // source_size else 0 end as epochs from g),
 p as (
