@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._work import settled
 
 #: Nodes of a list that one task holds at a time from either side.
-BLOCK = 512
+BLOCK = 2048
 #: Another star round follows while this share of the compared pairs were links.
 GOING = 0.1
 

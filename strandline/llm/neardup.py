@@ -28,7 +28,7 @@ from ._links import link_components
 from ._work import settled
 from ._words import mix, shingle_sets, text_slices, word_hashes
 
-_FULL = np.iinfo(np.int64).max
+_FULL = np.iinfo(np.int32).max
 
 
 @lru_cache(4096)
@@ -46,8 +46,12 @@ def run_lengths(n: int, percent: int) -> tuple[int, ...]:
     return tuple(sorted(found))
 
 
+def _lengths(n: int, percent: int, k: int) -> tuple[int, ...]:
+    return run_lengths(n if n <= k else 100 * k, percent)
+
+
 def _run_keys(sketch: np.ndarray, length: int) -> np.ndarray:
-    s = sketch.view(np.uint64)
+    s = sketch.astype(np.int64).view(np.uint64)
     if len(s) < length:
         return np.zeros(0, np.int64)
     h = s[: len(s) - length + 1] + np.uint64(length)
@@ -62,10 +66,10 @@ def _set_digest(values: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     ends = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(x) for x in arrays], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind)))
 
 
 def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
@@ -74,7 +78,10 @@ def _sets(batch: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(id, n, node, sketch) per row; node is the digest of the set, null when it is empty."""
+    """(id, n, node, sketch) per row; node is the digest of the set, null when it is empty.
+
+    A sketch holds the upper halves of the k smallest hashes, in order.
+    """
 
     def run(batches):
         for batch in batches:
@@ -82,16 +89,16 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int) -> D
             for s in _sets(batch, "text", width):
                 n.append(len(s))
                 node.append(_set_digest(s) if len(s) else None)
-                low.append(s[:k])
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(low)], ["id", "n", "node", "sketch"])
+                low.append((s[:k] >> 32).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(low, np.int32)], ["id", "n", "node", "sketch"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, node long, sketch array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, node long, sketch array<int>")
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, k: int) -> np.ndarray:
     """Which pairs of padded sketches [pairs, k] can reach the threshold.
 
-    Pairs whose sets both lie whole in their sketches are decided exactly.
+    Pairs whose sets both lie whole in their sketches are decided by these alone.
     """
     s = np.sort(np.concatenate([a, b], axis=1), axis=1)
     same = (s[:, 1:] == s[:, :-1]) & (s[:, 1:] != _FULL)
@@ -105,7 +112,7 @@ def union_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
 
 
 def _padded(column: pa.Array, k: int) -> np.ndarray:
-    out = np.full((len(column), k), _FULL, np.int64)
+    out = np.full((len(column), k), _FULL, np.int32)
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     out[np.arange(k)[None, :] < sizes[:, None]] = column.flatten().to_numpy()
     return out
@@ -126,20 +133,42 @@ def _estimated(pairs: DataFrame, table: DataFrame, percent: int, k: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _row_keys(sketch: np.ndarray, n: np.ndarray, percent: int, k: int) -> np.ndarray:
+    """Keys of each padded sketch's runs [rows, any], padded with distinct fillers."""
+    found = [np.concatenate([_run_keys(row[: min(size, k)], x) for x in _lengths(size, percent, k)] or [np.zeros(0, np.int64)]) for row, size in zip(sketch, n.tolist())]
+    out = np.tile(np.arange(len(found), dtype=np.int64)[:, None] - (1 << 62), (1, max((len(x) for x in found), default=0)))
+    for i, x in enumerate(found):
+        out[i, : len(x)] = x
+    return out
+
+
 def _block_pairs(rows: DataFrame, table: DataFrame, percent: int, k: int) -> DataFrame:
-    """Candidate pairs of each block pair: groups arrive whole, one after the other, of 2 BLOCK rows at most (on average)."""
-
-    def emit(label, side, node, n, sk):
-        i, j = np.meshgrid(np.flatnonzero(side <= 1), np.flatnonzero(side != 1), indexing="ij")
-        i, j = i.ravel(), j.ravel()
-        ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (i < j)) & ((side[i] == 0) == (side[j] == 0))
-        i, j = i[ok], j[ok]
-        for at in range(0, len(i), 8192):
-            p, q = i[at : at + 8192], j[at : at + 8192]
-            good = union_estimate(sk[p], sk[q], n[p], n[q], percent, k)
-            x, y = node[p[good]], node[q[good]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    """Candidate pairs of each block pair: groups arrive whole, one after the other, of 2 BLOCK rows at most (on average).
+
+    Of the lists that a pair has in common, only that with the least key emits it.
+    """
+
+    def emit(key, label, side, node, n, sk):
+        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+        keys = None
+        per = max(1, 100_000 // max(1, len(right)))
+        for at in range(0, len(left), per):
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + per], right, indexing="ij"))
+            ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((side[i] != side[j]) | (i < j)) & ((side[i] == 0) == (side[j] == 0))
+            i, j = i[ok], j[ok]
+            for b in range(0, len(i), 8192):
+                p, q = i[b : b + 8192], j[b : b + 8192]
+                good = union_estimate(sk[p], sk[q], n[p], n[q], percent, k)
+                p, q = p[good], q[good]
+                if not len(p):
+                    continue
+                keys = _row_keys(sk, n, percent, k) if keys is None else keys
+                both = np.sort(np.concatenate([keys[p], keys[q]], axis=1), axis=1)
+                first = np.argmax((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= -(1 << 62) + len(keys)) | (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < -(1 << 62)), axis=1)
+                mine = both[np.arange(len(p)), first] == key[0]
+                x, y = node[p[mine]], node[q[mine]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches):
         held = None
@@ -151,10 +180,10 @@ def _block_pairs(rows: DataFrame, table: DataFrame, percent: int, k: int) -> Dat
             cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
             starts = [0, *cuts.tolist()]
             for s, e in zip(starts[:-1], starts[1:]):
-                yield from emit(*(c[s:e] for c in cols[2:]))
+                yield from emit(*(c[s:e] for c in cols[1:]))
             held = [c[starts[-1] :] for c in cols]
         if held:
-            yield from emit(*held[2:])
+            yield from emit(*held[1:])
 
     joined = rows.join(table.select("node", "n", "sketch"), "node").repartition("grp").sortWithinPartitions("grp", "key")
     return joined.select("grp", "key", "label", "side", "node", "n", "sketch").mapInArrow(run, "a long, b long")
@@ -185,7 +214,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ends = batch.column("sketch").offsets.to_numpy()
             flat = batch.column("sketch").values.to_numpy()
             for x, size, s, e in zip(batch.column("node").to_pylist(), sizes.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-                for length in run_lengths(size, percent) if size <= k else run_lengths(k * 100, percent):
+                for length in _lengths(size, percent, k):
                     found.append(_run_keys(flat[s:e], length))
                     node.append(np.full(len(found[-1]), x, np.int64))
             if found:
