@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from ._words import mix, span_hashes, text_slices
 
 #: Distinct pre-tokens that a Python worker remembers.
-MEMO = 1_500_000
+MEMO = 600_000
+#: Pairs of tokens whose compatibility it remembers.
+PAIRS = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -81,21 +83,49 @@ def piece_starts(cp: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
-class Bpe:
-    """Tables of one byte-level BPE vocabulary."""
+class Tokens:
+    """The bytes of each token of a byte-level BPE vocabulary, by an offset table: all that decoding needs."""
 
     def __init__(self, spec: str):
-        import ahocorasick
+        self._load(json.loads(spec))
 
-        model = json.loads(spec)
+    def _load(self, model: dict) -> dict[bytes, int]:
         byte_of = _byte_letters()
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         raw = lambda token: bytes(byte_of[c] for c in token)
         ids = {raw(t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
         n = 1 + max([*ids.values(), *self.special.values()])
         self.bytes_of = [b""] * n
-        for t, i in ids.items():
+        for t, i in [*ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.bytes_of[i] = t
+        self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        return ids
+
+    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the token sequences ids[bounds[i]:bounds[i + 1]], end to end, and their offsets."""
+        sizes = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        return self.blob[at], ends[bounds]
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        data, ends = self.decode_many(ids, bounds)
+        raw = data.tobytes()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+class Bpe(Tokens):
+    """Tables for encoding, too."""
+
+    def __init__(self, spec: str):
+        import ahocorasick
+
+        model = json.loads(spec)
+        ids = self._load(model)
+        byte_of, n = _byte_letters(), len(self.bytes_of)
+        raw = lambda token: bytes(byte_of[c] for c in token)
         # Each merged token: its rank and halves. A single byte has none.
         self.rank, self.halves, self.merged = [-1] * n, [None] * n, {}
         for r, pair in enumerate(model["model"]["merges"]):
@@ -111,12 +141,7 @@ class Bpe:
                 self.automaton.add_word(t.decode("latin-1"), (len(t), i))
                 self.shorter[i] = next((ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ids), -1)
         self.automaton.make_automaton()
-        for t, i in self.special.items():
-            self.bytes_of[i] = t.encode()
-        self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left id * vocabulary size + right id
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._forget()
 
@@ -156,17 +181,17 @@ class Bpe:
                 longest[at] = hit
         tokens, pos, token = [], 0, longest[0][1]
         dead = bytearray(n + 1)
-        pairs = self.pairs
+        pairs, size = self.pairs, len(self.bytes_of)
         while pos < n:
             end = pos + len(self.bytes_of[token])
             ok = not dead[end]
             if ok and tokens:
-                pair = (tokens[-1], token)
+                pair = tokens[-1] * size + token
                 ok = pairs.get(pair)
                 if ok is None:
-                    if len(pairs) >= MEMO:
+                    if len(pairs) >= PAIRS:
                         pairs.clear()
-                    ok = pairs[pair] = self.compatible(*pair)
+                    ok = pairs[pair] = self.compatible(tokens[-1], token)
             if ok:
                 tokens.append(token)
                 pos = end
@@ -246,22 +271,16 @@ class Bpe:
         found = [self.encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         return np.array([t for x in found for t in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
 
-    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the token sequences ids[bounds[i]:bounds[i + 1]], end to end, and their offsets."""
-        sizes = self.lengths[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.blob[at], ends[bounds]
-
 
-_loaded: dict[int, Bpe] = {}
+_loaded: dict[tuple[type, int], Tokens] = {}
 
 
-def _bpe(spec: str) -> Bpe:
-    key = hash(spec)
+def _tables(kind: type, spec: str) -> Tokens:
+    """The worker's tables of a vocabulary, of which it keeps one."""
+    key = kind, hash(spec)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Bpe(spec)
+        _loaded[key] = kind(spec)
     return _loaded[key]
 
 
@@ -271,8 +290,8 @@ def _spec(df: DataFrame, vocab_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Token ids of every whole text: columns ``keep``, then n_col (long) and ids_col.
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", keep: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
+    """Token ids of every whole text: columns ``keep``, then n_col (long) and ids_col, and with ``decoded_col`` the text that these ids decode to.
 
     ids_col is binary, four little-endian bytes for each id. Null and empty texts
     give no tokens. A special token's string in a text becomes that token, as the
@@ -284,14 +303,15 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
     taken = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
-        bpe = _bpe(spec.value)
+        bpe = _tables(Bpe, spec.value)
         for batch in batches:
             for first, last, data, offsets in text_slices(batch.column("__text")):
                 ids, bounds = bpe.encode_many(data, offsets)
                 packed = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns[:-1], pa.array(np.diff(bounds)), packed], [*batch.schema.names[:-1], n_col, ids_col])
+                columns = [*batch.slice(first, last - first).columns[:-1], pa.array(np.diff(bounds)), packed]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(bpe.texts(ids, bounds), pa.string())] if decoded_col else []), [*batch.schema.names[:-1], n_col, ids_col, *[decoded_col] * bool(decoded_col)])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{n_col}` long", f"`{ids_col}` binary"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{n_col}` long", f"`{ids_col}` binary"] + [f"`{decoded_col}` string"] * bool(decoded_col)
     return taken.mapInArrow(run, ", ".join(fields))
 
 
@@ -306,7 +326,7 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str =
     taken = df.select(*keep, F.col(ids_col).alias("__ids"))
 
     def run(batches):
-        bpe = _bpe(spec.value)
+        bpe = _tables(Tokens, spec.value)
         for batch in batches:
             packed = [x.as_py() or b"" for x in batch.column("__ids")]
             texts, at = [], 0
@@ -316,9 +336,7 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str =
                     size += len(packed[to])
                     to += 1
                 bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed[at:to]])]).astype(np.int64)
-                data, ends = bpe.decode_many(np.frombuffer(b"".join(packed[at:to]), "<u4").astype(np.int64), bounds)
-                raw = data.tobytes()
-                texts += [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                texts += bpe.texts(np.frombuffer(b"".join(packed[at:to]), "<u4").astype(np.int64), bounds)
                 at = to
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], text_col])
 

@@ -42,18 +42,24 @@ def targets(sizes: DataFrame, source: str, size: str, cap: int = CAP, cycle: int
     return s.select(source, size, F.least(F.col("__full").cast("double"), F.col("__w") * level).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, seed: str = "mix", cut: bool = True) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: str = "mix", cut: bool = True) -> DataFrame:
     """(id_col, size, source_size, target, taken, epochs, part) of every row.
 
     taken = epochs * size + part, in words. The document at the border of the sample
     gives the part that still fits when ``cut``; otherwise all of its words if half of them
-    fit, else none. Null texts have no words; a null source is a source of its own. Weights that are null or not above 0 count as 1.
+    fit, else none. Null texts have no words; a null source is a source of its own. ``weights`` (id_col, weight; unique ids)
+    holds quality weights; ids without one, and weights that are null or not above 0, count as 1.
     The draw is a hash of ``seed`` and the id: reruns agree, and repeated rows draw alike
     (they are still rows of their own, ordered by size). An empty table gives none; a source without words takes 0.
     """
-    weight = F.lit(1.0) if weight_col is None else F.when(F.col(weight_col) > 0, F.col(weight_col).cast("double")).otherwise(1.0)
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    rows = settled(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (-F.log(u) / weight).alias("key")), "sizes")
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    # Words are counted before any shuffle: texts stay where they are.
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    if weights is None:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    else:
+        rows = settled(rows, "words").join(weights.select(F.col(id_col).alias("id"), F.col("weight").cast("double").alias("weight")), "id", "left")
+    rows = settled(rows.select("id", "source", "size", (-F.log(u) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)).alias("key")), "sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source", "source_size")
     whole = F.round("target").cast("long")
     goals = goals.withColumn("epochs", F.coalesce(F.expr("cast(round(target) as bigint) div source_size"), F.lit(0)).cast("long")).withColumn("rest", F.coalesce(whole - F.col("epochs") * F.col("source_size"), F.lit(0)))

@@ -29,9 +29,7 @@ def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocab_path()
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, keep=("doc_id",))
-    back = bpe.decode(ids, path, text_col="decoded", keep=("doc_id", "n_tokens", "ids"))
+    back = bpe.encode(_table(spark, sf_dir, "documents"), vocab_path(), keep=("doc_id",), decoded_col="decoded")
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -52,8 +50,8 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    weighted = docs.join(labels, "doc_id", "left").withColumn("weight", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0))
-    return mixing.mix(weighted, weight_col="weight")
+    weights = labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
+    return mixing.mix(docs, weights=weights)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
