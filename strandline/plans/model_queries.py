@@ -10,7 +10,7 @@ from ..operators import features as feat
 from ..operators import modelling as mod
 from ..operators import replay as rep
 from ..operators import targets as tgt
-from ..sources import panel
+from ..sources import ingest, panel
 from . import sql as S
 
 Q, SQL = {}, {}
@@ -27,11 +27,12 @@ def query(oracle: str | None = None):
 
 
 def rect(spark, d):
-    return panel.rectangular(panel.daily_bars(spark, d))
+    """The panel, written once: later stages read it several times."""
+    return ingest.written(panel.rectangular(ingest.written(panel.daily_bars(spark, d), "bars")), "panel")
 
 
 def rows(spark, d):
-    return feat.feature_rows(rect(spark, d), "rect")
+    return ingest.written(feat.feature_rows(rect(spark, d), "rect"), "features")
 
 
 RECT = S.BARS.replace("bars as (", "bars0 as (") + ", bars as (select * from bars0 where session in (select session from bars0 group by session having count(*) = (select count(distinct symbol) from bars0)))"
@@ -119,7 +120,7 @@ def target_cash(spark, d):
     return tgt.cash(tgt.quantised(tgt.constrained(tgt.desired(s, KEY), KEY)), s, KEY)
 
 
-@query(f"""{SIGNALS} select decision_session as session, symbol, floor(1000000.0 * round(desired, 6) / close)::bigint as shares from des join bars on bars.symbol = des.symbol and bars.session = des.decision_session where floor(1000000.0 * round(desired, 6) / close) > 0""")
+@query(f"""{SIGNALS} select decision_session as session, des.symbol, floor(1000000.0 * round(desired, 6) / close)::bigint as shares from des join bars on bars.symbol = des.symbol and bars.session = des.decision_session where floor(1000000.0 * round(desired, 6) / close) > 0""")
 def target_shares(spark, d):
     w = tgt.desired(_signals(spark, d), KEY).select(F.col("decision_session").alias("session"), "symbol", F.round("desired", 6).alias("weight"))
     prices = panel.daily_bars(spark, d).select("symbol", "session", F.col("close").alias("price"))
