@@ -56,6 +56,7 @@ def link_components(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     block_pairs: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame], DataFrame] | None = None,
     max_rounds: int = 6,
 ) -> tuple[DataFrame, DataFrame]:
     """Return (labels: node, label; links: a, b that were confirmed).
@@ -63,7 +64,7 @@ def link_components(
     members: (key, node), distinct. verify: pairs (a, b) -> those that are links.
     block_pairs: rows (grp, key, node, label, side) in which ``grp`` is a list's
     block pair and side is 0 (both sides the same block), 1 or 2 -> candidate
-    pairs (a, b) of different labels.
+    pairs (a, b) of different labels, which ``confirm`` (else verify) decides.
     """
     spark = members.sparkSession
     none = spark.createDataFrame([], "a long, b long")
@@ -94,7 +95,7 @@ def link_components(
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
     )
     pairs = settled(block_pairs(rows).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = settled(verify(pairs), "links")
+    found = settled((confirm or verify)(pairs), "links")
     if found.head(1):
         links = links.unionByName(found)
         labels = connected_components(links)

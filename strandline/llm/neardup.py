@@ -1,13 +1,13 @@
 """Operator 4: near-duplicate detection from bottom-k MinHash sketches.
 
 One hash function orders all shingles. A document's sketch is the ``k`` smallest
-hashes of its distinct shingles. Inverted lists of retained values generate the
-overlapping documents: a list is keyed by a run of consecutive retained values.
+hashes of its distinct shingles. Inverted lists of retained values (the first
+``LISTED``) generate the overlapping documents: a list is keyed by a run of consecutive ones.
 If two sets have a Jaccard similarity of t, so few of the union's values belong
 to only one of them that some run of r = t / (1 - t) consecutive values is
 common (shorter runs for tiny sets; see ``run_lengths``): with sets of at most
-``k`` shingles that always holds, with longer ones it fails with a
-probability below 1e-5 at exactly t = 0.8 and k = 64, and far less above it. The
+``LISTED`` shingles that always holds, with longer ones it fails with a
+probability below 1e-5 at exactly t = 0.8 and 64 values, and far less above it. The
 union sketch of a pair (the k smallest of both) then estimates the similarity,
 five standard errors below the threshold being the least that passes, and the
 exact Jaccard of the full sets decides. Equal sets are one class and are never
@@ -29,6 +29,8 @@ from ._work import settled
 from ._words import mix, shingle_sets, text_slices, word_hashes
 
 _FULL = np.iinfo(np.int32).max
+#: Retained values that lists are made of, and all retained values.
+LISTED, RETAINED = 64, 256
 
 
 @lru_cache(4096)
@@ -145,7 +147,8 @@ def _row_keys(sketch: np.ndarray, n: np.ndarray, percent: int, k: int) -> np.nda
 def _block_pairs(rows: DataFrame, table: DataFrame, percent: int, k: int) -> DataFrame:
     """Candidate pairs of each block pair: groups arrive whole, one after the other, of 2 BLOCK rows at most (on average).
 
-    Of the lists that a pair has in common, only that with the least key emits it.
+    The listed values give a first estimate; of the lists that a pair has in common, only
+    that with the least key emits it, if all retained values let it pass, too.
     """
 
     def emit(key, label, side, node, n, sk):
@@ -158,15 +161,17 @@ def _block_pairs(rows: DataFrame, table: DataFrame, percent: int, k: int) -> Dat
             i, j = i[ok], j[ok]
             for b in range(0, len(i), 8192):
                 p, q = i[b : b + 8192], j[b : b + 8192]
-                good = union_estimate(sk[p], sk[q], n[p], n[q], percent, k)
+                good = union_estimate(sk[p, :LISTED], sk[q, :LISTED], n[p], n[q], percent, LISTED)
                 p, q = p[good], q[good]
                 if not len(p):
                     continue
-                keys = _row_keys(sk, n, percent, k) if keys is None else keys
+                keys = _row_keys(sk, n, percent, LISTED) if keys is None else keys
                 both = np.sort(np.concatenate([keys[p], keys[q]], axis=1), axis=1)
                 first = np.argmax((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= -(1 << 62) + len(keys)) | (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < -(1 << 62)), axis=1)
                 mine = both[np.arange(len(p)), first] == key[0]
-                x, y = node[p[mine]], node[q[mine]]
+                p, q = p[mine], q[mine]
+                good = union_estimate(sk[p], sk[q], n[p], n[q], percent, k)
+                x, y = node[p[good]], node[q[good]]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -189,7 +194,7 @@ def _block_pairs(rows: DataFrame, table: DataFrame, percent: int, k: int) -> Dat
     return joined.select("grp", "key", "label", "side", "node", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = RETAINED) -> DataFrame:
     """Components of documents with a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns (id_col, n_shingles, component_id, kept) for each row: the size of its
@@ -214,8 +219,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ends = batch.column("sketch").offsets.to_numpy()
             flat = batch.column("sketch").values.to_numpy()
             for x, size, s, e in zip(batch.column("node").to_pylist(), sizes.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-                for length in _lengths(size, percent, k):
-                    found.append(_run_keys(flat[s:e], length))
+                for length in _lengths(size, percent, LISTED):
+                    found.append(_run_keys(flat[s : min(e, s + LISTED)], length))
                     node.append(np.full(len(found[-1]), x, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(node))], ["key", "node"])
@@ -234,13 +239,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = settled(wanted.join(texts, F.col("rep").eqNullSafe(F.col("id"))).select("want", "text").mapInArrow(full, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = _estimated(pairs, table, percent, k)
-        both = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    def exact(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
-    labels, _ = link_components(members, verify, lambda r: _block_pairs(r, table, percent, k))
+    labels, _ = link_components(members, lambda pairs: exact(_estimated(pairs, table, percent, k)), lambda r: _block_pairs(r, table, percent, k), exact)
     joined = table.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = joined.groupBy("label").agg(F.min("id").alias("component"))
     by_node = joined.join(least, "label").select("node", "component")
