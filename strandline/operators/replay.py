@@ -7,6 +7,7 @@ Shares are fractional; the drift's denominator leaves out the previous cost (an
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,11 +27,11 @@ def fill_ledger(fills: DataFrame, cash: str, bps: str, order: tuple[str, ...]) -
     """Running position, cash and costs of each account after each fill, in decimals: cost = |q| p bps / 10^4."""
     price = F.col("price").cast("decimal(18,4)")
     notional = (F.col("qty").cast("decimal(12,0)") * price).cast("decimal(28,6)")
-    cost = (F.abs(notional) * F.lit(bps).cast("decimal(9,4)") / 10000).cast("decimal(28,6)")
+    cost = (F.abs(notional) * F.lit(str(Decimal(bps) / 10000)).cast("decimal(12,8)")).cast("decimal(28,8)")
     pos = Window.partitionBy("account", "symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     acc = Window.partitionBy("account").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     x = fills.withColumn("notional", notional).withColumn("cost", cost)
-    return x.withColumns({"position": F.sum("qty").over(pos), "cash": F.lit(cash).cast("decimal(28,6)") - F.sum(F.col("notional") + F.col("cost")).over(acc), "total_costs": F.sum("cost").over(acc)})
+    return x.withColumns({"position": F.sum("qty").over(pos), "cash": F.lit(cash).cast("decimal(28,8)") - F.sum(F.col("notional") + F.col("cost")).over(acc), "total_costs": F.sum("cost").over(acc)})
 
 
 def mark_to_market(ledger: DataFrame, closes: DataFrame, order: tuple[str, ...]) -> DataFrame:
