@@ -9,6 +9,7 @@ no letter at all. A whole text is scored by sums over one small table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,8 +57,12 @@ def feature_rows(df: DataFrame, label: str, text: str, buckets: int, extra=None)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, last - first), pa.array([ix.astype(np.int32) for ix, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["label", "ix", "c"])
 
     rows = df.select(F.col(label).alias("label"), F.col(text).alias("text")).mapInArrow(run, f"label {kind}, ix array<int>, c array<int>").toArrow()
-    out = [(y, np.array(ix, np.int64), np.array(c, np.int64)) for y, ix, c in zip(rows["label"].to_pylist(), rows["ix"].to_pylist(), rows["c"].to_pylist())]
-    return sorted(out, key=lambda r: (str(r[0]), len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    ix, c = rows["ix"].combine_chunks(), rows["c"].combine_chunks()
+    if not len(rows):
+        return []
+    ends, flat, n = ix.offsets.to_numpy().tolist(), ix.values.to_numpy(), c.values.to_numpy()
+    out = [(y, flat[a:b], n[a:b]) for y, a, b in zip(rows["label"].to_pylist(), ends[:-1], ends[1:])]  # views of two arrays, no copies
+    return sorted(out, key=lambda r: (str(r[0]), len(r[1]), zlib.crc32(r[1].tobytes()), zlib.crc32(r[2].tobytes())))
 
 
 def split_fit(rows: list[tuple[object, np.ndarray, np.ndarray]], buckets: int) -> tuple[ng.Averaged | None, list, list]:
