@@ -62,7 +62,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = settled(rows.select("id", "source", "size", (-F.log(u) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)).alias("key")), "sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source", "source_size")
     whole = F.round("target").cast("long")
-    goals = goals.withColumn("epochs", F.coalesce(F.expr("cast(round(target) as bigint) div source_size"), F.lit(0)).cast("long")).withColumn("rest", F.coalesce(whole - F.col("epochs") * F.col("source_size"), F.lit(0)))
+    goals = goals.withColumn("epochs", F.coalesce(F.expr("cast(round(target) as bigint) div nullif(source_size, 0)"), F.lit(0)).cast("long")).withColumn("rest", F.coalesce(whole - F.col("epochs") * F.col("source_size"), F.lit(0)))
 
     rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int"))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("s"))
