@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ._work import settled
 
-_SPACE = r"[\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+_OTHER = r"\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: White space that is not a single space between words: only that is replaced.
+_SPACE = f"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"
 #: Rows of one range of ids, about, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 20_000, 1 << 14
 #: Range borders that a row is compared with at a time.
