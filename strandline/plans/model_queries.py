@@ -176,11 +176,11 @@ def fill_ledger(spark, d):
 @query(f"""{_LEDGER}, lp as (select account, symbol, last(position order by {', '.join(ORDER)}) as position from lg group by all), ca as (select account, last(cash order by {', '.join(ORDER)}) as cash from lg group by all),
 cl as (select p_brand as symbol, round(avg(p_retailprice), 2) as close from part where p_brand <> 'Brand#11' group by all),
 v as (select account, sum(position * close) as value, count(*) filter (where close is null) as unpriced from lp left join cl using (symbol) where position <> 0 group by all)
-select account, round(cash::double, 8) as cash, round(coalesce(value, 0.0), 2) as value, round(cash::double + coalesce(value, 0.0), 6) as equity, coalesce(unpriced, 0)::bigint as unpriced from ca left join v using (account)""")
+select account, round(cash::double, 8) as cash, round(coalesce(value, 0.0), 2) as value, round(cash::double + coalesce(value, 0.0), 2) as equity, coalesce(unpriced, 0)::bigint as unpriced from ca left join v using (account)""")
 def mark_to_market(spark, d):
     closes = panel.table(spark, d, "part").where("p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("symbol")).agg(F.round(F.avg("p_retailprice"), 2).alias("close"))
     x = rep.mark_to_market(rep.fill_ledger(_fills(spark, d), "1000000", "5", ORDER), closes, ORDER)
-    return x.select("account", F.round(F.col("cash").cast("double"), 8).alias("cash"), F.round("value", 2).alias("value"), F.round("equity", 6).alias("equity"), "unpriced")
+    return x.select("account", F.round(F.col("cash").cast("double"), 8).alias("cash"), F.round("value", 2).alias("value"), F.round("equity", 2).alias("equity"), "unpriced")
 
 
 @query(f"""{S.BARS} select session, max(close) filter (where symbol = 'AFRICA') as "AFRICA", max(close) filter (where symbol = 'AMERICA') as "AMERICA", max(close) filter (where symbol = 'ASIA') as "ASIA", max(close) filter (where symbol = 'EUROPE') as "EUROPE", max(close) filter (where symbol = 'MIDDLE EAST') as "MIDDLE EAST" from bars group by session""")
