@@ -259,3 +259,48 @@ def test_audio(spark):
     assert audio.recordings(df.limit(0), params=p).count() == 0
     tone = (np.sin(np.arange(60000) * 2 * np.pi * 440 / 11025) * 20000).astype("<i2").tobytes()
     assert len(audio.fingerprint(audio.samples_of(b"RIFF0000WAVEfmt xxxxdata" + len(tone).to_bytes(4, "little") + tone, "s16"), audio.Chroma())) > 0
+
+
+def plain_recordings(texts, p):
+    """(recording, links) of texts with distinct fingerprints by aligning all pairs."""
+    prints = [audio.fingerprint(audio.samples_of(t.encode(), "u8"), p) for t in texts]
+    label, links = list(range(len(texts))), [0] * len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            if audio.aligned(prints[j], prints[i], p):
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label, links
+
+
+def excerpts(rng, p):
+    long = prose(rng, 20_000)
+    texts = [long] + [long[p.hop * k : p.hop * k + 4_300] for k in (300, 900, 1_500, 2_000)]
+    for size in (960, 1_000, 1_250, 1_500):  # one integer, and a few
+        t = prose(rng, 600)[:size]
+        texts += [t, t + prose(rng, 20)[: p.hop], long[p.hop * size : p.hop * size + size]]
+    return texts
+
+
+def test_audio_finds_excerpts_and_short_recordings(spark):
+    p, rng = audio.TEXT_AS_AUDIO, random.Random(7)
+    texts = excerpts(rng, p)
+    label, _ = plain_recordings(texts, p)
+    got = {r.doc_id: r for r in audio.recordings(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, audio binary"), params=p).collect()}
+    assert min(r.n_ints for r in got.values()) in range(1, 9) and label[:5] == [0] * 5
+    assert [got[i].recording_id for i in range(len(texts))] == label
+
+
+def test_all_equal_integers_vote():
+    # The common value says offset 0 or more; 300 rare ones, each in both once, say 40.
+    a = np.concatenate([np.arange(1, 41), np.repeat(0, 400), np.arange(100, 400)]).astype(np.uint32)
+    assert audio.align(a, a[40:])[0] == 40 and audio.align(np.zeros(3000, np.uint32), np.zeros(2000, np.uint32)) == (0, 2000, 0.0)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        x, y = (np.minimum(rng.integers(0, 4, rng.integers(1, 1500)), 2).astype(np.uint32) for _ in range(2))
+        plain = np.array([int((x[max(k, 0) :][: len(y) - max(-k, 0)] == y[max(-k, 0) :][: len(x) - max(k, 0)]).sum()) for k in range(1 - len(y), len(x))])
+        assert audio._votes(x, y).tolist() == plain.tolist()
+        p = audio.TEXT_AS_AUDIO
+        assert audio.Shelf([y, x]).aligned(x, np.arange(2), p).tolist() == [audio.aligned(x, y, p), True]
