@@ -52,6 +52,16 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(grp, key, node, label, side) for every block pair of a key's nodes, m in number: (key, node, label, m) -> rows of which two meet in one grp once."""
+    rows = rows.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return rows.select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "key", "node", "label",
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
+    )
+
+
 def link_components(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -87,13 +97,8 @@ def link_components(
         if got < GOING * n:
             break
     live = _labelled(members, labels)
-    mixed = live.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    rows = live.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "key", "node", "label",
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
-    )
+    mixed = live.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m > 2").select("key", "m")
+    rows = in_blocks(live.join(mixed, "key"))
     pairs = settled(block_pairs(rows).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     found = settled((confirm or verify)(pairs), "links")
     if found.head(1):

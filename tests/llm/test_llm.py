@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandline.llm import audio, bpe, digest, html, langid, mixing, neardup, quality, queries, sharding, warc
+from strandline.llm import _links, audio, bpe, digest, html, langid, mixing, neardup, quality, queries, sharding, warc
 from strandline.llm._words import text_slices
 
 WORDS = "the of and to in is was for that with river stone light garden winter summer market engine paper silver".split()
@@ -293,6 +293,20 @@ def test_audio_finds_excerpts_and_short_recordings(spark):
     assert [got[i].recording_id for i in range(len(texts))] == label
 
 
+def test_audio_counts_every_link(spark, monkeypatch):
+    p, rng = audio.TEXT_AS_AUDIO, random.Random(8)
+    one = prose(rng, 900)
+    texts = [one[: 2_500 + 7 * k] + "zq"[k % 2] * (1 + k) + one[2_500 + 7 * k :] for k in range(12)] + excerpts(rng, p)
+    label, links = plain_recordings(texts, p)
+    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, audio binary")
+    df = df.unionByName(df.where("doc_id < 4"))
+    assert max(links[:12]) > 2
+    for block in (2048, 5):
+        monkeypatch.setattr(_links, "BLOCK", block)
+        got = audio.recordings(df, params=p).collect()
+        assert len(got) == len(texts) + 4 and all((r.recording_id, r.links) == (label[r.doc_id], links[r.doc_id]) for r in got)
+
+
 def test_all_equal_integers_vote():
     # The common value says offset 0 or more; 300 rare ones, each in both once, say 40.
     a = np.concatenate([np.arange(1, 41), np.repeat(0, 400), np.arange(100, 400)]).astype(np.uint32)
