@@ -67,8 +67,8 @@ def _alphas(spark, *values):
     return spark.createDataFrame([(float(v),) for v in values], "alpha double")
 
 
-def _coefficients(spark, d, every=21, alphas=(1.0, 10.0, 100.0)):
-    return mod.ridge_coefficients(feat.xs_zscore(rows(spark, d).where("not missing")), _alphas(spark, *alphas), every)
+def _coefficients(spark, d, alphas=(1.0, 10.0, 100.0)):
+    return mod.ridge_coefficients(feat.xs_zscore(rows(spark, d).where("not missing")), _alphas(spark, *alphas))
 
 
 @query()

@@ -151,3 +151,22 @@ def test_bars_follow_the_total_order(spark):
     x = spark.createDataFrame([("A", 1, 2, 10.0, 1.0), ("A", 1, 1, 12.0, 3.0), ("A", 1, 3, 11.0, 1.0)], "symbol string, session int, o int, price double, qty double")
     r = panel.bars_of(x, order=("o",)).first()
     assert (r.open, r.high, r.low, r.close, r.volume, r.vwap) == (12.0, 12.0, 10.0, 11.0, 5.0, 11.4)
+
+
+def test_every_decision_has_coefficients_forecasts_and_targets(spark, monkeypatch):
+    from strandline.plans import model_queries
+
+    rows = [(s, (dt.date(2019, 1, 1) + dt.timedelta(days=i)).isoformat(), 50 + 10 * k + 3 * math.sin(i / (3 + k)) + 0.01 * i) for k, s in enumerate("ABC") for i in range(200)]
+    feats = features.feature_rows(bars(spark, rows), "x").cache()
+    monkeypatch.setattr(model_queries, "rows", lambda *_: feats)
+    z = feats.where("not missing")
+    first = z.where("label_end_session is not null").agg({"label_end_session": "min"}).first()[0]
+    days = {r.decision_session for r in modelling.decisions(z).where("embargo_start is not null").collect() if r.embargo_start > first}
+    assert len(days) > 21
+    c = model_queries.ridge_coefficients(spark, None).collect()
+    assert {(r.decision_session, r.alpha) for r in c} == {(d, a) for d in days for a in (1.0, 10.0, 100.0)} and len(c) == 3 * len(days)
+    f = model_queries.forecasts(spark, None).collect()
+    assert {r.decision_session for r in f} == days and len(f) == 9 * len(days)
+    good = {(r.alpha, r.decision_session) for r in f if r.forecast > 0}
+    got = {(r.alpha, r.decision_session) for r in model_queries.target_weights(spark, None).collect()}
+    assert got == good
