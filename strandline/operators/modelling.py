@@ -42,11 +42,27 @@ def label_sums(rows: DataFrame) -> DataFrame:
 
 
 def training_split(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(decision_session, symbol, training_session) of the chosen decisions (decision_session, embargo_start): a range join for a few decisions; all of them use the running sums."""
+    """(decision_session, symbol, training_session) of the chosen decisions (decision_session, embargo_start): a range join for a few decisions; see ``training_membership`` for all."""
     t = usable(rows).select("symbol", F.col("decision_session").alias("training_session"), "label_end_session")
     return chosen.join(t, F.col("label_end_session") < F.col("embargo_start")).select("decision_session", "symbol", "training_session")
 
 
+def training_membership(rows: DataFrame, embargo: int = EMBARGO) -> DataFrame:
+    """(symbol, training_session, first_decision) of every usable row: it trains first_decision and every later one, and none if that is null.
+
+    Embargoes rise with their decisions, so this states the split of every decision in one row a training row.
+    """
+    t = usable(rows).select("symbol", F.col("decision_session").alias("training_session"), "label_end_session")
+    d = decisions(rows, embargo).where("embargo_start is not null")
+    # One row a session: the first decision of which the embargo starts after a label end.
+    events = t.select(F.col("label_end_session").alias("at")).distinct().withColumn("decision_session", F.lit(None).cast("date")).withColumn("kind", F.lit(1)).unionByName(
+        d.select(F.col("embargo_start").alias("at"), "decision_session").withColumn("kind", F.lit(0))
+    )
+    later = F.min("decision_session").over(Window.orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    first = events.withColumn("first_decision", later).where("kind = 1").select(F.col("at").alias("label_end_session"), "first_decision")
+    return t.join(first, "label_end_session").select("symbol", "training_session", "first_decision")
+
+
 def sufficiency(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     """(decision_session, training_sessions, status): distinct training sessions of every decision.
 

@@ -48,6 +48,12 @@ def training_split(spark, d):
     return mod.training_split(r, chosen)
 
 
+@query()
+def training_membership(spark, d):
+    """The split of every decision; training_split lists that of a few, as its SQL does."""
+    return mod.training_membership(rows(spark, d))
+
+
 _SUFF = f"""{FEATS}, {CALENDAR}, {USABLE}, fs as (select decision_session as s, min(label_end_session) as e from us group by 1),
 suff as (select dec.decision_session, dec.embargo_start, count(fs.s) as training_sessions from dec left join fs on fs.e < dec.embargo_start group by all)"""
 
@@ -137,7 +143,8 @@ def asset_class_weights(spark, d):
 @query()
 def held_weights(spark, d):
     r = rect(spark, d)
-    w = tgt.quantised(tgt.constrained(tgt.desired(_signals(spark, d).where("day(decision_session) <= 3"), KEY), KEY))
+    retrain = mod.schedule(r.select("session").distinct(), 600, 21).where("retrain").select("decision_session")
+    w = tgt.quantised(tgt.constrained(tgt.desired(_signals(spark, d).join(retrain, "decision_session", "left_semi"), KEY), KEY))
     return mod.held_weights(r.select("session"), w)
 
 

@@ -170,3 +170,27 @@ def test_every_decision_has_coefficients_forecasts_and_targets(spark, monkeypatc
     good = {(r.alpha, r.decision_session) for r in f if r.forecast > 0}
     got = {(r.alpha, r.decision_session) for r in model_queries.target_weights(spark, None).collect()}
     assert got == good
+
+
+def test_training_membership_states_every_split(spark):
+    rows = [(s, (dt.date(2019, 1, 1) + dt.timedelta(days=i)).isoformat(), 50 + 10 * k + 3 * math.sin(i / (3 + k)) + 0.01 * i) for k, s in enumerate("ABC") for i in range(230) if (i + k) % 11]
+    f = features.feature_rows(bars(spark, rows), "x").cache()
+    want = {}
+    for d in modelling.decisions(f).collect():
+        want[d.decision_session] = {(r.symbol, r.decision_session) for r in f.collect() if d.embargo_start and not r.missing and r.forward_return_21 is not None and r.label_end_session and r.label_end_session < d.embargo_start}
+    got = modelling.training_membership(f).collect()
+    assert {d: {(r.symbol, r.training_session) for r in got if r.first_decision and r.first_decision <= d} for d in want} == want
+    assert len({len(x) for x in want.values()}) > 20 and len(got) == modelling.usable(f).count()
+
+
+def test_held_weights_follow_the_retrain_cadence(spark, monkeypatch):
+    from strandline.plans import model_queries
+
+    days = [dt.date(2019, 1, 1) + dt.timedelta(days=i) for i in range(700)]
+    signals = spark.createDataFrame([(d, s, 0.01 + (i % 50) * 0.001 * (1 + k), 0.2) for i, d in enumerate(days) for k, s in enumerate("ABC")], "decision_session date, symbol string, forecast double, vol double")
+    monkeypatch.setattr(model_queries, "_signals", lambda *_: signals)
+    monkeypatch.setattr(model_queries, "rect", lambda *_: signals.selectExpr("decision_session as session"))
+    got = {r.session: r.weights for r in model_queries.held_weights(spark, None).collect()}
+    assert sorted(got) == days[600:]
+    changes = [i for i in range(601, 700) if got[days[i]] != got[days[i - 1]]]
+    assert changes == [621, 642, 663, 684]
