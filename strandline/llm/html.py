@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML, by element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style noscript template iframe object svg math datalist audio video canvas area base link meta param source track rp".split())
+UNSEEN = frozenset("head title script style noscript template iframe object svg annotation annotation-xml datalist audio video canvas area base link meta param source track rp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption thead tbody tfoot tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 #: Which open elements the start of an element ends, and what it looks no further up than.
@@ -29,6 +29,11 @@ ENDS = {
     "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"optgroup", "option"}, {"select"}),
     "body": ({"head"}, {"html"}), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}), "a": ({"a"}, {"td", "th", "table", "body"}),
 }
+#: What stands straight in a table or its rows, and what does in a head; anything else moves before the table, or ends the head.
+_TABLE = frozenset("table tbody thead tfoot tr".split())
+_OF_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
+_STAYS = _OF_TABLE | frozenset("script style template".split())
+_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 _P_ENDS = BLOCKS - {"html", "body", "li", "dd", "dt", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup", "legend"}
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -57,19 +62,40 @@ class TreeBuilder(HTMLParser):
             if self.stack[k].tag in stop:
                 return None
 
+    def _leave(self, head: bool, columns: bool) -> None:
+        if head and self.stack[-1].tag == "head" or columns and self.stack[-1].tag == "colgroup":
+            self.stack.pop()
+
+    def _table(self) -> int:
+        """Place of the innermost open table, 0 without one."""
+        return next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == "table"), 0)
+
+    def _before(self, at: int, child: Node | str) -> None:
+        holder = self.stack[at - 1].children
+        holder.insert(len(holder) - 1, child)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._leave(tag not in _HEAD, tag not in ("col", "template"))
+        if tag in _OF_TABLE:
+            # What was moved before the table ends here.
+            k = next(k for k in range(len(self.stack) - 1, -1, -1) if k == 0 or self.stack[k].tag in _TABLE or self.stack[k].tag in ("td", "th", "caption"))
+            if self.stack[k].tag in _TABLE:
+                del self.stack[k + 1 :]
         if tag in ENDS:
             self._end(*ENDS[tag])
+        if tag == "table" and self.stack[-1].tag in _TABLE and (at := self._table()):
+            del self.stack[at:]
         if tag in _P_ENDS:
             self._end({"p"}, {"td", "th", "table", "button", "object", "li"} - {tag})
         if tag in ("html", "body") and any(n.tag == tag for n in self.stack):
             return
-        if self.stack[-1].tag == "head" and tag in BLOCKS:
-            self.stack.pop()
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.handle_starttag("tr", [])
         node = Node(tag, dict(attrs))
-        self.stack[-1].children.append(node)
+        at = self._table() if self.stack[-1].tag in _TABLE and tag not in _STAYS else 0
+        if at and tag == "form":
+            return
+        self._before(at, node) if at else self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
 
@@ -87,13 +113,12 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        top = self.stack[-1]
-        if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and data.strip():
-            at = next(k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == "table")
-            holder = self.stack[at - 1].children
-            holder.insert(len(holder) - 1, data)  # text straight inside a table stands before it
-            return
-        top.children.append(data)
+        if data.strip():
+            self._leave(True, True)
+            if self.stack[-1].tag in _TABLE and (at := self._table()):
+                self._before(at, data)  # text straight inside a table stands before it
+                return
+        self.stack[-1].children.append(data)
 
 
 def visible(node: Node) -> bool:

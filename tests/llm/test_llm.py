@@ -215,6 +215,26 @@ def test_html():
     assert html.render("a<br><br>b &lt; c") == "a\n\nb < c" and "z" in html.render("<table><tr><td>" * 300 + "z")
 
 
+def test_html_loses_no_visible_text():
+    cells = "a  b\n\nc  d"
+    for page, want in [
+        ("<table><form><tr><td>a</td><td>b</td></tr></form></table>", "a  b"),
+        ("<table><tr><form><td>a<td>b</form></table>", "a  b"),
+        ("<table><div>text</div><tr><td>a<td>b</table>", "text\n\na  b"),
+        ("<table><div>text<tr><td>a<td>b</table>", "text\n\na  b"),
+        ("<table><tr><a href=x>link</a><td>a</table>z", "link\n\na\n\nz"),
+        ("<table><colgroup><col>text<tr><td>a</table>", "text\n\na"),
+        ("<table><tr><td>a<td>b<table><tr><td>c</table></table>", "a  b\n   \n   c"),
+        ("<table><tr><td>a<td>b<tr><table><tr><td>c<td>d</table>", cells),
+        ("<html><head><title>t</title>first <b>bold</b><p>x", "first bold\n\nx"),
+        ("<head><meta charset=x><span>s</span> t", "s t"),
+        ("<p>x <math><mi>y</mi><annotation>no</annotation></math>", "x y"),
+        ("<tr>text", "text"), ("<tbody>text<p>x", "text\n\nx"), ("<div><tfoot>text", "text"),
+    ]:
+        got = html.render(page)
+        assert [x.split() for x in got.splitlines() if x.strip()] == [x.split() for x in want.splitlines() if x.strip()], (page, got)
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, None), (2, "<p>x")], "page_id long, html string")
     assert {r.page_id: r.text for r in html.page_texts(df).collect()} == {1: "", 2: "x"}
