@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._links import link_components
 from ._work import settled
@@ -194,19 +195,8 @@ def _block_pairs(rows: DataFrame, table: DataFrame, percent: int, k: int) -> Dat
     return joined.select("grp", "key", "label", "side", "node", "n", "sketch").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = RETAINED) -> DataFrame:
-    """Components of documents with a Jaccard similarity of ``percent`` / 100 or more.
-
-    Returns (id_col, n_shingles, component_id, kept) for each row: the size of its
-    set of distinct ``width``-word shingles, the smallest id it reaches over links,
-    and whether that is its own. A text of fewer words is one shingle. Null, empty and
-    blank texts have empty sets and link with nothing: their component is their own id.
-    Repeated rows come back as often as they came, all in one component; an id with
-    several texts is judged text by text. A null id is passed over by the minimum;
-    where all ids of a component are null, component_id is null and kept is true.
-    Other columns of ``df`` are not read, whatever their names. An empty table gives none.
-    """
-    spark = df.sparkSession
+def _components(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, node, sketch) of every row, and (node, id, label) of every class of equal sets."""
     rows = settled(sketches(df, id_col, text_col, width, k), "sketches")
     table = settled(
         rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "sketch")).alias("x")).select("node", F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.sketch").alias("sketch")),
@@ -245,7 +235,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
     labels, _ = link_components(members, lambda pairs: exact(_estimated(pairs, table, percent, k)), lambda r: _block_pairs(r, table, percent, k), exact)
-    joined = table.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    return rows, table.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = RETAINED) -> DataFrame:
+    """Components of documents with a Jaccard similarity of ``percent`` / 100 or more.
+
+    Returns (id_col, n_shingles, component_id, kept) for each row: the size of its
+    set of distinct ``width``-word shingles, the smallest id it reaches over links,
+    and whether that is its own. A text of fewer words is one shingle. Null, empty and
+    blank texts have empty sets and link with nothing: their component is their own id.
+    Repeated rows come back as often as they came, all in one component; an id with
+    several texts is judged text by text. A null id is passed over by the minimum;
+    where all ids of a component are null, component_id is null and kept is true.
+    Other columns of ``df`` are not read, whatever their names. An empty table gives none.
+    """
+    rows, joined = _components(df, id_col, text_col, width, percent, k)
     least = joined.groupBy("label").agg(F.min("id").alias("component"))
     by_node = joined.join(least, "label").select("node", "component")
     out = rows.drop("sketch").join(by_node, "node", "left")
@@ -253,10 +258,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near copies: of each component, the document with the smallest id stays.
+def _with_node(df: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``df`` and the digest of each row's set, ``__node``."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            node = [_set_digest(s) if len(s) else None for s in _sets(pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], ["text"]), "text", width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "__node"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__node", T.LongType())]))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, k: int = RETAINED) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component, the document with the smallest id (null last) stays, of several with it the one with the smallest digest.
 
-    Of repeated rows with one id, one stays. Columns are those of ``df``.
+    Rows are judged by their texts: an id with several texts can stay several times. Of rows that repeat id and set, one stays; rows
+    without shingles stay, repeated ones once unless their id is null. Columns are those of ``df``.
     """
-    kept = near_duplicates(df, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    rows, joined = _components(df, id_col, text_col, width, percent, k)
+    best = joined.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.node").alias("__kept"))
+    alone = rows.where("node is null").select(F.col("id").alias("__id"), F.col("node").alias("__kept")).distinct()
+    kept = settled(best.unionByName(alone), "kept")
+    out = _with_node(df, text_col, width).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__node").eqNullSafe(F.col("__kept")), "left_semi")
+    # Rows without id and shingles are told apart by a number of their own.
+    own = F.when(F.col(id_col).isNull() & F.col("__node").isNull(), F.monotonically_increasing_id())
+    return out.withColumn("__own", own).dropDuplicates([id_col, "__node", "__own"]).select(*df.columns)

@@ -338,3 +338,13 @@ def test_all_equal_integers_vote():
         assert audio._votes(x, y).tolist() == plain.tolist()
         p = audio.TEXT_AS_AUDIO
         assert audio.Shelf([y, x]).aligned(x, np.arange(2), p).tolist() == [audio.aligned(x, y, p), True]
+
+
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = a + " more"
+    rows = [(1, a), (None, near), (None, b), (None, c), (None, c), (2, d), (2, e), (2, e), (3, None), (3, None), (None, None), (None, ""), (None, " ")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(map(tuple, got), key=key) == sorted([(1, a), (None, b), (None, c), (2, d), (2, e), (3, None), (None, None), (None, ""), (None, " ")], key=key)
