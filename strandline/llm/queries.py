@@ -47,11 +47,14 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_texts(_table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight): good documents 2, poor ones 0.5."""
+    found = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return found.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    weights = labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
-    return mixing.mix(docs, weights=weights)
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=quality_weights(_table(spark, sf_dir, "labels")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

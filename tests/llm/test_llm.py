@@ -348,3 +348,48 @@ def test_keep_one_decides_by_row(spark):
     got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted(map(tuple, got), key=key) == sorted([(1, a), (None, b), (None, c), (2, d), (2, e), (3, None), (None, None), (None, ""), (None, " ")], key=key)
+
+
+def stage_corpus(spark, path, texts, labels):
+    df = corpus(spark, texts).drop("node")
+    df.unionByName(df.where("doc_id between 40 and 44")).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_mixed_stage_samples_by_quality(spark, tmp_path):
+    from math import log
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    texts = [None, ""] + [prose(rng, rng.randint(1, 60)) for _ in range(150)]
+    quality_of = {i: i % 2 for i in range(0, 152) if i % 5}
+    path = stage_corpus(spark, tmp_path, texts, [(i, q, 0) for i, q in quality_of.items()] + [(3, 0, 0)])
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id not between 40 and 44")
+    rows = docs.collect()
+    goals = {r.source: r for r in mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()}
+    want = []
+    for source in {r.source for r in rows}:
+        key = lambda r: -log((int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / {1: 2.0, 0: 0.5, None: 1.0}[quality_of.get(r.doc_id)]
+        goal, start = goals[source], 0
+        rest = round(goal.target) - goal.epochs * goal.source_size
+        for r in sorted((r for r in rows if r.source == source), key=key):
+            n = len((r.text or "").split())
+            want += [r.doc_id] * (n and goal.epochs + (2 * min(max(rest - start, 0), n) >= n))
+            start += n
+    assert sorted(r.doc_id for r in cp.mixed(spark, docs, path).collect()) == sorted(want)
+    assert cp.mixed(spark, docs.limit(0), path).count() == 0
+
+
+def test_pipeline_runs_all_stages(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(13)
+    texts = [None, ""] + [prose(rng, 40) for _ in range(120)]
+    texts += [texts[50] + " end", texts[51]]
+    path = stage_corpus(spark, tmp_path / "some", texts, [(i, 1, 0) for i in range(2, 60)])
+    rows = cp.run(spark, path).collect()
+    assert rows and all(r.round_trip for r in rows) and {r.doc_id for r in rows} <= set(range(2, 122))
+    empty = stage_corpus(spark, tmp_path / "none", [], [])
+    assert cp.run(spark, empty).count() == 0
