@@ -295,49 +295,80 @@ def plain_recordings(texts, p):
     return label, links
 
 
-def excerpts(rng, p):
-    long = prose(rng, 20_000)
-    texts = [long] + [long[p.hop * k : p.hop * k + 4_300] for k in (300, 900, 1_500, 2_000)]
-    for size in (960, 1_000, 1_250, 1_500):  # one integer, and a few
-        t = prose(rng, 600)[:size]
-        texts += [t, t + prose(rng, 20)[: p.hop], long[p.hop * size : p.hop * size + size]]
+def variants(rng, n):
+    """Texts, each with copies of a few edits and excerpts at any place."""
+    texts = []
+    for _ in range(n):
+        t = prose(rng, rng.randint(500, 1_500))
+        texts.append(t)
+        for edits in (1, 3, 10):
+            w = t.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(WORDS) + "x" * rng.randint(0, 3)
+            texts.append(" ".join(w))
+        for _ in range(3):
+            size = rng.randint(len(t) // 3, len(t))
+            at = rng.randint(0, len(t) - size)
+            texts.append(t[at : at + size])
     return texts
 
 
-def test_audio_finds_excerpts_and_short_recordings(spark):
+def test_audio_finds_nine_of_ten_links(spark):
     p, rng = audio.TEXT_AS_AUDIO, random.Random(7)
-    texts = excerpts(rng, p)
-    label, _ = plain_recordings(texts, p)
+    texts = variants(rng, 28) + [prose(rng, k) for k in range(1, 8)]
+    prints = [audio.fingerprint(audio.samples_of(t.encode(), "u8"), p) for t in texts]
     got = {r.doc_id: r for r in audio.recordings(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, audio binary"), params=p).collect()}
-    assert min(r.n_ints for r in got.values()) in range(1, 9) and label[:5] == [0] * 5
-    assert [got[i].recording_id for i in range(len(texts))] == label
+    found = links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if audio.aligned(prints[j], prints[i], p):
+                assert i // 7 == j // 7  # no link between unrelated texts
+                links += 1
+                found += got[i].recording_id == got[j].recording_id
+            assert i // 7 == j // 7 or got[i].recording_id != got[j].recording_id
+    assert links > 400 and found >= 0.9 * links
 
 
 def test_audio_counts_every_link(spark, monkeypatch):
     p, rng = audio.TEXT_AS_AUDIO, random.Random(8)
-    one = prose(rng, 900)
-    texts = [one[: 2_500 + 7 * k] + "zq"[k % 2] * (1 + k) + one[2_500 + 7 * k :] for k in range(12)] + excerpts(rng, p)
+    one, long = prose(rng, 900), prose(rng, 20_000)
+    texts = [one[: 2_500 + 7 * k] + "zq"[k % 2] * (1 + k) + one[2_500 + 7 * k :] for k in range(12)]
+    texts += [long] + [long[p.hop * k : p.hop * k + 4_300] for k in (300, 900, 1_500, 2_000)] + [prose(rng, 30)]
     label, links = plain_recordings(texts, p)
-    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, audio binary")
+    df = spark.createDataFrame([(i, t.encode(), i) for i, t in enumerate(texts)], "doc_id long, audio binary, node long")
     df = df.unionByName(df.where("doc_id < 4"))
-    assert max(links[:12]) > 2
-    for block in (2048, 5):
+    assert max(links[:12]) > 2 and label[12:17] == [12] * 5
+    for block, hot in ((2048, 32), (5, 32), (2048, 3)):  # whole lists, lists in blocks, and lists dealt out in parts
         monkeypatch.setattr(_links, "BLOCK", block)
+        monkeypatch.setattr(audio, "BLOCK", block)
+        monkeypatch.setattr(audio, "HOT", hot)
         got = audio.recordings(df, params=p).collect()
         assert len(got) == len(texts) + 4 and all((r.recording_id, r.links) == (label[r.doc_id], links[r.doc_id]) for r in got)
 
 
-def test_all_equal_integers_vote():
+def test_all_equal_words_vote():
+    rng = np.random.default_rng(1)
     # The common value says offset 0 or more; 300 rare ones, each in both once, say 40.
-    a = np.concatenate([np.arange(1, 41), np.repeat(0, 400), np.arange(100, 400)]).astype(np.uint32)
+    rare = rng.integers(1, 1 << 32, 340, dtype=np.uint32)
+    a = np.concatenate([rare[:40], np.repeat(np.uint32(0), 400), rare[40:]])
     assert audio.align(a, a[40:])[0] == 40 and audio.align(np.zeros(3000, np.uint32), np.zeros(2000, np.uint32)) == (0, 2000, 0.0)
-    rng = np.random.default_rng(1)
+    assert audio.words(np.array([0xAAAAAAAA, 0x55555555, 0x80000002], np.uint32)).tolist() == [0xFFFF, 0, 0x8001]
+    p = audio.TEXT_AS_AUDIO
     for _ in range(20):
-        x, y = (np.minimum(rng.integers(0, 4, rng.integers(1, 1500)), 2).astype(np.uint32) for _ in range(2))
-        plain = np.array([int((x[max(k, 0) :][: len(y) - max(-k, 0)] == y[max(-k, 0) :][: len(x) - max(k, 0)]).sum()) for k in range(1 - len(y), len(x))])
-        assert audio._votes(x, y).tolist() == plain.tolist()
-        p = audio.TEXT_AS_AUDIO
-        assert audio.Shelf([y, x]).aligned(x, np.arange(2), p).tolist() == [audio.aligned(x, y, p), True]
+        x, y = (np.minimum(rng.integers(0, 4, rng.integers(1, 1500)), 2).astype(np.uint32) * np.uint32(0x80000001) for _ in range(2))
+        u, v = audio.words(x), audio.words(y)
+        plain = np.array([int((u[max(k, 0) :][: len(v) - max(-k, 0)] == v[max(-k, 0) :][: len(u) - max(k, 0)]).sum()) for k in range(1 - len(v), len(u))])
+        assert audio._votes(u, v).tolist() == plain.tolist()
+        assert audio.Shelf([y, x]).aligned(x, np.arange(2), p).tolist() == [audio.aligned(x, y, p), audio.aligned(x, x, p)]
+
+
+def test_alike_joins_chains_within_lists():
+    p = audio.TEXT_AS_AUDIO
+    around = np.array([0, 0b1, -1, 0b1111 << 8 | 1, 0, 0], np.int64)
+    there = np.full(6, -1, np.int8)
+    assert audio.alike(np.array([1, 1, 1, 1, 2, 3]), around, there, p).tolist() == [0, 0, 2, 0, 4, 5]
+    assert audio.alike(np.zeros(0, np.int64), around[:0], there[:0], p).tolist() == []
+    assert audio.alike(np.array([1, 1]), around[[0, 2]], np.zeros(2, np.int8), p).tolist() == [0, 0]  # nothing around to tell them apart
 
 
 def test_keep_one_decides_by_row(spark):
