@@ -52,9 +52,9 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, block: int | None = None) -> DataFrame:
     """(grp, key, node, label, side) for every block pair of a key's nodes, m in number: (key, node, label, m) -> rows of which two meet in one grp once."""
-    rows = rows.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("nb", F.ceil(F.col("m") / (block or BLOCK)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return rows.select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "key", "node", "label",
@@ -67,7 +67,7 @@ def link_components(
     verify: Callable[[DataFrame], DataFrame],
     block_pairs: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame], DataFrame] | None = None,
-    max_rounds: int = 6,
+    max_rounds: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """Return (labels: node, label; links: a, b that were confirmed).
 

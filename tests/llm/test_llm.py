@@ -338,9 +338,10 @@ def test_audio_counts_every_link(spark, monkeypatch):
     df = spark.createDataFrame([(i, t.encode(), i) for i, t in enumerate(texts)], "doc_id long, audio binary, node long")
     df = df.unionByName(df.where("doc_id < 4"))
     assert max(links[:12]) > 2 and label[12:17] == [12] * 5
-    for block, hot in ((2048, 32), (5, 32), (2048, 3)):  # whole lists, lists in blocks, and lists dealt out in parts
+    for block, hot in ((5, 32), (2048, 3)):  # lists in blocks, and lists dealt out in parts
         monkeypatch.setattr(_links, "BLOCK", block)
         monkeypatch.setattr(audio, "BLOCK", block)
+        monkeypatch.setattr(audio, "COUNTED", block)
         monkeypatch.setattr(audio, "HOT", hot)
         got = audio.recordings(df, params=p).collect()
         assert len(got) == len(texts) + 4 and all((r.recording_id, r.links) == (label[r.doc_id], links[r.doc_id]) for r in got)
