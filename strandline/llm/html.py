@@ -9,6 +9,7 @@ preformatted text as it is.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,7 +36,8 @@ _OF_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 _STAYS = _OF_TABLE | frozenset("script style template".split())
 _HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 _P_ENDS = BLOCKS - {"html", "body", "li", "dd", "dt", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup", "legend"}
-_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -53,6 +55,12 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.stack = [self.root]
+        self.depth = 1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` and what follows is a comment up to the next ``>``, whatever it says."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def _end(self, tags: set[str], stop: set[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -98,6 +106,7 @@ class TreeBuilder(HTMLParser):
         self._before(at, node) if at else self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.depth = max(self.depth, len(self.stack))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,13 +130,47 @@ class TreeBuilder(HTMLParser):
         self.stack[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "input" and (node.attrs.get("type") or "").lower() == "hidden"):
-        return False
-    if node.tag == "dialog" and "open" not in node.attrs:
-        return False
-    style = node.attrs.get("style")
-    return not (style and _HIDDEN_STYLE.search(style))
+def _style(node: Node) -> dict[str, str]:
+    """display and visibility of an inline style, as far as it says."""
+    return {k.lower(): v.lower() for k, v in _DECLARATION.findall(node.attrs.get("style") or "")}
+
+
+def _dropped(node: Node, style: dict[str, str]) -> bool:
+    if node.tag in UNSEEN or "hidden" in node.attrs or style.get("display") == "none":
+        return True
+    return node.tag == "input" and (node.attrs.get("type") or "").lower() == "hidden" or node.tag == "dialog" and "open" not in node.attrs
+
+
+def prune(root: Node) -> None:
+    """Takes out what is not seen: elements without display with all they hold, and of those of hidden visibility their own text and marks, but no visible descendants."""
+    todo, order = [(root, True)], []
+    while todo:
+        node, shown = todo.pop()
+        kept = []
+        for c in node.children:
+            if isinstance(c, str):
+                if shown:
+                    kept.append(c)
+                continue
+            style = _style(c)
+            if _dropped(c, style):
+                continue
+            said = style.get("visibility")
+            seen = said == "visible" if said in ("visible", "hidden", "collapse") else shown
+            if seen or c.tag not in ("img", "input", "br"):
+                kept.append(c)
+                todo.append((c, seen))
+        node.children = kept
+        order.append((node, shown))
+    hollow = set()
+    for node, shown in reversed(order):
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) not in hollow]
+        if not shown:
+            node.attrs = {}
+            if node.tag in ("li", "hr"):
+                node.tag = "div"
+            if not node.children:
+                hollow.add(id(node))
 
 
 class _Lines:
@@ -170,41 +213,64 @@ class _Lines:
         return self.lines[next((k for k, x in enumerate(self.lines) if x), 0) :]
 
 
-def _span(value: str | None) -> int:
-    return min(max(int(value), 1), 1000) if value and value.isdigit() else 1
+def _number(value: str | None, other: int) -> int:
+    found = _NUMBER.match(value or "")
+    return int(found[1]) if found else other
 
 
-def _table_lines(node: Node) -> list[str]:
-    """Rows of cells, each column as wide as its widest line; cells of several columns are not counted for widths."""
-    rows, captions = [], []
+def _span(value: str | None, most: int) -> int:
+    return min(max(_number(value, 1), 1), most)
 
-    def gather(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str) or not visible(c):
-                continue
-            if c.tag == "tr":
-                rows.append([(_lines_of(x), _span(x.attrs.get("colspan"))) for x in c.children if not isinstance(x, str) and x.tag in ("td", "th") and visible(x)])
-            elif c.tag == "caption":
-                captions.extend(_lines_of(c))
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                gather(c)
-
-    gather(node)
+
+def _table_lines(node: Node) -> list[str]:
+    """Rows of cells, each column as wide as its widest line; cells of several columns are not counted for widths. A cell of several rows holds its columns free below itself."""
+    groups, captions = [[]], []
+    for c in node.children:
+        if isinstance(c, str):
+            continue
+        if c.tag in ("thead", "tbody", "tfoot"):
+            groups += [[r for r in c.children if not isinstance(r, str) and r.tag == "tr"], []]
+            captions += [line for r in c.children if not isinstance(r, str) and r.tag == "caption" for line in _lines_of(r)]
+        elif c.tag == "tr":
+            groups[-1].append(c)
+        elif c.tag == "caption":
+            captions += _lines_of(c)
+    rows: list[list[tuple[int, int, list[str]]]] = []
+    for group in groups:
+        until: dict[int, int] = {}  # rows that a column is still taken for
+        for tr in group:
+            at, cells, taken = 0, [], {k: n - 1 for k, n in until.items() if n > 1}
+            for x in tr.children:
+                if isinstance(x, str) or x.tag not in ("td", "th"):
+                    continue
+                while until.get(at, 0) > 0:
+                    at += 1
+                wide = _span(x.attrs.get("colspan"), 1000)
+                high = len(group) if _number(x.attrs.get("rowspan"), 1) == 0 else _span(x.attrs.get("rowspan"), len(group))
+                cells.append((at, wide, _lines_of(x)))
+                if high > 1:
+                    taken |= dict.fromkeys(range(at, at + wide), high - 1)
+                at += wide
+            until = taken
+            rows.append(cells)
     width: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
+        for at, wide, lines in row:
+            if wide == 1:
                 width[at] = max([width.get(at, 0), *map(len, lines)])
-            at += span
+    left, start, at = [], 0, 0
+    for at in range(max(width, default=-1) + 1):  # where a column begins; columns of wide cells only have no width
+        left.append(start)
+        start += width[at] + 2 if at in width else 0
     out = list(captions)
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            at, parts = 0, []
-            for lines, span in row:
-                parts.append((lines[k] if k < len(lines) else "").ljust(sum(width.get(c, 0) for c in range(at, at + min(span, len(width)))) + 2 * (min(span, max(len(width), 1)) - 1)))
-                at += span
-            out.append("  ".join(parts).rstrip())
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for at, _, lines in row:
+                begin = left[at] if at < len(left) else start
+                line = line.ljust(begin) if len(line) + 2 <= begin or not line else line + "  "
+                line += lines[k] if k < len(lines) else ""
+            out.append(line.rstrip())
     return out
 
 
@@ -223,14 +289,11 @@ def _walk(node: Node, out: _Lines) -> None:
             out.block(n in SPACED)
             continue
         if what == "children":
-            number = int(n.attrs["start"]) if n.tag == "ol" and re.fullmatch(r"-?\d{1,9}", n.attrs.get("start") or "") else 1
-            for c in reversed(list(_numbered(n, number))):
+            for c in reversed(list(_numbered(n))):
                 todo.append(c)
             continue
         if isinstance(n, str):
             out.text(n)
-        elif not visible(n):
-            continue
         elif n.tag == "br":
             out.brk()
         elif n.tag in ("img", "input"):
@@ -257,12 +320,17 @@ def _walk(node: Node, out: _Lines) -> None:
             todo.append(("children", n))
 
 
-def _numbered(n: Node, number: int) -> Iterator[tuple]:
+def _numbered(n: Node) -> Iterator[tuple]:
+    """Children, items with their marks: numbers from ``start`` on, falling if ``reversed``; an item's ``value`` sets its own."""
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in n.children) if n.tag == "ol" else 0
+    step = -1 if "reversed" in n.attrs else 1
+    number = _number(n.attrs.get("start"), items if step < 0 else 1)
     for c in n.children:
         mark = ""
-        if isinstance(c, Node) and c.tag == "li" and visible(c):
+        if isinstance(c, Node) and c.tag == "li":
+            number = _number(c.attrs.get("value"), number)
             mark = f"{number}. " if n.tag == "ol" else "- "
-            number += 1
+            number += step
         yield "node", c, mark
 
 
@@ -274,32 +342,22 @@ def _raw(n: Node) -> Iterator[str]:
             yield x
         elif x.tag == "br":
             yield "\n"
-        elif visible(x) or x is n:
+        else:
             todo += reversed(x.children)
 
 
-#: Lists, items and tables inside each other beyond this depth are rendered as plain blocks.
-DEEPEST = 100
-
-
-def _flatten(root: Node) -> None:
-    todo = [(root, 0)]
-    while todo:
-        n, depth = todo.pop()
-        if n.tag in ("li", "table", "td", "th", "caption"):
-            depth += 1
-            if depth > DEEPEST:
-                n.tag = "div"
-        todo += [(c, depth) for c in n.children if isinstance(c, Node)]
-
-
 def render(html: str | None) -> str:
-    """All visible text of a page. Null and empty pages have none; broken markup is read as far as it goes."""
+    """All visible text of a page. Null and empty pages have none; broken markup is read as far as it goes, however deep it nests."""
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    _flatten(builder.root)
-    return "\n".join(_lines_of(builder.root))
+    prune(builder.root)
+    before = sys.getrecursionlimit()
+    try:
+        sys.setrecursionlimit(max(before, 1000 + 8 * builder.depth))
+        return "\n".join(_lines_of(builder.root))
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def page_texts(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
