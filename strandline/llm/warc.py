@@ -7,7 +7,8 @@ one file, so any file system that Spark knows will do and a lost task is just ru
 Reading: from the start of an archive a record is read (a gzip member, or plain from a
 version line on) and checked: version line, header block, length, end of record and,
 for responses, the payload's digest. After a failed check the reader searches for the next
-valid member or version line, goes on there, and logs the bytes in between as a gap.
+valid member or version line, goes on there, and logs the bytes in between as a gap. Members of several
+records are searched in the same way.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ def record_bytes(headers: list[tuple[str, object]], block: bytes, compress: bool
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(id, url, payload, record_type, refers_to): of records with equal payloads of ``min_bytes`` at least, those with the largest id are responses, others revisit it.
 
-    Payloads are UTF-8 bytes; null is empty. They are grouped by their SHA-256 and length, ids pre-aggregated, so a payload's group of any size is spread out. Null
+    Payloads are UTF-8 bytes; null is empty. They are grouped by their SHA-256 and length, ids pre-aggregated. Only payloads that come several times are joined back; while
+    these are too many to be broadcast, pages travel with the digest, and Spark splits the partitions of a frequent one. Null
     ids are smaller than others; a group of null ids only is all response.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
@@ -85,109 +87,157 @@ def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:
     archives.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at ``at`` and where it ends, if its checks hold."""
-    d = zlib.decompressobj(31)
+def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds, and where it ends; the end is None if it is damaged or cut off, and the bytes are those before the damage."""
+    d, out, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
-        raw = d.decompress(memoryview(data)[at:])
+        while not d.eof and pos < len(data):
+            out.append(d.decompress(view[pos : pos + step]))
+            pos += step
     except zlib.error:
-        return None
-    return (raw, len(data) - len(d.unused_data)) if d.eof else None
+        return _member(data, at, 64) if step > 64 else (b"".join(out), None)
+    return b"".join(out), min(pos, len(data)) - len(d.unused_data) if d.eof else None
+
+
+def _same_digest(said: str, content: bytes) -> bool:
+    """Whether a digest header fits; kinds other than SHA-1 are not checked."""
+    kind, _, value = said.partition(":")
+    return kind.lower() != "sha1" or value.upper() == base32_sha1(content) or value.lower() == hashlib.sha1(content).hexdigest()
+
+
+def _length(said: str) -> int | None:
+    return int(said) if re.fullmatch("[0-9]{1,18}", said) else None
 
 
 def _record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """(headers, block, end) of the plain record at ``at``, if version, headers, length, end and digest hold."""
+    """(headers, payload, end) of the plain record at ``at``, if version, headers, length, end and digests hold.
+
+    The payload of an HTTP message is its body, of other records their block; a payload digest may be that of the block, too.
+    """
     version = _VERSION_LINE.match(raw, at)
     if not version:
         return None
     stop = raw.find(_END, version.end() - 2)
     if stop < 0:
         return None
-    headers = {}
+    headers, name = {}, ""
     for line in raw[version.end() : stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and name:  # a header goes on
+            headers[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        key, colon, value = line.partition(b":")
         if not colon:
             return None
-        headers[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    if not headers.get("content-length", "").isdigit():
+        name = key.strip().decode("utf-8", "replace").lower()
+        headers[name] = value.strip().decode("utf-8", "replace")
+    size = _length(headers.get("content-length", ""))
+    if size is None:
         return None
     start = stop + len(_END)
-    end = start + int(headers["content-length"])
+    end = start + size
     if raw[end : end + 4] != _END:
         return None
-    block = raw[start:end]
+    block = payload = raw[start:end]
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        head = block.find(_END)
+        payload = block[head + len(_END) :] if head >= 0 else b""
+    if not _same_digest(headers.get("warc-block-digest", ""), block):
+        return None
     said = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") != "revisit" and said.startswith("sha1:") and said[5:] != base32_sha1(block):
+    if headers.get("warc-type") != "revisit" and not (_same_digest(said, payload) or _same_digest(said, block)):
         return None
-    return headers, block, end + 4
+    return headers, payload, end + 4
+
+
+Found = tuple[str, int, int, int | None, dict[str, str] | None, bytes | None]
+
+
+def _within(raw: bytes, start: int, end: int) -> Iterator[Found]:
+    """Records of a member's bytes and the gaps between them, at their places in the member."""
+    at, bad = 0, None
+    while at < len(raw):
+        found = _record(raw, at)
+        if found or raw[at : at + 1] in (b"\r", b"\n") and bad is None:
+            if bad is not None:
+                yield "gap", start, end, bad, None, None
+                bad = None
+            if found:
+                yield "record", start, end, at, found[0], found[1]
+            at = found[2] if found else at + 1
+            continue
+        bad = at if bad is None else bad
+        after = _VERSION_LINE.search(raw, at + 1)
+        at = after.start() if after else len(raw)
+    if bad is not None:
+        yield "gap", start, end, bad, None, None
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes | None]]:
-    """Yield ("record", start, end, headers, block) and ("gap", start, end, None, None) of an archive, in order.
+def salvage(data: bytes) -> Iterator[Found]:
+    """Yield (kind, start, end, within, headers, payload) of an archive's records and gaps, in order.
 
-    Line breaks between records are no gap. Every byte is in a record, a gap or such a break.
+    Every byte is in a record, a gap or a line break between records. ``within`` is the place in the bytes of the gzip member from start to end, null for
+    plain records and for gaps of the archive itself. What a damaged member holds up to its damage is recovered, too; its bytes are a gap all the same.
     """
     at, bad, n = 0, None, len(data)
     starts = re.compile(re.escape(_GZIP) + rb"|" + _VERSION_LINE.pattern)
     while at < n:
-        found = []
+        found: list[Found] = []
+        end = None
         if data.startswith(_GZIP, at):
-            member = _member(data, at)
-            if member:
-                raw, end = member
-                pos = 0
-                while pos < len(raw) and (r := _record(raw, pos)):
-                    found.append(r)
-                    pos = r[2]
-                if pos < len(raw):
-                    found = []
-        else:
-            r = _record(data, at)
-            if r:
-                found, end = [r], r[2]
-        if found:
+            raw, end = _member(data, at)
+            found = list(_within(raw, at, n if end is None else end))
+            if end is None:
+                found = [f for f in found if f[0] == "record"]
+            elif not any(f[0] == "record" for f in found):
+                end = None if raw.strip(b"\r\n") else end
+                found = []
+        elif r := _record(data, at):
+            found, end = [("record", at, r[2], None, r[0], r[1])], r[2]
+        if end is not None:
             if bad is not None:
-                yield "gap", bad, at, None, None
+                yield "gap", bad, at, None, None, None
                 bad = None
-            for headers, block, _ in found:
-                yield "record", at, end, headers, block
+            yield from found
             at = end
             continue
         if bad is None and data[at : at + 1] in (b"\r", b"\n"):
             at += 1
             continue
+        yield from found
         bad = at if bad is None else bad
         after = starts.search(data, at + 1)
         at = after.start() if after else n
     if bad is not None:
-        yield "gap", bad, n, None, None
+        yield "gap", bad, n, None, None, None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, start, end, kind, record_id, uri, record_type, refers_to, payload_digest, payload_bytes, payload) of all archives under ``path``.
+    """(archive, start, end, within, kind, record_id, uri, record_type, refers_to, payload_digest, payload_bytes, payload) of all archives under ``path``.
 
-    kind is record, or gap with only the first four columns: the log of quarantined bytes. The payload of a revisit is null.
+    kind is record, or gap with the places only: the log of quarantined bytes (see ``salvage``). The payload of a revisit is null.
     Each archive is one file of a bounded size and is read whole by one task.
     """
-    schema = "archive string, start long, end long, kind string, record_id string, uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+    schema = "archive string, start long, end long, within long, kind string, record_id string, uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+        target = pa.schema([("archive", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("within", pa.int64()), ("kind", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), target)], schema=target)
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows = []
-                for kind, start, end, h, block in salvage(content.as_py()):
+                for kind, start, end, within, h, payload in salvage(content.as_py()):
                     if h is None:
-                        rows.append((name, start, end, kind, *[None] * 7))
-                        continue
-                    revisit = h.get("warc-type") == "revisit"
-                    length = int(x) if (x := h.get("x-payload-length", "")).isdigit() else (None if revisit else len(block))
-                    rows.append((name, start, end, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-type"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, length, None if revisit else block))
+                        rows.append((name, start, end, within, kind, *[None] * 7))
+                    else:
+                        revisit = h.get("warc-type") == "revisit"
+                        length = _length(h.get("x-payload-length", ""))
+                        length = length if length is not None or revisit else len(payload)
+                        rows.append((name, start, end, within, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-type"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, length, None if revisit else payload))
                     if len(rows) >= 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), target)], schema=target)
+                        yield out(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), target)], schema=target)
+                    yield out(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
     return files.select("path", "content").mapInArrow(run, schema)

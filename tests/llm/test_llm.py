@@ -204,10 +204,68 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
         data[at] ^= 0x55
         del data[-7:]
         found = list(warc.salvage(bytes(data)))
-        assert [f[4] for f in found if f[0] == "record"] == [b"p0", b"p2", b"p3"]
+        assert [f[5] for f in found if f[0] == "record"] == [b"p0", b"p2", b"p3"] + [b"p4"] * compress  # only the member's own checksum is cut off
         assert [f[1:3] for f in found if f[0] == "gap"] == [(len(parts[0]), len(parts[0]) + len(parts[1])), (sum(map(len, parts[:4])), len(data))]
 
 
+def test_salvage_reads_foreign_and_damaged_archives():
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>body"
+    rec = lambda i, **more: warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", i), *more.items()], b"x%d" % i, False)
+    r = warc.record_bytes([("WARC-Type", "response"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + warc.base32_sha1(b"<p>body"))], http)
+    assert [f[5] for f in warc.salvage(r)] == [b"<p>body"]
+    bad = rec(2, **{"WARC-Block-Digest": "sha1:" + warc.base32_sha1(b"other")})
+    import gzip
+
+    many = gzip.compress(b"\r\n" + rec(1) + bad + rec(3) + b"\r\n\r\n")
+    found = list(warc.salvage(many + gzip.compress(rec(4))))
+    assert [f[5] for f in found if f[0] == "record"] == [b"x1", b"x3", b"x4"] and [f[3] for f in found if f[0] == "gap"] == [2 + len(rec(1))]
+    long = gzip.compress(b"".join(rec(i) for i in range(2000)), 1)
+    cut = [f[5] for f in warc.salvage(long[: len(long) * 3 // 4]) if f[0] == "record"]
+    assert len(cut) > 1000 and cut == [b"x%d" % i for i in range(len(cut))]
+    for text in ("\u00b2", "9" * 5000, "-1", "1.5", ""):
+        plain = f"WARC/1.1\r\nContent-Length: {text}\r\nX-Payload-Length: {text}\r\n\r\nab\r\n\r\n".encode()
+        assert [f[0] for f in warc.salvage(plain + rec(5))] == ["gap", "record"]
+    rng = random.Random(9)
+    parts = [rec(i) if i % 2 else gzip.compress(rec(i) + rec(i + 100)) for i in range(6)]
+    for _ in range(1000):
+        data = bytearray(b"".join(rng.sample(parts, 4)))
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(data))
+            data[at : at + rng.randint(0, 3)] = rng.randbytes(rng.randint(0, 3))
+        places = [(f[1], f[2]) for f in warc.salvage(bytes(data)) if f[3] is None or f[0] == "record"]
+        assert all(0 <= a < b <= len(data) for a, b in places)
+
+
+def test_reading_takes_linear_time():
+    import time
+
+    took = []
+    for n in (500, 4000):
+        data = b"".join(warc.record_bytes([("WARC-Type", "response")], random.Random(i).randbytes(2000)) for i in range(n))
+        began = time.process_time()
+        assert sum(f[0] == "record" for f in warc.salvage(data)) == n
+        took.append((time.process_time() - began) / n)
+    assert took[1] < 3 * took[0]
+
+
+def test_html_never_fails():
+    rng = random.Random(10)
+    bits = "<table> </table> <tr> <td> <td\tcolspan=\u00b2\trowspan=3> </td> <form> <div> </div> <p> <li> <ul> </ul> <ol\treversed> <![ <![foo[bar]]> <!-- --> <! <? > < & &amp; &#x; &#99999999999; <b> </b> <a> </a> <head> <body> <caption> <colgroup> <col> <select> <option> <script> </script> <textarea> <title> <svg> </svg> <pre> text \u00b2 <br> <img\talt=x> <dl> <dt> <dd> <button> <ruby> <rt> </p> <h1\thidden> <tbody> </html> a='".split(" ")
+    for _ in range(10_000):
+        html.render("".join(rng.choice(bits) for _ in range(rng.randint(1, 60))))
+    digits = "9" * 5000
+    assert html.render(f"<table><tr><td colspan={digits} rowspan=\u00b2>a<td>b</table>") == "a  b" and html.render("<![foo[bar]]>x") == "x"
+    assert "z" in html.render("<table><tr><td>" * 1500 + "z") and html.render("<ul><li>" * 300 + "z").endswith("- z")
+
+
+def test_html_spans_visibility_and_numbers():
+    assert html.render("<table><tr><td rowspan=2>one<td>b<tr><td>c<tr><td>d<td>e</table>") == "one  b\n     c\nd    e"
+    assert html.render("<table><tr><td colspan=2>wide cell<td>x<tr><td>a<td>b<td>c</table>") == "wide cell  x\na  b  c"
+    assert html.render("<p style='visibility: hidden'>no<b style='VISIBILITY:visible'>yes</b><p>z<p style='color:red;visibility:hidden'>no<img alt=no>") == "yes\n\nz"
+    assert html.render("<ol reversed><li>a<li value=9>b<li>c</ol><ol><li value=5>d<li>e</ol>") == "3. a\n9. b\n8. c\n\n5. d\n6. e"
+    assert html.render("<div style='display:none'><b style='visibility:visible'>no</b></div>a") == "a"
+
+
 def test_html():
     page = "<title>t</title><p>a<p>b <b>c</b><ul><li>one<li>two</ul><ol start=3><li>x<li>y</ol><table><tr><th>Name<th>N<tr><td>long name<td>1</table><div hidden>no</div><p style='display:none'>no<pre> a\n  b</pre>&copy;<script>no</script>"
     assert html.render(page) == "a\n\nb c\n\n- one\n- two\n\n3. x\n4. y\n\nName       N\nlong name  1\n\n a\n  b\n\n©"
