@@ -37,35 +37,46 @@ def digest(canon: Column) -> Column:
     return F.concat(word(canon), word(F.lit("wide"), canon))
 
 
+def group_ids(prints: DataFrame, df: DataFrame, text_col: str) -> tuple[DataFrame, bool]:
+    """(fingerprint, group_id) of (id, fingerprint) rows, and whether texts of one fingerprint differ somewhere.
+
+    Ids are pre-aggregated before they meet by fingerprint. Only of fingerprints that come several times are the texts compared, by the least and greatest
+    canonical text of each, pre-aggregated too.
+    """
+    buckets = settled(prints.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count("*").alias("n")), "buckets")
+    canon = df.select(canonical(F.col(text_col)).alias("canon")).select("canon", digest(F.col("canon")).alias("fingerprint"))
+    bytes_of = canon.join(buckets.where("n > 1").select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
+    return buckets.select("fingerprint", "group_id"), bool(bytes_of.where("lo <> hi").head(1))
+
+
+def _groups_by_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fingerprint, group_id) of every row by the whole canonical text: for tables in which fingerprints collide."""
+    rows = df.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon")).select("id", "canon", digest(F.col("canon")).alias("fingerprint"))
+    least = rows.groupBy("fingerprint", "canon").agg(F.min("id").alias("group_id"))
+    return rows.join(least, ["fingerprint", "canon"]).select("id", "fingerprint", "group_id")
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, group_id) of every row; group_id is the smallest id with the same canonical text.
 
-    Buckets of equal fingerprints are pre-aggregated to their least and greatest canonical
-    text; where these differ in a byte, the bucket is split by the text itself. Null and
+    Texts of equal fingerprints are compared byte by byte; where some differ, the groups are formed by the text itself. Null and
     empty texts are one group. Repeated rows stay; null ids are passed over by the minimum.
     Columns other than the two named are not read. An empty table gives none.
     """
-    canon = df.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon")).select("id", "canon", digest(F.col("canon")).alias("fingerprint"))
-    buckets = settled(
-        canon.groupBy("fingerprint").agg(F.min("id").alias("least"), F.min("canon").alias("lo"), F.max("canon").alias("hi")).select("fingerprint", "least", (F.col("lo") == F.col("hi")).alias("same")), "buckets"
-    )
-    rows = canon.select("id", "fingerprint").join(buckets, "fingerprint")
-    out = rows.where("same").select("id", "fingerprint", F.col("least").alias("group_id"))
-    if buckets.where("not same").head(1):
-        split = canon.join(buckets.where("not same"), "fingerprint", "left_semi")
-        least = split.groupBy("fingerprint", "canon").agg(F.min("id").alias("group_id"))
-        out = out.unionByName(split.join(least, ["fingerprint", "canon"]).select("id", "fingerprint", "group_id"))
-    return out.withColumnRenamed("id", id_col)
+    prints = settled(df.select(F.col(id_col).alias("id"), digest(canonical(F.col(text_col))).alias("fingerprint")), "prints")
+    groups, clash = group_ids(prints, df, text_col)
+    out = _groups_by_text(df, id_col, text_col) if clash else prints.join(groups, "fingerprint")
+    return out.select(F.col("id").alias(id_col), "fingerprint", "group_id")
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, next_text): the text of the row with the next smaller id; after the smallest comes the largest.
+    """(id, text, fingerprint, next_text, next_fingerprint): each row and the row with the next smaller id; after the smallest comes the largest.
 
     Ids are dealt into ranges by approximate quantiles; the first row of each range is
     copied to the end of the range before it, so no row needs another task's. Equal ids are
     ordered by a hash of their texts; null ids come last. Only range borders reach the driver, 16,384 at most.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fingerprint", digest(canonical(F.col("text"))))
     ids = df.select(F.col(id_col).cast("double").alias("id"))
     n = ids.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
@@ -82,16 +93,18 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     best = dealt.groupBy("range").agg(F.max("id").alias("id")).collect()
     best = sorted((r["range"], r["id"]) for r in best)
     if not best:
-        return rows.withColumn("next_text", F.lit(""))
+        return rows.withColumns({"next_text": F.lit(""), "next_fingerprint": F.lit("")})
     # A range's border row goes to the next higher range (ids fall), the highest one's to the lowest.
     goes = {best[k][0]: best[(k + 1) % len(best)][0] for k in range(len(best))}
     copies = dealt.withColumn("to", _tree(best, goes)).where("to is not null")
     if copies.groupBy("range").count().where("count > 1").head(1):  # several rows share a range's largest id
         first = Window.partitionBy("range").orderBy(*order)
         copies = copies.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    both = dealt.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "text", F.col("to").alias("range"), F.lit(True).alias("copy")))
-    after = F.lead("text").over(Window.partitionBy("range").orderBy("copy", *order))
-    return both.withColumn("next_text", after).where("not copy").select("id", "text", "next_text")
+    both = dealt.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "text", "fingerprint", F.col("to").alias("range"), F.lit(True).alias("copy")))
+    # As many partitions as ranges, so that a task's share does not grow with the table.
+    both = both.repartition(max(len(best), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range")
+    after = F.lead(F.struct("text", "fingerprint")).over(Window.partitionBy("range").orderBy("copy", *order))
+    return both.withColumn("after", after).where("not copy").select("id", "text", "fingerprint", F.col("after.text").alias("next_text"), F.col("after.fingerprint").alias("next_fingerprint"))
 
 
 def _tree(best: list[tuple[int, object]], goes: dict[int, int]) -> Column:
@@ -105,13 +118,20 @@ def _tree(best: list[tuple[int, object]], goes: dict[int, int]) -> Column:
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of its edited text (see ``with_next``): the last half replaced by the start of the next document.
 
-    (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
-    Likeness of exact digests is 1 for equal canonical texts and 0 otherwise; equal fingerprints are compared by bytes.
+    (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id), group_id as in ``fingerprints``.
+    Likeness of exact digests is 1 for equal canonical texts and 0 otherwise; texts of equal fingerprints are compared by bytes.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = with_next(df, id_col, text_col).select("id", "text", "next_text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), canonical(F.col("next_text")).alias("x"))
-    rows = rows.select("*", digest(F.col("c")).alias("fingerprint"), digest(F.col("e")).alias("edited_fingerprint"), digest(F.col("x")).alias("next_fingerprint"))
-    near = lambda f, t: ((F.col("fingerprint") == F.col(f)) & (F.col("c") == F.col(t))).cast("double")
-    return rows.select(F.col("id").alias(id_col), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint", "e").alias("near_edited"), near("next_fingerprint", "x").alias("near_next"))
+    rows = with_next(df, id_col, text_col).select("*", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    rows = rows.withColumn("edited_fingerprint", digest(canonical(F.col("edited"))))
+    # Canonical texts are made again only where fingerprints are equal.
+    near = lambda f, t: F.when(F.col("fingerprint") == F.col(f), canonical(F.col("text")) == canonical(F.col(t))).otherwise(False).cast("double")
+    out = settled(rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint", "edited").alias("near_edited"), near("next_fingerprint", "next_text").alias("near_next")), "edited")
+    groups, clash = group_ids(out, df, text_col)
+    if clash:
+        groups = _groups_by_text(df, id_col, text_col).distinct().select(F.col("id").alias("i"), F.col("fingerprint").alias("f"), "group_id")
+        out = out.join(groups.groupBy("i", "f").agg(F.min("group_id").alias("group_id")), F.col("id").eqNullSafe(F.col("i")) & (F.col("fingerprint") == F.col("f")), "left").drop("i", "f")
+    else:
+        out = out.join(groups, "fingerprint", "left")
+    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")

@@ -29,21 +29,23 @@ def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and what they decode to."""
     back = bpe.encode(_table(spark, sf_dir, "documents"), vocab_path(), keep=("doc_id",), decoded_col="decoded")
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    groups = digest.fingerprints(docs).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"))
-    return digest.edited_fingerprints(docs).join(groups, ["doc_id", "fingerprint"], "left")
+    """Fingerprints of all documents and of their edited texts."""
+    return digest.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents by four-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages."""
     return html.page_texts(_table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
@@ -54,10 +56,12 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document goes into the mix, drawn by the labels' quality weights."""
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=quality_weights(_table(spark, sf_dir, "labels")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by a model of those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
     out = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model)
@@ -65,18 +69,21 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
     found = warc.archived(_table(spark, sf_dir, "pages")).where("kind = 'record'")
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by their own evidence and their sites."""
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     return quality.hierarchical_quality(docs, model)
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to eight shards."""
     return sharding.shards_of(_table(spark, sf_dir, "documents"), shards=8)
 
 

@@ -130,10 +130,24 @@ def test_edited_fingerprints_follow_the_next_document(spark, monkeypatch):
             want[i] = (len(t), hashlib.sha256((t[: len(t) - half] + x[:half]).encode()).hexdigest())
         got = digest.edited_fingerprints(df).collect()
         assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want and len(got) == len(texts)
+        assert all((r.group_id == r.doc_id) == (r.fingerprint not in [x.fingerprint for x in got if x.doc_id < r.doc_id]) for r in got)
     assert digest.edited_fingerprints(df.limit(0)).count() == 0
     assert digest.edited_fingerprints(df.where(f"doc_id = {ids[0]}")).first().near_next == 1.0
 
 
+def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(digest, "digest", lambda c: F.substring(c, 1, 1))
+    rows = [(1, "ab"), (2, "ac"), (3, "AB "), (None, "ac"), (None, "x"), (4, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, "a", 1), (2, "a", 2), (3, "a", 1), (None, "a", 2), (None, "x", None), (4, "y", 4)], key=str)
+    assert sorted(((r.doc_id, r.fingerprint, r.group_id) for r in digest.fingerprints(df).collect()), key=str) == want
+    assert sorted(((r.doc_id, r.fingerprint, r.group_id) for r in digest.edited_fingerprints(df).collect()), key=str) == want
+    monkeypatch.undo()
+    assert {(r.doc_id, r.group_id) for r in digest.edited_fingerprints(df).collect()} == {(1, 1), (2, 2), (3, 1), (None, 2), (None, None), (4, 4)}
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     df = corpus(spark, EDGES + [prose(rng, rng.randint(1, 60)) for _ in range(200)])
