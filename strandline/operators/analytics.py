@@ -11,6 +11,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 YEAR = 252
 PLACES = 10
 
@@ -98,23 +100,35 @@ def var_cvar(returns: DataFrame, level: float) -> DataFrame:
 def moments(returns: DataFrame) -> DataFrame:
     """(strategy, n, mean, sd, skew, kurt): bias-corrected skewness and excess kurtosis, 0 for too few rows."""
     m = returns.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"))
+    return m.select("strategy", "n", "mean", "sd", *corrected())
+
+
+def corrected() -> tuple[Column, Column]:
+    """Bias-corrected skew and kurt from n and the population figures g1 and g2."""
     n = F.col("n")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).otherwise(0.0)
-    return m.select("strategy", "n", "mean", "sd", F.coalesce(skew, F.lit(0.0)).alias("skew"), F.coalesce(kurt, F.lit(0.0)).alias("kurt"))
+    return F.coalesce(skew, F.lit(0.0)).alias("skew"), F.coalesce(kurt, F.lit(0.0)).alias("kurt")
 
 
-def cornish_fisher(m: DataFrame, level: float = 0.95) -> DataFrame:
+def cornish_fisher_value(level: float, n: Column, mean: Column, sd: Column, skew: Column, kurt: Column, quantile_: Column) -> Column:
+    """The modified value at risk; the historical one for fewer than four rows, 0 without dispersion."""
     z = NormalDist().inv_cdf(1 - level)
-    s, k = F.col("skew"), F.col("kurt")
-    zc = z + (z**2 - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36
-    return m.select("strategy", r10(F.greatest(F.lit(0.0), -(F.col("mean") + zc * F.col("sd")))).alias("cornish_fisher_var"))
+    zc = z + (z**2 - 1) * skew / 6 + (z**3 - 3 * z) * kurt / 24 - (2 * z**3 - 5 * z) * skew * skew / 36
+    value = F.when(n < 4, -quantile_).when(sd == 0, 0.0).otherwise(-(mean + zc * sd))
+    return r10(F.greatest(F.lit(0.0), value))
+
+
+def cornish_fisher(returns: DataFrame, level: float = 0.95) -> DataFrame:
+    m = moments(returns).join(returns.groupBy("strategy").agg(quantile(level).alias("q")), "strategy")
+    return m.select("strategy", cornish_fisher_value(level, *(F.col(c) for c in ("n", "mean", "sd", "skew", "kurt", "q"))).alias("cornish_fisher_var"))
 
 
 def rolling_sharpe(returns: DataFrame, window: int = 126) -> DataFrame:
+    """Trailing Sharpe ratio, not rounded; null until the window is filled."""
     w = by_session(-(window - 1))
     value = ratio(F.avg("ret").over(w), F.stddev_samp("ret").over(w)) * math.sqrt(YEAR)
-    return returns.withColumn("rolling_sharpe", F.when(F.count("ret").over(w) == window, r10(value)))
+    return returns.withColumn("rolling_sharpe", F.when(F.count("ret").over(w) == window, value))
 
 
 def histogram(returns: DataFrame, bins: int = 41) -> DataFrame:
@@ -135,23 +149,28 @@ def compounded(returns: DataFrame, *parts: str) -> DataFrame:
 
 
 def performance_summary(returns: DataFrame) -> DataFrame:
-    """Nineteen statistics of each series: one wide aggregate joined with those that need windows."""
-    dd = drawdowns(returns)
+    """Nineteen statistics of each series: one wide aggregate over its drawdowns, joined with the few that need its results.
+
+    The drawdowns of all series are written once, as the aggregate, the runs, the recovery and the tails read them.
+    """
+    dd = written(drawdowns(returns), "drawdowns")
     wide = dd.groupBy("strategy").agg(
-        F.count("*").alias("n_sessions"), product(1 + F.col("ret")).alias("growth"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2))).alias("down"),
+        F.count("*").alias("n"), product(1 + F.col("ret")).alias("growth"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2))).alias("down"),
         F.min("dd").alias("mdd"), F.max("ret").alias("best_day"), F.min("ret").alias("worst_day"), F.avg((F.col("ret") > 0).cast("double")).alias("positive_fraction"),
+        F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"), quantile(0.95).alias("q95"), quantile(0.99).alias("q99"),
     )
-    ann = annualized_return(F.col("growth"), F.col("n_sessions"))
-    root = math.sqrt(YEAR)
-    base = wide.select(
-        "strategy", "n_sessions", r10(ann).alias("annualized_return"), r10(F.coalesce("sd", F.lit(0.0)) * root).alias("annualized_volatility"), r10(ratio(F.col("mean"), F.col("sd")) * root).alias("sharpe"), r10(ratio(F.col("mean"), F.col("down")) * root).alias("sortino"),
+    tail = lambda q: F.avg(F.when(F.col("ret") <= F.col(q), F.col("ret")))
+    tails = dd.join(wide.select("strategy", "q95", "q99"), "strategy").groupBy("strategy").agg(tail("q95").alias("t95"), tail("q99").alias("t99"))
+    x = wide.select("*", *corrected()).join(tails, "strategy").join(drawdown_duration(dd), "strategy").join(time_to_recovery(dd), "strategy")
+    ann = annualized_return(F.col("growth"), F.col("n"))
+    root, loss = math.sqrt(YEAR), lambda c: r10(F.greatest(F.lit(0.0), -c))
+    return x.select(
+        "strategy", F.col("n").alias("n_sessions"), r10(ann).alias("annualized_return"), r10(F.coalesce("sd", F.lit(0.0)) * root).alias("annualized_volatility"), r10(ratio(F.col("mean"), F.col("sd")) * root).alias("sharpe"), r10(ratio(F.col("mean"), F.col("down")) * root).alias("sortino"),
         r10(F.when(F.col("mdd") < -EPS, ann / F.abs("mdd")).otherwise(0.0)).alias("calmar"), r10("mdd").alias("max_drawdown"), r10("best_day").alias("best_day"), r10("worst_day").alias("worst_day"), r10("positive_fraction").alias("positive_fraction"),
+        "max_drawdown_duration", "time_to_recovery", r10("skew").alias("skewness"), r10("kurt").alias("excess_kurtosis"),
+        loss(F.col("q95")).alias("var_95"), loss(F.coalesce("t95", "q95")).alias("cvar_95"), loss(F.col("q99")).alias("var_99"), loss(F.coalesce("t99", "q99")).alias("cvar_99"),
+        cornish_fisher_value(0.95, *(F.col(c) for c in ("n", "mean", "sd", "skew", "kurt", "q95"))).alias("cornish_fisher_var_95"),
     )
-    m = moments(returns)
-    out = base.join(drawdown_duration(dd), "strategy").join(time_to_recovery(dd), "strategy").join(m.select("strategy", r10("skew").alias("skewness"), r10("kurt").alias("excess_kurtosis")), "strategy")
-    for level in (0.95, 0.99):
-        out = out.join(var_cvar(returns, level).toDF("strategy", f"var_{round(level * 100)}", f"cvar_{round(level * 100)}"), "strategy")
-    return out.join(cornish_fisher(m).toDF("strategy", "cornish_fisher_var_95"), "strategy")
 
 
 def benchmark_stats(pairs: DataFrame) -> DataFrame:

@@ -49,6 +49,6 @@ def embargo_start(calendar: DataFrame, sessions: int) -> DataFrame:
 
 def completeness(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """(symbol, present, expected, completeness, excluded) within each symbol's own range."""
-    spans = bars.groupBy("symbol").agg(F.min("session").alias("lo"), F.max("session").alias("hi"), F.count_distinct("session").alias("present"))
-    due = spans.join(calendar, F.col("session").between(F.col("lo"), F.col("hi"))).groupBy("symbol").agg(F.first("present").alias("present"), F.count("*").alias("expected"))
+    on = bars.select("symbol", "session").distinct().join(calendar.select("session", "session_idx"), "session", "left")
+    due = on.groupBy("symbol").agg(F.count("*").alias("present"), (F.max("session_idx") - F.min("session_idx") + 1).cast("long").alias("expected"))
     return due.select("symbol", "present", "expected", F.round(F.col("present") / F.col("expected"), 10).alias("completeness"), F.greatest(F.col("expected") - F.col("present"), F.lit(0)).alias("excluded"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import matrix_of
@@ -41,10 +41,18 @@ def label_sums(rows: DataFrame) -> DataFrame:
     return per.select("label_end_session", F.sum("rows").over(w).alias("rows"), F.min("lo").over(w).alias("training_start"), F.max("hi").over(w).alias("training_end"))
 
 
-def training_split(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(decision_session, symbol, training_session) of the chosen decisions (decision_session, embargo_start): a range join for a few decisions; see ``training_membership`` for all."""
-    t = usable(rows).select("symbol", F.col("decision_session").alias("training_session"), "label_end_session")
-    return chosen.join(t, F.col("label_end_session") < F.col("embargo_start")).select("decision_session", "symbol", "training_session")
+def training_split(rows: DataFrame, embargo: int = EMBARGO) -> DataFrame:
+    """(decision_session, symbol, training_rows, training_start, training_end): what each decision trains on of each symbol, if anything.
+
+    A symbol's rows are sorted once by the end of their label; what ended before a decision's embargo is a running total. For the rows themselves see ``training_membership``.
+    """
+    t = usable(rows).select("symbol", F.col("label_end_session").alias("at"), F.lit(1).alias("kind"), F.col("decision_session").alias("s"), F.lit(None).cast("date").alias("decision_session"))
+    d = decisions(rows, embargo).where("embargo_start is not null")
+    # A row for each symbol and decision: the size of the result.
+    due = t.select("symbol").distinct().crossJoin(d.select(F.col("embargo_start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("date").alias("s"), "decision_session"))
+    w = Window.partitionBy("symbol").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = t.unionByName(due).select("symbol", "decision_session", F.count("s").over(w).alias("training_rows"), F.min("s").over(w).alias("training_start"), F.max("s").over(w).alias("training_end"))
+    return run.where("decision_session is not null and training_rows > 0").select("decision_session", "symbol", "training_rows", "training_start", "training_end")
 
 
 def training_membership(rows: DataFrame, embargo: int = EMBARGO) -> DataFrame:
@@ -85,7 +93,7 @@ def ridge_coefficients(rows: DataFrame, alphas: DataFrame, every: int = 1) -> Da
     """
     cols = [F.lit(1.0), *[F.col(z) for z in Z], F.col("forward_return_21")]
     names = [f"g{i}_{j}" for i in range(len(cols)) for j in range(i, len(cols))]
-    per = usable(rows).groupBy("label_end_session").agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))])
+    per = usable(finite_rows(rows)).where("finite").groupBy("label_end_session").agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))])
     d = decisions(rows)
     d = d.withColumn("i", F.row_number().over(Window.orderBy("decision_session")) - 1).where(f"i % {every} = 0 and embargo_start is not null")
     events = per.select(F.col("label_end_session").alias("at"), F.lit(None).cast("date").alias("decision_session"), F.lit(1).alias("kind"), *names).unionByName(
@@ -116,16 +124,45 @@ def forecasts(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
     return x.select("alpha", "decision_session", "symbol", F.round(dot, 10).alias("forecast"))
 
 
+def _finite(*columns: str) -> Column:
+    return F.forall(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
+def finite_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``finite``: whether the features and, where it is known, the label are finite numbers. Models leave other rows out of their sums."""
+    return rows.withColumn("finite", F.coalesce(_finite(*features.FEATURES), F.lit(False)) & F.coalesce(_finite("forward_return_21"), F.lit(True)))
+
+
+def finite_series(df: DataFrame, column: str) -> DataFrame:
+    """``df``, which fails when a null, NaN or infinite value of ``column`` is read."""
+    ok = F.coalesce(_finite(column), F.lit(False))
+    return df.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{column} is not finite: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("double")))
+
+
+def finiteness(rows: DataFrame) -> DataFrame:
+    """(decision_session, cross_section, bad_cross_section, bad_training): rows of each decision, those of them that are not finite, and such rows among what it trains on."""
+    f = finite_rows(rows)
+    own = f.where("not missing").groupBy("decision_session").agg(F.count("*").alias("cross_section"), F.count_if(~_finite(*features.FEATURES)).alias("bad_cross_section"))
+    bad = usable(f).where("not finite").groupBy(F.col("label_end_session").alias("at")).agg(F.count("*").alias("n"))
+    events = bad.select("at", "n", F.lit(None).cast("date").alias("decision_session"), F.lit(1).alias("kind")).unionByName(
+        decisions(rows).where("embargo_start is not null").select(F.col("embargo_start").alias("at"), F.lit(0).cast("long").alias("n"), "decision_session", F.lit(0).alias("kind"))
+    )
+    run = events.withColumn("bad_training", F.sum("n").over(Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("decision_session is not null")
+    out = decisions(rows).select("decision_session").join(own, "decision_session", "left").join(run.select("decision_session", "bad_training"), "decision_session", "left")
+    return out.select("decision_session", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("cross_section", "bad_cross_section", "bad_training")])
+
+
 def forecast_batches(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
-    """Metadata of every decision's batch: embargo, training range, rows, sessions and why it is blocked."""
+    """Metadata of every decision's batch: embargo, training range, rows, sessions and why it is blocked, by the first gate that it fails."""
     d, s = decisions(rows), sufficiency(rows, minimum)
     sums = label_sums(rows)
     events = sums.select(F.col("label_end_session").alias("at"), F.lit(None).cast("date").alias("decision_session"), F.lit(1).alias("kind"), F.struct("rows", "training_start", "training_end").alias("s")).unionByName(
         d.where("embargo_start is not null").select(F.col("embargo_start").alias("at"), "decision_session", F.lit(0).alias("kind"), F.lit(None).cast("struct<rows:bigint,training_start:date,training_end:date>").alias("s"))
     )
     picked = events.withColumn("s", F.last("s", ignorenulls=True).over(Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("decision_session is not null").select("decision_session", "s.*")
-    out = d.join(s, "decision_session").join(picked, "decision_session", "left")
-    return out.select("decision_session", "embargo_start", "training_start", "training_end", F.coalesce("rows", F.lit(0)).alias("training_rows"), "training_sessions", F.when(F.col("status") == "blocked", "insufficient_training_sessions").alias("blocked_reason"))
+    out = d.join(s, "decision_session").join(picked, "decision_session", "left").join(finiteness(rows), "decision_session")
+    why = F.when(F.col("status") == "blocked", "insufficient_training_sessions").when(F.col("cross_section") == 0, "empty_cross_section").when(F.col("bad_training") > 0, "non_finite_training").when(F.col("bad_cross_section") > 0, "non_finite_prediction")
+    return out.select("decision_session", "embargo_start", "training_start", "training_end", F.coalesce("rows", F.lit(0)).alias("training_rows"), "training_sessions", why.alias("blocked_reason"))
 
 
 def schedule(sessions: DataFrame, warmup: int, cadence: int = 1) -> DataFrame:

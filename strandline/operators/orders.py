@@ -12,7 +12,7 @@ def position_deltas(target: DataFrame, held: DataFrame, keys: tuple[str, ...] =
     return x.select(*keys, (F.col("t") - F.coalesce("h", F.lit(0))).alias("delta")).where("delta <> 0")
 
 
-def intents(deltas: DataFrame, prices: DataFrame, session: str, version: str, environment: str = "paper", prefix: str = "mlt", minimum: float = 500.0) -> DataFrame:
+def intents(deltas: DataFrame, prices: DataFrame, session: str, version: str, prefix: str, environment: str = "paper", minimum: float = 500.0) -> DataFrame:
     """Orders of at least ``minimum`` notional (a missing price counts as 0) with ids that follow from their content."""
     x = deltas.join(prices, "symbol", "left").where(F.abs(F.col("delta")) * F.coalesce("price", F.lit(0.0)) >= minimum)
     x = x.select("account", "symbol", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side"), F.abs("delta").cast("long").alias("qty"), "price")

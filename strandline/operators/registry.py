@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_number(c: Column) -> Column:
-    """Decimal text without trailing zeros; -0 is 0."""
-    t = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(t.isin("-0", "0"), "0").otherwise(t)
+    """All digits of a number without trailing zeros: plain from 1e-6 up to below 1e21, else as d.ddde+x; -0 is 0. Non-finite numbers are null."""
+    t = c.cast("string")
+    mantissa, power = F.regexp_extract(t, "^-?([0-9.]+)", 1), F.coalesce(F.regexp_extract(t, "E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    whole, part = F.substring_index(mantissa, ".", 1), F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+    long = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    digits = F.regexp_replace(long, "0+$", "")
+    exponent = power - F.length(part) + F.length(long) - F.length(digits)
+    n = F.length(digits)
+    top = exponent + n - 1
+    point = n + exponent
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+    )
+    far = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("e"), F.when(top >= 0, "+").otherwise("-"), F.abs(top).cast("string"))
+    shown = F.concat(F.when(t.startswith("-"), "-").otherwise(""), F.when(top.between(-6, 20), plain).otherwise(far))
+    return F.when(mantissa != "", F.when(digits == "", F.lit("0")).otherwise(shown))
 
 
 def digest(*columns: str) -> Column:
@@ -92,10 +112,52 @@ def flat_params(df: DataFrame, params: str, longest: int = 250) -> DataFrame:
     return df.withColumn(params, F.transform_values(params, lambda k, v: F.when(F.length(v) > longest, F.concat(F.lit("sha256:"), F.sha2(v.cast("binary"), 256))).otherwise(v)))
 
 
-MARKERS = ("secret", "password", "token", "api_key", "database_url", "authorization", "credential")
+# What marks a key as secret.
+MARKERS = ("secret", "password", "token", "api_key", "access_key", "database_url", "dsn")
+HIDDEN = "[REDACTED]"
+
+
+def _secret(name: str) -> bool:
+    return any(m in name.lower() for m in MARKERS)
+
+
+def redacted(c: Column, kind: T.DataType) -> Column:
+    """A column of type ``kind`` in which every field or map key with a marker is "[REDACTED]", in structs, maps and arrays of any depth. Secret values that are no text become null."""
+    if isinstance(kind, T.StructType):
+        fields = [(F.lit(HIDDEN) if isinstance(f.dataType, T.StringType) else F.lit(None).cast(f.dataType)) if _secret(f.name) else redacted(c[f.name], f.dataType) for f in kind]
+        return F.when(c.isNotNull(), F.struct(*[x.alias(f.name) for x, f in zip(fields, kind)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: redacted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        mask = F.lit(HIDDEN) if isinstance(kind.valueType, T.StringType) else F.lit(None).cast(kind.valueType)
+        return F.transform_values(c, lambda k, v: F.when(F.lower(k.cast("string")).rlike("|".join(MARKERS)), mask).otherwise(redacted(v, kind.valueType)))
+    return c
 
 
 def redact(df: DataFrame, props: str) -> DataFrame:
-    """Values of keys that hold a marker are "[REDACTED]", in a map column (nested objects are maps of their own JSON text)."""
-    pattern = "(?i)" + "|".join(MARKERS)
-    return df.withColumn(props, F.transform_values(props, lambda k, v: F.when(k.rlike(pattern), F.lit("[REDACTED]")).otherwise(v)))
+    """``df`` with its typed column ``props`` redacted (see ``redacted``)."""
+    return df.withColumn(props, redacted(F.col(props), df.schema[props].dataType))
+
+
+def _masked(x: object) -> object:
+    if isinstance(x, dict):
+        return {k: HIDDEN if _secret(k) else _masked(v) for k, v in x.items()}
+    return [_masked(v) for v in x] if isinstance(x, list) else x
+
+
+def redact_json(df: DataFrame, payload: str) -> DataFrame:
+    """JSON text in which the values of secret keys are "[REDACTED]", at any depth; order and spacing are those of plain compact JSON. What is not JSON is not shown at all."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            try:
+                return json.dumps(_masked(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return HIDDEN
+
+        for batch in batches:
+            yield batch.map(one, na_action=None).where(batch.notna(), None)
+
+    return df.withColumn(payload, F.pandas_udf(run, "string")(F.col(payload)))

@@ -79,6 +79,11 @@ def contribution(bars: DataFrame, start: str, end: str) -> DataFrame:
     return x.groupBy("symbol").agg((F.max_by("close", "session") / F.min_by("close", "session") - 1).alias("contribution"))
 
 
+def cash_baseline(sessions: DataFrame, initial: float) -> DataFrame:
+    """(strategy, session, ret, equity) of holding cash over the sessions."""
+    return sessions.select("strategy", "session", F.lit(0.0).alias("ret"), F.lit(float(initial)).alias("equity"))
+
+
 def metrics(curve: DataFrame, keys: tuple[str, ...], initial: float = 1_000_000.0) -> DataFrame:
     """Report metrics of each (key, cost) or window: geometric return over volatility as Sharpe; the drawdown's peak starts at the opening equity.
 

@@ -56,6 +56,18 @@ def unsorted_bars(rows: DataFrame, row_no: str, by: tuple[str, ...] = ()) -> Dat
     return rows.withColumn("before", F.lag(key).over(w)).where(F.col("before") > key).drop("before")
 
 
+def _any_unsorted(bars: DataFrame, row_no: str | None, block: int = 1 << 20) -> DataFrame:
+    """One row if some row is less than one before it. Blocks of row numbers are compared each in its own task, their ends with each other."""
+    if row_no is None:
+        return bars.where("false").select(F.lit(1).alias("n"))
+    key = F.struct("session", "symbol")
+    rows = bars.select(F.floor(F.col(row_no) / block).alias("block"), F.col(row_no).alias("no"), key.alias("key"))
+    inside = rows.withColumn("before", F.lag("key").over(Window.partitionBy("block").orderBy("no"))).where("before > key").select(F.lit(1).alias("n"))
+    ends = rows.groupBy("block").agg(F.min_by("key", "no").alias("first"), F.max_by("key", "no").alias("last"))
+    across = ends.withColumn("before", F.lag("last").over(Window.orderBy("block"))).where("before > first").select(F.lit(1).alias("n"))
+    return inside.unionByName(across).limit(1)
+
+
 def non_finite_values(bars: DataFrame) -> DataFrame:
     """(field, n) of fields with null, NaN or infinite values."""
     fields = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in PRICES]))
@@ -73,19 +85,21 @@ def incomplete_latest_session(bars: DataFrame, universe: DataFrame, expected: st
 
 
 def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(symbol, missing, first_gap): calendar sessions inside a symbol's own range without a bar.
+    """(symbol, missing, first_gap): calendar sessions (session, session_idx) inside a symbol's own range without a bar.
 
-    The range join has no cross product beyond symbols x sessions of their range: what should be there.
+    Gaps between a symbol's neighbouring bars are differences of their numbers in the calendar; no range is joined. Bars on days off the calendar are passed over.
     """
-    spans = bars.groupBy("symbol").agg(F.min("session").alias("lo"), F.max("session").alias("hi"))
-    due = spans.join(calendar.select("session"), F.col("session").between(F.col("lo"), F.col("hi"))).select("symbol", "session")
-    return due.join(bars, ["symbol", "session"], "left_anti").groupBy("symbol").agg(F.count("*").alias("missing"), F.min("session").alias("first_gap"))
+    on = bars.select("symbol", "session").distinct().join(calendar.select("session", "session_idx"), "session")
+    gap = F.col("session_idx") - F.lag("session_idx").over(Window.partitionBy("symbol").orderBy("session_idx")) - 1
+    gaps = on.withColumn("gap", gap).where("gap > 0").groupBy("symbol").agg(F.sum("gap").alias("missing"), F.min(F.col("session_idx") - F.col("gap")).alias("session_idx"))
+    return gaps.join(calendar.select("session_idx", F.col("session").alias("first_gap")), "session_idx").select("symbol", "missing", "first_gap")
 
 
-def quality_report(bars: DataFrame, universe: DataFrame, calendar: DataFrame, expected: str) -> DataFrame:
+def quality_report(bars: DataFrame, universe: DataFrame, calendar: DataFrame, expected: str, row_no: str | None = None) -> DataFrame:
     """All issues in rule order with the gate ``blocked``; one row of code ``ok`` when there are none.
 
-    Nothing else is reported for an empty input, and B11 only when the latest session is the expected one.
+    Nothing else is reported for an empty input, and the eighth rule only when the latest session is the expected one. The order of rows is judged by ``row_no``, if it is given.
+    Each rule reads ``bars`` for itself: pass a written table.
     """
     n = bars.agg(F.count("*").alias("n"), F.max("session").alias("latest"))
     dup = bars.groupBy("symbol", "session").count().where("count > 1")
@@ -93,6 +107,7 @@ def quality_report(bars: DataFrame, universe: DataFrame, calendar: DataFrame, ex
         symbol_outside_universe(bars, universe)
         .unionByName(missing_universe_symbol(bars, universe))
         .unionByName(_issue(dup, 4, "duplicate_bar", F.concat_ws(" ", "symbol", "session")))
+        .unionByName(_issue(_any_unsorted(bars, row_no), 5, "unsorted_bars", F.lit("bars are not sorted by (session, symbol)")))
         .unionByName(_issue(non_finite_values(bars), 6, "non_finite_value", F.col("field")))
         .unionByName(latest_session_mismatch(bars, expected))
         .unionByName(incomplete_latest_session(bars.join(n.where(F.col("latest") == F.lit(expected).cast("date")), F.lit(True), "left_semi"), universe, expected).join(n.where(F.col("latest") == F.lit(expected).cast("date")), F.lit(True), "left_semi"))

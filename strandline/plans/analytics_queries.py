@@ -118,7 +118,7 @@ from (select strategy, avg(ret) m, stddev_samp(ret) sd, skewness(ret) s, kurtosi
 
 @query(f"{R}, {_CF} select * from cf")
 def cornish_fisher_var(spark, d):
-    return an.cornish_fisher(an.moments(returns(spark, d)))
+    return an.cornish_fisher(returns(spark, d))
 
 
 @query(f"{R} select strategy, count(*) as n, round(skewness(ret), 8) as skew, round(kurtosis(ret), 8) as kurt from returns group by strategy")
@@ -200,12 +200,26 @@ def factor_attribution(spark, d):
     return linear.attribution(panel.close_returns(bars).join(factors, "session"), "strategy", "ret", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
-@query()
+def _psr(threshold: str) -> str:
+    """CTEs up to ``pr``: the probabilistic Sharpe ratio at a threshold; the error function by the same published approximation."""
+    return f"""{R}, mo as (select strategy, count(*) n, avg(ret) / stddev_samp(ret) as sr, skewness(ret) s, kurtosis(ret) k from returns group by strategy), th as ({threshold}),
+z as (select *, (sr - sr0) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - s * sr + (k + 2) / 4 * sr * sr)) as z from mo cross join th),
+t as (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as t from z),
+ph as (select *, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2) as e from t),
+pr as (select strategy, round(sr, 8) as sharpe, round(sr0, 8) as threshold, round(case when n < 3 then 0.0 when z >= 0 then 0.5 * (1 + e) else 0.5 * (1 - e) end, 6) as psr from ph)"""
+
+
+@query(f"{_psr('select 0.0 as sr0')} select * from pr")
 def psr(spark, d):
     return an.psr(returns(spark, d))
 
 
-@query()
+_INV = NormalDist().inv_cdf
+_BEST = 0.42278433509846713 * _INV(1 - 1 / 5) + 0.5772156649015329 * _INV(1 - 1 / (5 * 2.718281828459045))  # of five trials
+_DSR = _psr(f"select stddev_samp(sr) * {_BEST} as sr0 from mo")
+
+
+@query(f"{_DSR} select strategy, sharpe, threshold, psr as dsr from pr")
 def deflated_sharpe(spark, d):
     return an.deflated_sharpe(returns(spark, d))
 
@@ -213,21 +227,25 @@ def deflated_sharpe(spark, d):
 _HALVES = ", ".join(f"({c}, {b}, {str(b in half).lower()})" for c, half in enumerate(combinations(range(10), 5)) for b in range(10))
 
 
-@query(f"""{R}, o as (select *, row_number() over (partition by strategy order by session) - 1 as i, count(*) over (partition by strategy) as t from returns),
+_PBO = f"""o as (select *, row_number() over (partition by strategy order by session) - 1 as i, count(*) over (partition by strategy) as t from returns),
 bl as (select strategy, ret, (case when i < (t % 10) * (t // 10 + 1) then i // (t // 10 + 1) else t % 10 + (i - (t % 10) * (t // 10 + 1)) // (t // 10) end)::int as block from o),
 m as (select strategy, block, count(*) n, sum(ret) s, sum(ret * ret) q from bl group by all),
 x as (select combo, strategy, inside, sum(n) n, sum(s) s, sum(q) q from m join (values {_HALVES}) c(combo, block, inside) using (block) group by all),
 p as (select combo, strategy, inside, case when (q - s * s / n) / (n - 1) > 1e-18 then s / n / sqrt((q - s * s / n) / (n - 1)) else 0.0 end as perf from x),
 b as (select combo, strategy, max(perf) filter (where inside) as i, max(perf) filter (where not inside) as o from p group by all),
-r as (select *, row_number() over (partition by combo order by i desc, strategy) as first, rank() over (partition by combo order by o) + (count(*) over (partition by combo, o) - 1) / 2.0 as rk, count(*) over (partition by combo) as nt from b)
-select combo::int as combo, strategy as winner, round(ln((rk / (nt + 1)) / (1 - rk / (nt + 1))), 8) as logit from r where first = 1""")
+r as (select *, row_number() over (partition by combo order by i desc, strategy) as first, rank() over (partition by combo order by o) + (count(*) over (partition by combo, o) - 1) / 2.0 as rk, count(*) over (partition by combo) as nt from b),
+pl as (select combo::int as combo, strategy as winner, round(ln((rk / (nt + 1)) / (1 - rk / (nt + 1))), 8) as logit from r where first = 1)"""
+
+
+@query(f"{R}, {_PBO} select * from pl")
 def pbo_logits(spark, d):
     return an.pbo_logits(returns(spark, d))
 
 
-@query()
+@query(f"""{_DSR}, {_PBO}, su as (select count(*) as combinations, round(avg(case when logit <= 0 then 1.0 else 0.0 end), 8) as pbo, round(quantile_cont(logit, 0.5), 8) as logit_median from pl)
+select combinations, pbo, logit_median, strategy, sharpe, threshold, psr as dsr from su cross join (select * from pr order by sharpe desc, strategy limit 1)""")
 def overfitting_summary(spark, d):
-    return an.overfitting_summary(returns(spark, d))
+    return an.overfitting_summary(returns(spark, d)).withColumns({c: F.round(c, 8) for c in ("pbo", "logit_median")})
 
 
 @query(f"""{DD} select strategy, session, round(equity, 8) as equity from (select *, count(*) over (partition by strategy) as n from dd) where (idx - 1) % ceil(n / 320.0)::int = 0 or idx = n""")

@@ -65,7 +65,7 @@ tg as (select account, symbol, sum(qty)::bigint as qty from li where side = 0 gr
 pd as (select account, symbol, tg.qty - coalesce(hl.qty, 0) as delta from tg left join hl using (account, symbol) where tg.qty <> coalesce(hl.qty, 0)),
 pr as (select p_brand as symbol, round(avg(p_retailprice), 2) as price from part where p_brand <> 'Brand#11' group by 1),
 it as (select account, symbol, case when delta > 0 then 'buy' else 'sell' end as side, abs(delta) as qty, price,
-  'mlt-19980102-' || substr(sha256('{"account":' || account || ',"environment":"paper","qty":' || abs(delta) || ',"session":"1998-01-02","side":"' || case when delta > 0 then 'buy' else 'sell' end || '","symbol":"' || symbol || '","version":"v1"}'), 1, 24) as client_order_id
+  'desk-19980102-' || substr(sha256('{"account":' || account || ',"environment":"paper","qty":' || abs(delta) || ',"session":"1998-01-02","side":"' || case when delta > 0 then 'buy' else 'sell' end || '","symbol":"' || symbol || '","version":"v1"}'), 1, 24) as client_order_id
   from pd left join pr using (symbol) where abs(delta) * coalesce(price, 0) >= 500)"""
 
 
@@ -81,7 +81,7 @@ def _deltas(spark, d):
 
 def _intents(spark, d):
     prices = panel.table(spark, d, "part").where("p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("symbol")).agg(F.round(F.avg("p_retailprice"), 2).alias("price"))
-    return od.intents(_deltas(spark, d), prices, "1998-01-02", "v1")
+    return od.intents(_deltas(spark, d), prices, "1998-01-02", "v1", "desk")
 
 
 @query(f"with {_HOLD} select * from pd")
@@ -263,9 +263,23 @@ def artifact_inventory(spark, d):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.lit("application/vnd.apache.parquet").alias("media_type"))
 
 
-@query("""select event_id, case when event_type in ('click') then '[REDACTED]' else value::varchar end as value, props from (select event_id, event_type, value, props from events)""")
+_KEYS = ("client_secret", "PASSWORD", "token_2", "user_api_key", "Access_Key_Id", "database_url", "DSN", "note", "tok_en")
+_KEY = f"list_extract([{', '.join(repr(k) for k in _KEYS)}], (event_id % {len(_KEYS)} + 1)::int)"
+
+
+@query(f"""select event_id, '{{"id":' || event_id || ',"inner":{{"' || {_KEY} || '":' || case when event_id % {len(_KEYS)} >= 7 then '"v"' else '"[REDACTED]"' end || ',"list":[{{"db_dsn":"[REDACTED]"}},' || user_id || ']}},"secrets":"[REDACTED]"}}' as payload from events""")
 def redact_props(spark, d):
+    """JSON payloads with a secret at each depth, under every marker and under keys that only look like one."""
+    key = F.element_at(F.lit(list(_KEYS)), (F.col("event_id") % len(_KEYS) + 1).cast("int"))
+    inner = F.concat(F.lit('"inner":{"'), key, F.lit('":"v","list":[{"db_dsn":"x"},'), F.col("user_id").cast("string"), F.lit("]}"))
+    payload = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(","), inner, F.lit(',"secrets":{"a":1}}'))
+    return reg.redact_json(panel.table(spark, d, "events").select("event_id", payload.alias("payload")), "payload")
+
+
+@query("select event_id, '[REDACTED]' as api_key, '[REDACTED]' as password, event_type as kind, cast(null as double) as token from events")
+def redact_fields(spark, d):
+    """Typed records: secret fields in structs, maps and arrays."""
     e = panel.table(spark, d, "events")
-    key = F.when(F.col("event_type") == "click", "user_api_key").otherwise("note")
-    m = e.withColumn("m", F.create_map(key, F.col("value").cast("string")))
-    return reg.redact(m, "m").select("event_id", F.element_at(F.map_values("m"), 1).alias("value"), "props")
+    rec = F.struct(F.col("event_type").alias("api_key"), F.array(F.create_map(F.lit("user_password"), "event_type", F.lit("kind"), "event_type")).alias("maps"), F.struct(F.col("value").cast("double").alias("token")).alias("inner"))
+    r = reg.redact(e.select("event_id", rec.alias("r")), "r")
+    return r.select("event_id", "r.api_key", F.col("r.maps")[0]["user_password"].alias("password"), F.col("r.maps")[0]["kind"].alias("kind"), "r.inner.token")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import linear
 from ..operators import analytics as an
 from ..operators import features as feat
 from ..operators import modelling as mod
@@ -31,8 +32,9 @@ def rect(spark, d):
     return ingest.written(panel.rectangular(ingest.written(panel.daily_bars(spark, d), "bars")), "panel")
 
 
-def rows(spark, d):
-    return ingest.written(feat.feature_rows(rect(spark, d), "rect"), "features")
+def rows(spark, d, r=None):
+    """Feature rows of the panel ``r``, written once."""
+    return ingest.written(feat.feature_rows(rect(spark, d) if r is None else r, "rect"), "features")
 
 
 RECT = S.BARS.replace("bars as (", "bars0 as (") + ", bars as (select * from bars0 where session in (select session from bars0 group by session having count(*) = (select count(distinct symbol) from bars0)))"
@@ -41,16 +43,15 @@ CALENDAR = "cal as (select session, row_number() over (order by session) as i fr
 USABLE = "us as (select * from features where not missing and forward_return_21 is not null and label_end_session is not null)"
 
 
-@query(f"""{FEATS}, {CALENDAR}, {USABLE} select dec.decision_session, us.symbol, us.decision_session as training_session from dec join us on label_end_session < embargo_start where month(dec.decision_session) = 6 and day(dec.decision_session) between 1 and 3""")
+@query(f"""{FEATS}, {CALENDAR}, {USABLE} select dec.decision_session, us.symbol, count(*) as training_rows, min(us.decision_session) as training_start, max(us.decision_session) as training_end from dec join us on label_end_session < embargo_start group by dec.decision_session, us.symbol""")
 def training_split(spark, d):
-    r = rows(spark, d)
-    chosen = mod.decisions(r).where("month(decision_session) = 6 and day(decision_session) between 1 and 3")
-    return mod.training_split(r, chosen)
+    """The split of every decision by symbol."""
+    return mod.training_split(rows(spark, d))
 
 
 @query()
 def training_membership(spark, d):
-    """The split of every decision; training_split lists that of a few, as its SQL does."""
+    """The split of every decision, told by row: the first decision that each training row serves."""
     return mod.training_membership(rows(spark, d))
 
 
@@ -73,18 +74,23 @@ def _alphas(spark, *values):
     return spark.createDataFrame([(float(v),) for v in values], "alpha double")
 
 
-def _coefficients(spark, d, alphas=(1.0, 10.0, 100.0)):
-    return mod.ridge_coefficients(feat.xs_zscore(rows(spark, d).where("not missing")), _alphas(spark, *alphas))
+def _scores(spark, d):
+    return ingest.written(feat.xs_zscore(rows(spark, d).where("not missing")), "scores")
+
+
+def _coefficients(spark, z, alphas=(1.0, 10.0, 100.0)):
+    return mod.ridge_coefficients(z, _alphas(spark, *alphas))
 
 
 @query()
 def ridge_coefficients(spark, d):
-    return _coefficients(spark, d)
+    return _coefficients(spark, _scores(spark, d))
 
 
 @query()
 def forecasts(spark, d):
-    return mod.forecasts(feat.xs_zscore(rows(spark, d).where("not missing")), _coefficients(spark, d))
+    z = _scores(spark, d)
+    return mod.forecasts(z, _coefficients(spark, z))
 
 
 @query(f"{S.BARS}, s as (select session, row_number() over (order by session) as i, lead(session) over (order by session) as x from (select distinct session from bars)) select session as decision_session, x as execution_session, (i - 601) % 21 = 0 as retrain from s where i > 600 and x is not null")
@@ -99,8 +105,8 @@ qual as (select * from sig where forecast > 0 and vol > 0), des as (select *, 0.
 KEY = ("decision_session",)
 
 
-def _signals(spark, d):
-    return rows(spark, d).where("not missing").select("decision_session", "symbol", F.col("return_21").alias("forecast"), F.col("volatility_21").alias("vol"))
+def _signals(spark, d, r=None):
+    return rows(spark, d, r).where("not missing").select("decision_session", "symbol", F.col("return_21").alias("forecast"), F.col("volatility_21").alias("vol"))
 
 
 @query(f"{SIGNALS} select * from qual")
@@ -115,8 +121,9 @@ def desired_weights(spark, d):
 
 @query()
 def target_weights(spark, d):
-    f = mod.forecasts(feat.xs_zscore(rows(spark, d).where("not missing")), _coefficients(spark, d))
-    vol = rows(spark, d).where("not missing").select("decision_session", "symbol", F.col("volatility_21").alias("vol"))
+    z = _scores(spark, d)
+    f = mod.forecasts(z, _coefficients(spark, z))
+    vol = z.select("decision_session", "symbol", F.col("volatility_21").alias("vol"))
     return tgt.quantised(tgt.constrained(tgt.desired(f.join(vol, ["decision_session", "symbol"]))))
 
 
@@ -144,7 +151,7 @@ def asset_class_weights(spark, d):
 def held_weights(spark, d):
     r = rect(spark, d)
     retrain = mod.schedule(r.select("session").distinct(), 600, 21).where("retrain").select("decision_session")
-    w = tgt.quantised(tgt.constrained(tgt.desired(_signals(spark, d).join(retrain, "decision_session", "left_semi"), KEY), KEY))
+    w = tgt.quantised(tgt.constrained(tgt.desired(_signals(spark, d, r).join(retrain, "decision_session", "left_semi"), KEY), KEY))
     return mod.held_weights(r.select("session"), w)
 
 
@@ -209,8 +216,8 @@ y2 as (select *, exp(sum(ln(gap * cl)) over (partition by strategy, bps order by
 rp as (select strategy, bps::double as cost_bps, session, 1e6 * growth as equity, gap * cl - 1 as ret, turn * gap as turnover, k * gap * growth / (gap * cl) * 1e6 as cost, gap * cl > 1 as hit from y2)"""
 
 
-def _grid(spark, d):
-    sig = _signals(spark, d)
+def _grid(spark, d, r):
+    sig = _signals(spark, d, r)
     ex = sig.select("decision_session").distinct().withColumn("session", F.lead("decision_session").over(Window.orderBy("decision_session"))).where("session is not null")
     des = tgt.desired(sig, KEY).select("decision_session", "symbol", F.round("desired", 8).alias("desired"))
     grid = sig.select("decision_session", "symbol").join(ex, "decision_session").join(des, ["decision_session", "symbol"], "left")
@@ -218,13 +225,14 @@ def _grid(spark, d):
 
 
 def _replay(spark, d, names=("signal", "equal"), levels=(2.0, 5.0, 10.0)):
-    g = _grid(spark, d)
+    r = rect(spark, d)
+    g = _grid(spark, d, r)
     kinds = {"signal": g.withColumn("strategy", F.lit("signal")), "equal": g.withColumn("weight", F.lit(0.95 / 5)).withColumn("strategy", F.lit("equal"))}
     w = kinds[names[0]]
     for n in names[1:]:
         w = w.unionByName(kinds[n])
     costs = spark.createDataFrame([(c,) for c in levels], "cost_bps double")
-    return rep.replay(rep.cost_free(w, rect(spark, d)), costs)
+    return rep.replay(rep.cost_free(w, r), costs)
 
 
 _ROUND = "round(equity, 4) as equity, round(ret, 8) as ret, round(turnover, 8) as turnover, round(cost, 4) as cost"
@@ -276,14 +284,18 @@ def evaluation_windows(spark, d):
     return rep.windows(_replay(spark, d), ("strategy", "cost_bps"), 63)
 
 
+# The penalties of the trials.
+GRID = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
+
+
 @query()
 def alpha_trials(spark, d):
     """A return series for each ridge penalty: coefficients every 21 sessions, held in between, replayed at 5 bps."""
     r = rect(spark, d)
-    z = feat.xs_zscore(rows(spark, d).where("not missing"))
-    c = mod.ridge_coefficients(z, _alphas(spark, 0.1, 1.0, 10.0, 100.0), 21)
+    z = ingest.written(feat.xs_zscore(feat.feature_rows(r, "rect").where("not missing")), "scores")
+    c = mod.ridge_coefficients(z, _alphas(spark, *GRID), 21)
     # Each session uses the latest coefficients: a running value on one row a session and penalty.
-    days = z.select("decision_session").distinct().crossJoin(F.broadcast(_alphas(spark, 0.1, 1.0, 10.0, 100.0)))
+    days = z.select("decision_session").distinct().crossJoin(F.broadcast(_alphas(spark, *GRID)))
     w = Window.partitionBy("alpha").orderBy("decision_session").rowsBetween(Window.unboundedPreceding, 0)
     latest = days.join(c, ["decision_session", "alpha"], "left").withColumn("s", F.last(F.when(F.col("n").isNotNull(), F.struct("n", "intercept", "beta")), ignorenulls=True).over(w)).where("s is not null").select("decision_session", "alpha", "s.*")
     f = mod.forecasts(z, latest).join(z.select("decision_session", "symbol", F.col("volatility_21").alias("vol")), ["decision_session", "symbol"])
@@ -298,4 +310,33 @@ def alpha_trials(spark, d):
 @query()
 def trial_overfitting(spark, d):
     t = alpha_trials(spark, d).withColumnRenamed("trial", "strategy")
-    return an.overfitting_summary(t)
+    return an.overfitting_summary(ingest.written(t, "trials"))
+
+
+@query()
+def trials_table(spark, d):
+    """The trials written once, in (trial, session) order, with a manifest for each, and scanned back against it."""
+    t = ingest.written(alpha_trials(spark, d).sort("trial", "session"), "trials")
+    said = ingest.manifests(t, "trial", "session", "trials")
+    series = t.groupBy("trial").agg(F.count("*").alias("sessions"), F.min("session").alias("start_session"), F.max("session").alias("end_session"))
+    return series.join(said, F.lower("trial") == F.col("snapshot_id"), "left").select("trial", "sessions", "start_session", "end_session", (F.col("sessions") == F.col("row_count")).alias("complete"), "content_sha256")
+
+
+@query(f"{_REPLAY} select distinct strategy, session, 0.0 as ret, 1000000.0 as equity from rp")
+def cash_baseline(spark, d):
+    """What cash makes over the same sessions: nothing."""
+    return rep.cash_baseline(_replay(spark, d).select("strategy", "session").distinct(), 1e6)
+
+
+@query()
+def headline(spark, d):
+    """The headline of each replay at 5 bps against the equal-weight panel: return, risk, benchmark, final equity and overfitting figures in one row."""
+    r = ingest.written(_replay(spark, d).where("cost_bps = 5"), "replay")
+    series = r.select("strategy", "session", "ret")
+    bench = ingest.written(panel.close_returns(panel.daily_bars(spark, d)).groupBy("session").agg(F.round(F.avg("ret"), 10).alias("ret")), "bench")
+    stats = an.performance_summary(series).select("strategy", "sharpe", "annualized_return", "annualized_volatility", "max_drawdown", "sortino", "calmar")
+    rel = linear.with_pvalue(an.benchmark_stats(an.aligned(series, bench)), "alpha_tstat", F.col("n_sessions") - 2, "alpha_pvalue").select("strategy", "beta", "alpha_annualized", "alpha_tstat", F.round("alpha_pvalue", 8).alias("alpha_pvalue"), "information_ratio")
+    last = r.groupBy("strategy").agg(F.max_by("equity", "session").alias("final"))
+    over = an.overfitting_summary(series).select("pbo", F.col("dsr").alias("deflated_sharpe_ratio")) if series.select("strategy").distinct().count() > 1 else None
+    out = stats.join(rel, "strategy").join(last, "strategy").select("*", F.round("final", 2).alias("final_equity"), F.round(F.col("final") / 1e6, 4).alias("total_return_multiple")).drop("final")
+    return out.join(over, F.lit(True), "left") if over is not None else out

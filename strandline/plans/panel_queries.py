@@ -48,38 +48,57 @@ def rectangular_panel(spark, d):
     return panel.rectangular(panel.daily_bars(spark, d))
 
 
-@query()
+_CONTRACT = {"symbol": "string", "session": "date", **dict.fromkeys(("open", "high", "low", "close", "volume", "vwap"), "double"), "trade_count": "bigint"}
+
+
+@query(f"{S.BARS} " + " union all ".join(f"select '{c}' as column, '{t}' as wanted, '{t}' as found, true as ok, count(*) filter ({c} is null) as nulls from bars" for c, t in _CONTRACT.items()) + " union all select 'source', 'string', null, false, null")
 def schema_contract(spark, d):
-    return ingest.contract(panel.daily_bars(spark, d), "symbol string, session date, open double, high double, low double, close double, volume double, vwap double, trade_count bigint, source string")
+    return ingest.contract(panel.daily_bars(spark, d), ", ".join(f"{c} {t}" for c, t in _CONTRACT.items()) + ", source string")
 
 
 @query()
 def snapshot_digest(spark, d):
-    return ingest.digest(panel.daily_bars(spark, d), "session")
+    return ingest.digest(panel.daily_bars(spark, d))
 
 
 @query()
 def snapshot_verify(spark, d):
-    return ingest.publish_and_verify(panel.daily_bars(spark, d), "bars", "session")
+    """Daily bars that pass the quality gate, published and read back."""
+    bars = ingest.written(panel.daily_bars(spark, d).where("session <= date '2001-06-30'"), "bars")
+    u = bars.select("symbol").distinct()
+    latest = str(bars.agg(F.max("session")).first()[0])
+    issues = val.quality_report(bars.join(u, "symbol", "left_semi"), u, cal.observed(bars), latest).where("code not in ('missing_session', 'incomplete_latest_session')")
+    return ingest.publish_and_verify(bars, "bars", issues)
 
 
 @query()
 def manifest_lookup(spark, d):
-    bars = panel.daily_bars(spark, d)
-    return ingest.lookup(ingest.manifests(bars, "symbol", "session"), "bars")
+    """Manifests of two datasets, daily and weekly bars, and those of one of them."""
+    both = ingest.manifests(panel.daily_bars(spark, d), "symbol", "session").unionByName(ingest.manifests(panel.weekly_bars(spark, d), "symbol", "session", "weekly"))
+    return ingest.lookup(both, "bars")
 
 
-@query()
+_D4 = lambda c: f"cast({c}::varchar as decimal(18,4)) as {c}"
+
+
+@query(f"{S.BARS} select symbol, session, {_D4('open')}, {_D4('high')}, {_D4('low')}, {_D4('close')}, volume::bigint as volume, {_D4('vwap')}, trade_count, '' as reason from bars")
 def ingest_bars_json(spark, d):
     """Bars as response payloads, one for each session, parsed back."""
     return ingest.bars_from_json(ingest.bars_to_json(panel.daily_bars(spark, d)), "payload")
 
 
-@query("""select o_orderkey as order_id, case o_orderstatus when 'F' then 'filled' when 'O' then 'new' else 'partially_filled' end as state,
-  cast(floor(o_totalprice / 1000) as bigint) as qty, 0::bigint as filled_qty from orders""")
+_RAW = (*ingest.STATES, "unheard_of")
+
+
+@query(f"""with r as (select *, list_extract([{', '.join(f"'{s}'" for s in _RAW)}], (o_orderkey % {len(_RAW)} + 1)::int) as s from orders)
+select o_orderkey as order_id, case when s in ('filled', 'calculated') then 'filled' when s = 'partially_filled' then 'partially_filled'
+  when s in ('canceled', 'expired', 'rejected', 'replaced', 'done_for_day', 'suspended') then 'rejected' else 'new' end as state,
+  cast(floor(o_totalprice / 1000) as bigint) as qty, 0::bigint as filled_qty from r""")
 def normalize_orders(spark, d):
+    """Raw records with every broker state and one that is unknown, in either case."""
+    state = F.element_at(F.lit(list(_RAW)), (F.col("o_orderkey") % len(_RAW) + 1).cast("int"))
     raw = panel.table(spark, d, "orders").select(
-        F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.expr("case o_orderstatus when 'F' then 'filled' when 'O' then 'accepted' else 'partially_filled' end").alias("status"), F.floor(F.col("o_totalprice") / 1000).cast("string").alias("qty"))).alias("payload")
+        F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.upper(state)).otherwise(state).alias("status"), F.floor(F.col("o_totalprice") / 1000).cast("string").alias("qty"))).alias("payload")
     )
     return ingest.orders_from_json(raw, "payload").select(F.col("order_id").cast("bigint").alias("order_id"), "state", "qty", "filled_qty")
 
@@ -89,7 +108,7 @@ def evidence_rows(spark, d):
     return ingest.evidence(panel.daily_bars(spark, d), "bar", "1998-01-01 00:00:00", "session")
 
 
-@query()
+@query(f"{S.BARS} select * from bars")
 def evidence_roundtrip(spark, d):
     bars = panel.daily_bars(spark, d)
     return ingest.reload(ingest.evidence(bars, "bar", "1998-01-01 00:00:00", "session"), bars.schema)
@@ -201,9 +220,29 @@ def q_missing_session(spark, d):
     return val.missing_sessions(_dirty(spark, d), cal.observed(panel.daily_bars(spark, d)))
 
 
-@query()
+_SYMBOLS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MARS", "MIDDLE EAST")
+
+
+@query(f"""{_DIRTY}, cal as (select distinct session from bars), sp as (select symbol, min(session) lo, max(session) hi from dirty group by symbol),
+due as (select symbol, session from sp join cal on session between lo and hi), gaps as (select symbol, count(*) n, min(session) f from due where (symbol, session) not in (select (symbol, session) from dirty) group by symbol),
+o as (select session, symbol, (session - date '1995-01-01') * 10 + (case when day(session) = 17 then 10 - p else p end) as row_no from (select *, list_position([{', '.join(f"'{s}'" for s in _SYMBOLS)}], symbol) as p from dirty)),
+i as (
+  select 2 as seq, 'symbol_outside_universe' as code, symbol as message from (select distinct symbol from dirty) where symbol not in (select r_name from region)
+  union all select 3, 'missing_universe_symbol', r_name from region where r_name not in (select symbol from dirty)
+  union all select 4, 'duplicate_bar', symbol || ' ' || session from dirty group by symbol, session having count(*) > 1
+  union all select 5, 'unsorted_bars', 'bars are not sorted by (session, symbol)' where exists (select 1 from (select row(session, symbol) as k, lag(row(session, symbol)) over (order by row_no) as b from o) where b > k)
+  union all select 6, 'non_finite_value', 'vwap' where exists (select 1 from dirty where vwap is null or not isfinite(vwap))
+  union all select 7, 'latest_session_mismatch', max(session)::varchar from dirty having max(session) is distinct from date '{LATEST}'
+  union all select 8, 'incomplete_latest_session', r_name from region where r_name not in (select symbol from dirty where session = date '{LATEST}') and (select max(session) from dirty) = date '{LATEST}'
+  union all select 9, 'missing_session', symbol || ' ' || n || ' ' || f from gaps)
+select seq, code, 'block' as severity, message, true as blocked from i""")
 def quality_report(spark, d):
-    return val.quality_report(_dirty(spark, d), panel.universe(spark, d), cal.observed(panel.daily_bars(spark, d)), LATEST)
+    """All rules over bars with faults; on the 17th of a month the rows stand in reverse order."""
+    bars = panel.daily_bars(spark, d)
+    p = F.array_position(F.lit(list(_SYMBOLS)), F.col("symbol"))
+    no = F.datediff("session", F.lit("1995-01-01")) * 10 + F.when(F.dayofmonth("session") == 17, 10 - p).otherwise(p)
+    dirty = ingest.written(_dirty(spark, d).withColumn("row_no", no), "dirty")
+    return val.quality_report(dirty, panel.universe(spark, d), cal.observed(bars), LATEST, "row_no")
 
 
 # --- calendars

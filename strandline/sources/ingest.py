@@ -2,62 +2,56 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import published, written  # noqa: F401
+
 
 def contract(df: DataFrame, wanted: str) -> DataFrame:
-    """(column, wanted, found, ok) of each column of a schema in DDL. Only the plan's schema is read, so it costs no scan."""
+    """(column, wanted, found, ok, nulls) of each column of a schema in DDL: its type, and in one pass over the rows how many are null; a missing column has no count and is not ok."""
     need = T.StructType.fromDDL(wanted)
     have = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = [(f.name, f.dataType.simpleString(), have.get(f.name), have.get(f.name) == f.dataType.simpleString()) for f in need]
-    return df.sparkSession.createDataFrame(rows, "column string, wanted string, found string, ok boolean")
+    said = [(f.name, f.dataType.simpleString(), have.get(f.name)) for f in need]
+    row = lambda c, w, h: F.struct(F.lit(c).alias("column"), F.lit(w).alias("wanted"), F.lit(h).cast("string").alias("found"), F.lit(w == h).alias("ok"), (F.col(f"n_{c}") if h else F.lit(None).cast("long")).alias("nulls"))
+    counts = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c, _, h in said if h])
+    return counts.select(F.inline(F.array(*[row(*x) for x in said])))
+
 
+def _lanes(df: DataFrame) -> list[Column]:
+    """Four sums of 64-bit parts of the rows' SHA-256: a digest of a table in any row order that is summed up from any split of it."""
+    h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    return [F.sum(F.conv(F.substring(h, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")).alias(f"lane{k}") for k in range(4)]
 
-def digest(df: DataFrame, by: str) -> DataFrame:
-    """(rows, xor64, sha256) of a table, in any row order: hashes of rows make a hash of each ``by``, these one of all; one short row for each value of ``by`` meets in the end."""
-    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    one = df.select(F.col(by).cast("string").alias("k"), F.sha2(row.cast("binary"), 256).alias("h"), F.xxhash64(row).alias("x"))
-    keyed = one.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor("x").alias("x"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("h"))
-    return keyed.agg(F.sum("n").alias("rows"), F.bit_xor("x").alias("xor64"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit("")), "h"))), lambda s: s["h"]), "").cast("binary"), 256).alias("sha256"))
 
+def _sealed(rows: str) -> Column:
+    return F.sha2(F.concat_ws(":", F.col(rows).cast("string"), *[F.coalesce(F.col(f"lane{k}"), F.lit(0)).cast("string") for k in range(4)]).cast("binary"), 256)
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or where that is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
 
+def digest(df: DataFrame) -> DataFrame:
+    """(rows, sha256) of a table, in any row order: one partial aggregate, a few numbers from each task."""
+    return df.agg(F.count("*").alias("rows"), *_lanes(df)).select("rows", _sealed("rows").alias("sha256"))
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder with the rows of ``df``: cuts the lineage of what several stages read."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def publish_and_verify(df: DataFrame, name: str, issues: DataFrame | None = None) -> DataFrame:
+    """Write a snapshot (never over one that exists), keep its digest as a manifest, read it back and compare: (dataset, rows, sha256, verified).
 
-def publish_and_verify(df: DataFrame, name: str, by: str) -> DataFrame:
-    """Write a snapshot (never over one that exists), keep its digest as a manifest, read it back and compare: (dataset, rows, sha256, verified)."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    said, got = digest(df, by), digest(back, by)
+    ``issues`` is a quality report (see ``validation.quality_report``): a blocked one stops before anything is written.
+    """
+    if issues is not None and issues.where("blocked").head(1):
+        raise ValueError(f"{name}: the quality report blocks publishing")
+    back = published(df, name)
+    said, got = digest(df), digest(back)
     return said.join(got.select(F.col("rows").alias("r"), F.col("sha256").alias("h")), F.lit(True)).select(F.lit(name).alias("dataset"), "rows", "sha256", ((F.col("rows") == F.col("r")) & (F.col("sha256") == F.col("h"))).alias("verified"))
 
 
-def manifests(df: DataFrame, by: str, order: str) -> DataFrame:
-    """One manifest a group: (dataset, snapshot_id, row_count, content_sha256, metadata, valid)."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)
-    m = df.withColumn("h", row).groupBy(by).agg(F.count("*").alias("row_count"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("content_sha256"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    m = m.select(F.lit("bars").alias("dataset"), F.lower(F.regexp_replace(by, " ", "-")).alias("snapshot_id"), "row_count", "content_sha256", F.create_map(F.lit("start"), F.col("lo").cast("string"), F.lit("end"), F.col("hi").cast("string")).alias("metadata"))
-    return m.withColumn("valid", F.col("snapshot_id").rlike("^[a-z0-9][a-z0-9._-]*$") & F.col("content_sha256").rlike("^[0-9a-f]{64}$"))
+def manifests(df: DataFrame, by: str, order: str, dataset: str = "bars") -> DataFrame:
+    """One manifest a group: (dataset, snapshot_id, row_count, content_sha256, metadata, valid). Each group is one partial aggregate, whatever its size."""
+    m = df.groupBy(by).agg(F.count("*").alias("row_count"), *_lanes(df), F.min(order).alias("lo"), F.max(order).alias("hi"))
+    m = m.select(F.lit(dataset).alias("dataset"), F.lower(F.regexp_replace(by, " ", "-")).alias("snapshot_id"), "row_count", _sealed("row_count").alias("content_sha256"), F.create_map(F.lit("start"), F.col("lo").cast("string"), F.lit("end"), F.col("hi").cast("string")).alias("metadata"))
+    path_ok = F.col("snapshot_id").rlike("^[a-z0-9][a-z0-9._-]*$") & ~F.col("snapshot_id").contains("..")
+    return m.withColumn("valid", path_ok & F.col("content_sha256").rlike("^[0-9a-f]{64}$") & (F.length(F.trim("dataset")) > 0))
 
 
 def lookup(table: DataFrame, dataset: str, snapshot_id: str | None = None) -> DataFrame:
@@ -85,20 +79,20 @@ def bars_from_json(df: DataFrame, payload: str) -> DataFrame:
     return typed.withColumn("reason", F.array_join(missing, ","))
 
 
-#: Raw broker states and ours; any other is ``new``.
+# Raw broker states and ours; any other is ``new``.
 STATES = {
-    "new": "new", "accepted": "new", "pending_new": "new", "accepted_for_bidding": "new", "held": "new", "pending_replace": "new", "replaced": "new", "calculated": "new", "stopped": "new", "suspended": "new",
-    "partially_filled": "partially_filled", "filled": "filled", "done_for_day": "filled",
-    "canceled": "rejected", "expired": "rejected", "rejected": "rejected", "pending_cancel": "new",
+    "new": "new", "accepted": "new", "pending_new": "new", "accepted_for_bidding": "new", "stopped": "new", "held": "new",
+    "partially_filled": "partially_filled", "filled": "filled", "canceled": "rejected", "expired": "rejected", "rejected": "rejected",
+    "replaced": "rejected", "pending_cancel": "new", "pending_replace": "new", "done_for_day": "rejected", "suspended": "rejected", "calculated": "filled",
 }
 
 
 def orders_from_json(df: DataFrame, payload: str) -> DataFrame:
-    """(order_id, state, qty, filled_qty, submitted_at) of raw order records; missing filled quantities are 0."""
+    """(order_id, state, qty, filled_qty, submitted_at) of raw order records; missing filled quantities are 0, the case of states does not count."""
     x = df.select(F.from_json(payload, "id string, client_order_id string, symbol string, qty string, filled_qty string, side string, status string, submitted_at string").alias("o")).select("o.*")
     states = F.create_map(*[F.lit(v) for kv in STATES.items() for v in kv])
     whole = lambda c: F.col(c).try_cast("decimal(38,10)").cast("bigint")
-    return x.select(F.col("id").alias("order_id"), F.coalesce(F.try_element_at(states, F.col("status")), F.lit("new")).alias("state"), whole("qty").alias("qty"), F.coalesce(whole("filled_qty"), F.lit(0).cast("bigint")).alias("filled_qty"), F.try_to_timestamp("submitted_at").alias("submitted_at"))
+    return x.select(F.col("id").alias("order_id"), F.coalesce(F.try_element_at(states, F.lower("status")), F.lit("new")).alias("state"), whole("qty").alias("qty"), F.coalesce(whole("filled_qty"), F.lit(0).cast("bigint")).alias("filled_qty"), F.try_to_timestamp("submitted_at").alias("submitted_at"))
 
 
 def evidence(df: DataFrame, kind: str, at: str, session: str) -> DataFrame:

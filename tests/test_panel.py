@@ -134,8 +134,8 @@ def test_json_and_snapshots(spark):
     bad = spark.createDataFrame([('{"bars": {"A": [{"t": "2024-01-02T05:00:00Z", "o": "1", "h": "2", "l": "1", "c": "x", "v": 1, "vw": "1", "n": 1}]}}',)], "payload string")
     assert ingest.bars_from_json(bad, "payload").first().reason == "bad_close"
     b = bars(spark, [("A", "2024-01-01", 1.0), ("A", "2024-01-02", 2.0)])
-    assert ingest.publish_and_verify(b, "t", "session").first().verified
-    assert ingest.digest(b, "session").first() == ingest.digest(b.orderBy(b.session.desc()), "session").first()
+    assert ingest.publish_and_verify(b, "t").first().verified
+    assert ingest.digest(b).first() == ingest.digest(b.orderBy(b.session.desc())).first() != ingest.digest(b.limit(1)).first()
     back = ingest.reload(ingest.evidence(b, "bar", "2024-01-01 00:00:00", "session"), b.schema)
     assert sorted(back.collect()) == sorted(b.collect())
 
@@ -194,3 +194,65 @@ def test_held_weights_follow_the_retrain_cadence(spark, monkeypatch):
     assert sorted(got) == days[600:]
     changes = [i for i in range(601, 700) if got[days[i]] != got[days[i - 1]]]
     assert changes == [621, 642, 663, 684]
+
+
+def test_every_broker_state(spark):
+    want = {"new": "new", "ACCEPTED": "new", "stopped": "new", "Filled": "filled", "calculated": "filled", "replaced": "rejected", "done_for_day": "rejected", "SUSPENDED": "rejected", "pending_cancel": "new", "what": "new", None: "new"}
+    import json
+
+    raw = spark.createDataFrame([(json.dumps({"id": str(i), "status": s, "qty": "3.0"}),) for i, s in enumerate(want)], "payload string")
+    assert [r.state for r in ingest.orders_from_json(raw, "payload").orderBy("order_id").collect()] == [s for _, s in sorted((str(i), s) for i, s in enumerate(want.values()))]
+    assert len(ingest.STATES) == 17
+
+
+def test_redaction_at_any_depth(spark):
+    import json
+
+    deep = {"dsn": 1, "context": {"auth_token": "t", "list": [{"ACCESS_KEY": [1]}, "x", 2.5]}, "note": "é"}
+    df = spark.createDataFrame([(json.dumps(deep),), (None,), ("no json {",)], "payload string")
+    got = [r.payload for r in registry.redact_json(df, "payload").collect()]
+    assert json.loads(got[0]) == {"dsn": "[REDACTED]", "context": {"auth_token": "[REDACTED]", "list": [{"ACCESS_KEY": "[REDACTED]"}, "x", 2.5]}, "note": "é"} and got[1:] == [None, "[REDACTED]"]
+    typed = spark.createDataFrame([((("p", [{"my_dsn": "d", "k": "v"}], 1.0), "n"),), (None,)], "r struct<a: struct<password: string, maps: array<map<string,string>>, token: double>, b: string>")
+    rows = [r.r for r in registry.redact(typed, "r").collect()]
+    assert rows[0].asDict(True) == {"a": {"password": "[REDACTED]", "maps": [{"my_dsn": "[REDACTED]", "k": "v"}], "token": None}, "b": "n"} and rows[1] is None
+
+
+def test_few_rows_have_historical_cornish_fisher(spark):
+    r = returns(spark, [-0.05, 0.01, 0.02])
+    assert analytics.cornish_fisher(r).first().cornish_fisher_var == pytest.approx(0.044)
+    assert analytics.performance_summary(r).first().cornish_fisher_var_95 == pytest.approx(0.044)
+    assert analytics.cornish_fisher(returns(spark, [0.01] * 5)).first().cornish_fisher_var == 0
+
+
+def test_canonical_numbers(spark):
+    from pyspark.sql import functions as F
+
+    want = {"1.50": "1.5", "-0.0": "0", "1E-11": "1e-11", "2.5e-7": "2.5e-7", "0.000001": "0.000001", "123400": "123400", "1e21": "1e+21", "12345678901234567890": "12345678901234567000", "-0.25": "-0.25", "100": "100"}
+    df = spark.createDataFrame([(float(x), y) for x, y in want.items()], "x double, y string")
+    assert [(r.y, r.z) for r in df.select("y", registry.canonical_number(F.col("x")).alias("z")).collect() if r.y != r.z] == []
+    d = spark.sql("select cast(1.500000000000000000001 as decimal(38,21)) as x")
+    assert d.select(registry.canonical_number(F.col("x"))).first()[0] == "1.500000000000000000001"
+
+
+def test_gates(spark):
+    b = bars(spark, [("A", "2024-01-02", 1.0), ("B", "2024-01-02", 1.0), ("A", "2024-01-03", 1.0), ("B", "2024-01-03", 1.0)])
+    u, cal = b.select("symbol").distinct(), calendars.observed(b)
+    from pyspark.sql import functions as F
+
+    in_order = b.withColumn("no", F.datediff("session", F.lit("2024-01-01")) * 10 + F.ascii("symbol"))
+    codes = lambda x: [r.code for r in validation.quality_report(x, u, cal, "2024-01-03", "no").collect()]
+    assert codes(in_order) == ["ok"] and codes(in_order.withColumn("no", -F.col("no"))) == ["unsorted_bars"]
+    issues = validation.quality_report(in_order.withColumn("no", -F.col("no")), u, cal, "2024-01-03", "no")
+    with pytest.raises(ValueError):
+        ingest.publish_and_verify(b, "t", issues)
+    nan = spark.createDataFrame([(1.0,), (float("nan"),)], "ret double")
+    with pytest.raises(Exception, match="not finite"):
+        modelling.finite_series(nan, "ret").collect()
+    assert modelling.finite_series(nan.where("not isnan(ret)"), "ret").count() == 1
+
+
+def test_missing_sessions_and_completeness(spark):
+    b = bars(spark, [("A", "2024-01-02", 1.0), ("A", "2024-01-08", 1.0), ("B", "2024-01-02", 1.0), ("B", "2024-01-03", 1.0), ("B", "2024-01-04", 1.0), ("B", "2024-01-08", 1.0)])
+    got = validation.missing_sessions(b, calendars.observed(b)).collect()
+    assert [(r.symbol, r.missing, str(r.first_gap)) for r in got] == [("A", 2, "2024-01-03")]
+    assert {(r.symbol, r.present, r.expected, r.excluded) for r in calendars.completeness(b, calendars.observed(b)).collect()} == {("A", 2, 4, 2), ("B", 4, 4, 0)}
