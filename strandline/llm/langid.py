@@ -27,16 +27,18 @@ SAMPLE = 2000
 BUCKETS = 1 << 14
 #: Share of rightly labelled calibration rows that may be rejected, and the score above which none is.
 REJECT_RATE, REJECT_BELOW = 0.001, 0.5
+#: Labels that a model tells apart at most: the most frequent ones. Their counts are what reaches the driver.
+KINDS = 1000
 UNKNOWN = "und"
 
 
 def sampled(df: DataFrame, label: str, on: list[str], size: int) -> DataFrame:
     """About ``size`` rows, the labels' shares as equal as the rows allow, chosen by a hash of ``on``.
 
-    One aggregation counts the labels (a bounded number of kinds is expected); no
+    One aggregation counts the labels, of which the ``KINDS`` most frequent are sampled; no
     row is shuffled.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(F.desc("count"), label).limit(KINDS).collect()}
     if not counts:
         return df.limit(0)
     rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, size / len(counts) / n))])
@@ -65,14 +67,24 @@ def feature_rows(df: DataFrame, label: str, text: str, buckets: int, extra=None)
     return sorted(out, key=lambda r: (str(r[0]), len(r[1]), zlib.crc32(r[1].tobytes()), zlib.crc32(r[2].tobytes())))
 
 
+def held(rows: list[tuple]) -> list[bool]:
+    """Which rows calibrate: every fifth of a label, so that one of few rows is learnt all the same."""
+    seen: dict[object, int] = {}
+    out = []
+    for y, *_ in rows:
+        seen[y] = seen.get(y, 0) + 1
+        out.append(seen[y] % 5 == 0)
+    return out
+
+
 def split_fit(rows: list[tuple[object, np.ndarray, np.ndarray]], buckets: int) -> tuple[ng.Averaged | None, list, list]:
-    """Fit on four rows of five, calibrate on the fifth; (model, calibration rows, their labels)."""
+    """Fit on four rows of five of each label, calibrate on the fifth; (model, calibration rows, their labels)."""
     if not rows:
         return None, [], []
-    train, held = [r for i, r in enumerate(rows) if i % 5], rows[::5]
-    train = train or held
+    own = held(rows)
+    train, rest = [r for r, h in zip(rows, own) if not h], [r for r, h in zip(rows, own) if h]
     model = ng.fit([(ix, c) for _, ix, c in train], [y for y, _, _ in train], buckets)
-    features, labels = [(ix, c) for _, ix, c in held], [y for y, _, _ in held]
+    features, labels = [(ix, c) for _, ix, c in rest], [y for y, _, _ in rest]
     return ng.calibrated(model, features, labels), features, labels
 
 
