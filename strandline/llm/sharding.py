@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ._work import settled
 
-#: Ranges of the key's hash within a shard, for slot numbers.
-RANGES = 256
+#: Ranges of the key's hash within a shard, for slot numbers, at least, and the rows of one that are numbered together, about.
+RANGES, RANGE_ROWS = 256, 100_000
 
 Tree = dict[str, dict[str, dict[int, float]]]
 
@@ -65,18 +65,20 @@ def place(key: Column, tree: Tree) -> Column:
     return choose([(r, w) for r, w, _ in regions], [in_region(r, racks) for r, _, racks in regions])
 
 
-def shards_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
+def shards_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, founded: int | None = None) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) of every row, under the law ``key``.
 
     The id and the number of shards alone decide the shard; a null id is a key of its own. grown_shard is
-    the shard with one more. Slots count each shard's rows from 0 without gaps, in order of a hash,
+    the shard with one more, which takes rows only into itself. ``founded`` shards (8, or all if there are fewer) filled the tree at first; it stays the same when shards are added. Slots count each shard's rows from 0 without gaps, in order of a hash,
     by counts of hash ranges and row numbers within them. Null texts have no bytes (size 1). Repeated rows get slots of their own. Other columns are not read.
     """
-    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    key, base = F.coalesce(F.col("id").cast("string"), F.lit("null")), founded or min(shards, 8)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = rows.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), crc.cast("long").alias("text_crc32"), place(key, tree_of(shards)).cast("int").alias("shard"), place(key, tree_of(shards + 1)).cast("int").alias("grown_shard"))
-    rows = settled(rows.withColumn("h", F.xxhash64("id", "text_crc32", "size")).withColumn("range", F.pmod("h", F.lit(RANGES)).cast("int")), "placed")
+    rows = rows.select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), crc.cast("long").alias("text_crc32"), place(key, tree_of(shards, base)).cast("int").alias("shard"), place(key, tree_of(shards + 1, base)).cast("int").alias("grown_shard"))
+    rows = settled(rows.withColumn("h", F.xxhash64("id", "text_crc32", "size")), "placed")
+    ranges = max(RANGES, rows.count() // (shards * RANGE_ROWS))
+    rows = rows.withColumn("range", F.pmod("h", F.lit(ranges)).cast("int"))
     counts = rows.groupBy("shard", "range").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "range", before.alias("offset"))
