@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = settled(small, "edges")
@@ -67,7 +67,7 @@ def link_components(
     verify: Callable[[DataFrame], DataFrame],
     block_pairs: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame], DataFrame] | None = None,
-    max_rounds: int = 6,
+    max_rounds: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """Return (labels: node, label; links: a, b that were confirmed).
 

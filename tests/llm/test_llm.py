@@ -195,10 +195,39 @@ def test_language_and_quality(spark):
     assert not quality.hierarchical_quality(df, quality.train(df, labels.limit(0))).where("rejected").count()
 
 
-def test_site_posteriors_equal_a_plain_version(spark):
-    df = spark.createDataFrame([(i, "x", f"p{i % 2}", f"h{i % 3}") for i in range(30)], "doc_id long, text string, lang string, source string")
-    rows = quality.hierarchical_quality(df, quality.QualityModel(None, 0.0)).collect()
-    assert all(abs(r.host_posterior - 0.5) < 1e-12 and abs(r.path_posterior - 0.5) < 1e-12 and abs(r.score - 0.5) < 1e-9 for r in rows)
+def test_site_posteriors_equal_a_plain_version(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    rows = [(i, f"{rng.betavariate(4, 1 + i % 3):.6f}", f"p{i % 2}" if i % 9 else None, f"h{i % 3}" if i % 7 else None) for i in range(60)] + [(60, "0.5", "p9", "alone")]
+    monkeypatch.setattr(quality, "evidence", lambda fitted, text: F.col(text).cast("double"))
+    got = {r.doc_id: r for r in quality.hierarchical_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), quality.QualityModel(None)).collect()}
+    p = {i: float(t) for i, t, _, _ in rows}
+    site = {i: (h, lang) for i, _, lang, h in rows}
+
+    def strength(groups):
+        kept = [g for g in groups if len(g) >= 2]
+        n, k = sum(map(len, kept)), sum(map(sum, kept))
+        means = [sum(g) / len(g) for g in kept]
+        mu = k / n
+        spread = sum(m * m for m in means) / len(means) - (sum(means) / len(means)) ** 2 - mu * (1 - mu) * sum(1 / len(g) for g in kept) / len(kept)
+        return min(max(mu * (1 - mu) / max(spread, 1e-9) - 1, 1), 1e4)
+
+    hosts, paths = {}, {}
+    for i, s in site.items():
+        hosts.setdefault(s[0], []).append(p[i])
+        paths.setdefault(s, []).append(p[i])
+    mu, mh, mp = sum(p.values()) / len(p), strength(hosts.values()), strength(paths.values())
+    logit = lambda x: np.log(x / (1 - x))
+    for i, s in site.items():
+        host = (sum(hosts[s[0]]) - p[i] + mh * mu) / (len(hosts[s[0]]) - 1 + mh)
+        path = (sum(paths[s]) - p[i] + mp * host) / (len(paths[s]) - 1 + mp)
+        score = 1 / (1 + np.exp(-(logit(p[i]) + logit(path) - logit(mu))))
+        assert (got[i].host_posterior, got[i].path_posterior, got[i].score) == (pytest.approx(host), pytest.approx(path), pytest.approx(score)) and not got[i].rejected
+
+
+def test_few_rows_of_a_label_are_learnt_all_the_same():
+    assert langid.held([("a",)] * 6 + [("b",)]) == [False] * 4 + [True, False, False]
 
 
 def test_warc_round_trip_and_salvage(spark, tmp_path):
@@ -325,6 +354,33 @@ def test_sharding(spark):
     assert sharding.shards_of(df.limit(0)).count() == 0
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    df = corpus(spark, ["x"] * 2000)
+    for shards in (1, 3, 7, 8, 11):
+        rows = sharding.shards_of(df, shards=shards).collect()
+        assert all(r.grown_shard in (r.shard, shards) for r in rows) and {r.shard for r in rows} == set(range(shards))
+        moved = sum(r.grown_shard == shards for r in rows)
+        assert abs(moved / 2000 - 1 / (shards + 1)) < 0.05
+    grown = {r.doc_id: r.shard for r in sharding.shards_of(df, shards=8, founded=7).collect()}
+    assert grown == {r.doc_id: r.grown_shard for r in sharding.shards_of(df, shards=7).collect()}
+
+
+def test_slots_and_places_equal_a_plain_version(spark):
+    from pyspark.sql import functions as F
+
+    df = corpus(spark, ["t%d" % i for i in range(300)])
+    got = {r.doc_id: r for r in sharding.shards_of(df).collect()}
+    key = F.col("doc_id").cast("string")
+    names = {f"{n}": n for n in ["r0", "r1", *[f"r{r}/k{k}" for r in (0, 1) for k in (2 * r, 2 * r + 1)], *[f"r{s // 4}/k{s // 2}/{s}" for s in range(8)]]}
+    hashes = df.select("doc_id", *[F.xxhash64(F.lit(n), key).alias(a) for a, n in names.items()]).collect()
+    draw = lambda h, w: -np.log((((h % 2**64) >> 11) + 0.5) / 2**53) / w
+    for row in hashes:
+        region = min(("r0", "r1"), key=lambda n: draw(row[n], 4.0))
+        rack = min([f"{region}/k{k}" for k in (0, 1, 2, 3) if f"{region}/k{k}" in names], key=lambda n: draw(row[n], 2.0))
+        shard = min([n for n in names if n.startswith(rack + "/")], key=lambda n: draw(row[n], 1.0))
+        assert got[row.doc_id].shard == int(shard.rsplit("/")[-1])
+
+
 def test_weights_move_rows_into_the_changed_subtree_only(spark):
     from pyspark.sql import functions as F
 
