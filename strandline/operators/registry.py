@@ -13,23 +13,28 @@ from pyspark.sql import types as T
 
 def canonical_number(c: Column) -> Column:
     """All digits of a number without trailing zeros: plain from 1e-6 up to below 1e21, else as d.ddde+x; -0 is 0. Non-finite numbers are null."""
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  names a value that is used several times
+
+    def shown(x: Column) -> Column:
+        digits, n, point = x["digits"], x["n"], x["point"]
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.rpad(digits, point, F.lit("0")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        )
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+        far = F.concat(F.substring(digits, 1, 1), tail, F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
+        return F.when(n == 0, "0").otherwise(F.concat(x["sign"], F.when(point.between(-5, 21), plain).otherwise(far)))
+
+    def split(x: Column) -> Column:
+        digits = F.regexp_replace(x["long"], "0+$", "")
+        return F.struct(x["sign"].alias("sign"), digits.alias("digits"), F.length(digits).alias("n"), (x["power"] - F.length(x["part"]) + F.length(x["long"])).alias("point"))
+
     t = c.cast("string")
-    mantissa, power = F.regexp_extract(t, "^-?([0-9.]+)", 1), F.coalesce(F.regexp_extract(t, "E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole, part = F.substring_index(mantissa, ".", 1), F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
-    long = F.regexp_replace(F.concat(whole, part), "^0+", "")
-    digits = F.regexp_replace(long, "0+$", "")
-    exponent = power - F.length(part) + F.length(long) - F.length(digits)
-    n = F.length(digits)
-    top = exponent + n - 1
-    point = n + exponent
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-    )
-    far = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.lit("e"), F.when(top >= 0, "+").otherwise("-"), F.abs(top).cast("string"))
-    shown = F.concat(F.when(t.startswith("-"), "-").otherwise(""), F.when(top.between(-6, 20), plain).otherwise(far))
-    return F.when(mantissa != "", F.when(digits == "", F.lit("0")).otherwise(shown))
+    part = F.regexp_extract(t, "[.]([0-9]+)", 1)
+    power = F.coalesce(F.regexp_extract(t, "E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    read = F.struct(F.regexp_extract(t, "^-?", 0).alias("sign"), part.alias("part"), power.alias("power"), F.regexp_replace(F.concat(F.regexp_extract(t, "^-?([0-9]+)", 1), part), "^0+", "").alias("long"))
+    return F.when(t.rlike("^-?[0-9]"), bound(bound(read, split), shown))
 
 
 def digest(*columns: str) -> Column:

@@ -209,7 +209,7 @@ ph as (select *, 1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t
 pr as (select strategy, round(sr, 8) as sharpe, round(sr0, 8) as threshold, round(case when n < 3 then 0.0 when z >= 0 then 0.5 * (1 + e) else 0.5 * (1 - e) end, 6) as psr from ph)"""
 
 
-@query(f"{_psr('select 0.0 as sr0')} select * from pr")
+@query(f"{_psr('select 0.0::double as sr0')} select * from pr")
 def psr(spark, d):
     return an.psr(returns(spark, d))
 

@@ -322,7 +322,7 @@ def trials_table(spark, d):
     return series.join(said, F.lower("trial") == F.col("snapshot_id"), "left").select("trial", "sessions", "start_session", "end_session", (F.col("sessions") == F.col("row_count")).alias("complete"), "content_sha256")
 
 
-@query(f"{_REPLAY} select distinct strategy, session, 0.0 as ret, 1000000.0 as equity from rp")
+@query(f"{_REPLAY} select distinct strategy, session, 0.0::double as ret, 1000000.0::double as equity from rp")
 def cash_baseline(spark, d):
     """What cash makes over the same sessions: nothing."""
     return rep.cash_baseline(_replay(spark, d).select("strategy", "session").distinct(), 1e6)
