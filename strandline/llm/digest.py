@@ -16,7 +16,7 @@ _OTHER = r"\t-\r\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: White space that is not a single space between words: only that is replaced.
 _SPACE = f"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"
 #: Rows of one range of ids, about, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 20_000, 1 << 14
+RANGE_ROWS, MOST_RANGES = 4_000, 1 << 14
 #: Range borders that a row is compared with at a time.
 STRIDE = 128
 
@@ -37,6 +37,13 @@ def digest(canon: Column) -> Column:
     return F.concat(word(canon), word(F.lit("wide"), canon))
 
 
+def printed(df: DataFrame, text: str = "text", name: str = "fingerprint", keep_canon: bool = False) -> DataFrame:
+    """``df`` with the fingerprint ``name`` of a text column. The canonical text is a column of its own on the way (``canon``, kept if asked for): Spark takes its functions as ones that may
+    not give the same twice, and would run them for every use."""
+    out = df.withColumn("canon", canonical(F.col(text))).withColumn(name, digest(F.col("canon")))
+    return out if keep_canon else out.drop("canon")
+
+
 def group_ids(prints: DataFrame, df: DataFrame, text_col: str) -> tuple[DataFrame, bool]:
     """(fingerprint, group_id) of (id, fingerprint) rows, and whether texts of one fingerprint differ somewhere.
 
@@ -44,14 +51,14 @@ def group_ids(prints: DataFrame, df: DataFrame, text_col: str) -> tuple[DataFram
     canonical text of each, pre-aggregated too.
     """
     buckets = settled(prints.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count("*").alias("n")), "buckets")
-    canon = df.select(canonical(F.col(text_col)).alias("canon")).select("canon", digest(F.col("canon")).alias("fingerprint"))
+    canon = printed(df.select(F.col(text_col).alias("text")), keep_canon=True).select("canon", "fingerprint")
     bytes_of = canon.join(buckets.where("n > 1").select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi"))
     return buckets.select("fingerprint", "group_id"), bool(bytes_of.where("lo <> hi").head(1))
 
 
 def _groups_by_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fingerprint, group_id) of every row by the whole canonical text: for tables in which fingerprints collide."""
-    rows = df.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon")).select("id", "canon", digest(F.col("canon")).alias("fingerprint"))
+    rows = printed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keep_canon=True).select("id", "canon", "fingerprint")
     least = rows.groupBy("fingerprint", "canon").agg(F.min("id").alias("group_id"))
     return rows.join(least, ["fingerprint", "canon"]).select("id", "fingerprint", "group_id")
 
@@ -63,7 +70,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty texts are one group. Repeated rows stay; null ids are passed over by the minimum.
     Columns other than the two named are not read. An empty table gives none.
     """
-    prints = settled(df.select(F.col(id_col).alias("id"), digest(canonical(F.col(text_col))).alias("fingerprint")), "prints")
+    prints = settled(printed(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", "fingerprint"), "prints")
     groups, clash = group_ids(prints, df, text_col)
     out = _groups_by_text(df, id_col, text_col) if clash else prints.join(groups, "fingerprint")
     return out.select(F.col("id").alias(id_col), "fingerprint", "group_id")
@@ -76,7 +83,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copied to the end of the range before it, so no row needs another task's. Equal ids are
     ordered by a hash of their texts; null ids come last. Only range borders reach the driver, 16,384 at most.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fingerprint", digest(canonical(F.col("text"))))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = df.select(F.col(id_col).cast("double").alias("id"))
     n = ids.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
@@ -93,14 +100,15 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     best = dealt.groupBy("range").agg(F.max("id").alias("id")).collect()
     best = sorted((r["range"], r["id"]) for r in best)
     if not best:
-        return rows.withColumns({"next_text": F.lit(""), "next_fingerprint": F.lit("")})
+        return rows.withColumns({"fingerprint": F.lit(""), "next_text": F.lit(""), "next_fingerprint": F.lit("")})
     # A range's border row goes to the next higher range (ids fall), the highest one's to the lowest.
     goes = {best[k][0]: best[(k + 1) % len(best)][0] for k in range(len(best))}
     copies = dealt.withColumn("to", _tree(best, goes)).where("to is not null")
     if copies.groupBy("range").count().where("count > 1").head(1):  # several rows share a range's largest id
         first = Window.partitionBy("range").orderBy(*order)
         copies = copies.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    both = dealt.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "text", "fingerprint", F.col("to").alias("range"), F.lit(True).alias("copy")))
+    # Only what is left of the copies gets a fingerprint.
+    both = printed(dealt).withColumn("copy", F.lit(False)).unionByName(printed(copies).select("id", "text", "fingerprint", F.col("to").alias("range"), F.lit(True).alias("copy")))
     # As many partitions as ranges, so that a task's share does not grow with the table.
     both = both.repartition(max(len(best), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "range")
     after = F.lead(F.struct("text", "fingerprint")).over(Window.partitionBy("range").orderBy("copy", *order))
@@ -124,7 +132,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(df, id_col, text_col).select("*", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.withColumn("edited_fingerprint", digest(canonical(F.col("edited"))))
+    rows = printed(rows, "edited", "edited_fingerprint")
     # Canonical texts are made again only where fingerprints are equal.
     near = lambda f, t: F.when(F.col("fingerprint") == F.col(f), canonical(F.col("text")) == canonical(F.col(t))).otherwise(False).cast("double")
     out = settled(rows.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint", "edited").alias("near_edited"), near("next_fingerprint", "next_text").alias("near_next")), "edited")
