@@ -62,7 +62,7 @@ def matrix_of(g, k: int) -> np.ndarray:
 
 
 def attribution(df: DataFrame, key: str, y: str, xs: list[str]) -> DataFrame:
-    """Least squares of ``y`` on ``xs`` for each key: (key, factor, beta, tstat, alpha_annualized, r_squared, n); too few rows give none."""
+    """Least squares of ``y`` on ``xs`` for each key: (key, factor, beta, tstat, alpha_annualized, alpha_tstat, r_squared, n); too few rows give none."""
     k = len(xs) + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,9 +79,9 @@ def attribution(df: DataFrame, key: str, y: str, xs: list[str]) -> DataFrame:
                 tss = m[k, k] - m[0, k] ** 2 / n
                 se = np.sqrt(np.maximum(rss / (n - k) * np.diag(inv), 0))
                 t = np.where(se > 0, beta / np.where(se > 0, se, 1), 0.0)
-                rows += [(name, x, round(float(beta[i]), 8), round(float(t[i]), 6), round(float(beta[0] * YEAR), 8), round(float(1 - rss / tss) if tss > 0 else 0.0, 8), int(n)) for i, x in enumerate(xs, 1)]
-            yield pd.DataFrame(rows, columns=["key", "factor", "beta", "tstat", "alpha_annualized", "r_squared", "n"])
+                rows += [(name, x, round(float(beta[i]), 8), round(float(t[i]), 6), round(float(beta[0] * YEAR), 8), round(float(t[0]), 6), round(float(1 - rss / tss) if tss > 0 else 0.0, 8), int(n)) for i, x in enumerate(xs, 1)]
+            yield pd.DataFrame(rows, columns=["key", "factor", "beta", "tstat", "alpha_annualized", "alpha_tstat", "r_squared", "n"])
 
     g = gram(df, [key], y, xs).withColumnRenamed(key, "key")
-    out = g.mapInPandas(run, "key string, factor string, beta double, tstat double, alpha_annualized double, r_squared double, n long")
+    out = g.mapInPandas(run, "key string, factor string, beta double, tstat double, alpha_annualized double, alpha_tstat double, r_squared double, n long")
     return out.withColumnRenamed("key", key)

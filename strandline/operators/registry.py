@@ -107,6 +107,16 @@ def merge_plan(stored: DataFrame, new: DataFrame) -> DataFrame:
     return x.select("run_id", F.when(F.col("s").isNull(), "new").when(F.col("s") == F.col("n"), "same").otherwise("conflict").alias("action"))
 
 
+def context_hash(context: str) -> Column:
+    return F.sha2(F.col(context).cast("binary"), 256)
+
+
+def context_mismatches(runs: DataFrame, stored: DataFrame, by: str, context: str) -> DataFrame:
+    """Runs that must be rejected: those of which the context's hash is not the one stored for their ``by`` (reason changed), or for which none is stored (unknown)."""
+    x = runs.join(stored.select(by, "context_hash"), by, "left").withColumn("reason", F.when(F.col("context_hash").isNull(), "unknown").when(~F.col("context_hash").eqNullSafe(context_hash(context)), "changed"))
+    return x.where("reason is not null").drop("context_hash")
+
+
 def tracking_update(runs: DataFrame, updates: DataFrame) -> DataFrame:
     u = updates.select("run_id", F.col("tracking_status").alias("ts"), F.col("tracking_id").alias("ti"))
     return runs.join(u, "run_id", "left").select("run_id", F.coalesce("ts", "tracking_status").alias("tracking_status"), F.coalesce("ti", "tracking_id").alias("tracking_id"))

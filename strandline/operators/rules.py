@@ -18,29 +18,37 @@ def aggregates(proposals: DataFrame, weights: DataFrame, orders: DataFrame) -> D
 
 
 def checks(x: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
-    """(proposal_id, seq, code, status) of the seventeen rules over ``aggregates``."""
+    """(proposal_id, seq, code, status, detail) of the seventeen rules over ``aggregates``; detail says what blocks, to six places, and is null for a pass. A rule that nulls leave open blocks."""
     c, tiny = F.col, 1e-9
-    rules: list[tuple[str, Column]] = [
-        ("snapshot_health", ~c("snapshot_blocked")),
-        ("snapshot_freshness", c("snapshot_last") == c("expected_last")),
-        ("decision_session_freshness", c("decision_session") == c("expected_decision")),
-        ("model_version", c("model_version") == c("expected_model")),
-        ("feature_version", c("feature_version") == c("expected_feature")),
-        ("finite_values", (c("bad_w") + c("bad_n") == 0) & ~F.isnan("equity") & ~F.isnan("cash_weight")),
-        ("position_limit", (c("bad_w") == 0) & (c("max_w") <= limits["position"] + tiny)),
-        ("gross_exposure", c("gross") <= 1 + tiny),
-        ("net_exposure", c("net").between(-tiny, 1 + tiny)),
-        ("cash_reserve", c("cash_weight") >= limits["cash"] - tiny),
-        ("per_order_notional", c("max_n") <= limits["order"] * c("equity") + tiny),
-        ("total_rebalance_notional", c("sum_n") <= limits["rebalance"] * c("equity") + tiny),
-        ("minimum_order_notional", c("min_n").isNull() | (c("min_n") >= limits["minimum"])),
-        ("duplicate_intent", c("ids") == c("kinds")),
-        ("broker_account_status", ~(c("account_blocked") | c("trading_blocked"))),
-        ("reconciliation", ~c("reconciliation_blocked")),
-        ("live_trading_disabled", ~c("live_enabled")),
+    shown = lambda e: e.cast("decimal(38,6)").cast("string")
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    text = lambda name: c(name).cast("string")
+    order, rebalance = limits["order"] * c("equity"), limits["rebalance"] * c("equity")
+    rules: list[tuple[str, Column, Column]] = [
+        ("snapshot_health", ~c("snapshot_blocked"), said("snapshot is blocked")),
+        ("snapshot_freshness", c("snapshot_last") == c("expected_last"), said(text("snapshot_last"), " is not ", text("expected_last"))),
+        ("decision_session_freshness", c("decision_session") == c("expected_decision"), said(text("decision_session"), " is not ", text("expected_decision"))),
+        ("model_version", c("model_version") == c("expected_model"), said(c("model_version"), " is not ", c("expected_model"))),
+        ("feature_version", c("feature_version") == c("expected_feature"), said(c("feature_version"), " is not ", c("expected_feature"))),
+        ("finite_values", (c("bad_w") + c("bad_n") == 0) & ~F.isnan("equity") & ~F.isnan("cash_weight"), said((c("bad_w") + c("bad_n")).cast("string"), " weights and notionals are not finite")),
+        ("position_limit", (c("bad_w") == 0) & (c("max_w") <= limits["position"] + tiny), said(shown(c("max_w")), f" > {limits['position']}")),
+        ("gross_exposure", c("gross") <= 1 + tiny, said(shown(c("gross")), " > 1")),
+        ("net_exposure", c("net").between(-tiny, 1 + tiny), said(shown(c("net")), " is not between 0 and 1")),
+        ("cash_reserve", c("cash_weight") >= limits["cash"] - tiny, said(shown(c("cash_weight")), f" < {limits['cash']}")),
+        ("per_order_notional", c("max_n") <= order + tiny, said(shown(c("max_n")), " > ", shown(order))),
+        ("total_rebalance_notional", c("sum_n") <= rebalance + tiny, said(shown(c("sum_n")), " > ", shown(rebalance))),
+        ("minimum_order_notional", c("min_n").isNull() | (c("min_n") >= limits["minimum"]), said(shown(c("min_n")), f" < {limits['minimum']}")),
+        ("duplicate_intent", c("ids") == c("kinds"), said((c("ids") - c("kinds")).cast("string"), " repeated")),
+        ("broker_account_status", ~(c("account_blocked") | c("trading_blocked")), F.concat_ws(", ", F.when(c("account_blocked"), "account blocked"), F.when(c("trading_blocked"), "trading blocked"))),
+        ("reconciliation", ~c("reconciliation_blocked"), said("reconciliation is blocked")),
+        ("live_trading_disabled", ~c("live_enabled"), said("live trading is enabled")),
     ]
-    rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(code).alias("code"), F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("block").alias("status")) for i, (code, ok) in enumerate(rules, 1)])
-    return x.select("proposal_id", F.inline(rows))
+
+    def row(i: int, code: str, ok: Column, why: Column) -> Column:
+        fine = F.coalesce(ok, F.lit(False))
+        return F.struct(F.lit(i).alias("seq"), F.lit(code).alias("code"), F.when(fine, "pass").otherwise("block").alias("status"), F.when(~fine, F.coalesce(why, F.lit("a value is missing"))).alias("detail"))
+
+    return x.select("proposal_id", F.inline(F.array(*[row(i, *rule) for i, rule in enumerate(rules, 1)])))
 
 
 def summary(rows: DataFrame) -> DataFrame:

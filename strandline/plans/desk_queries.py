@@ -31,7 +31,9 @@ wa as (select proposal_id, max(abs(weight)) mw, sum(abs(weight)) g, sum(weight)
 x as (select hd.*, coalesce(mw, 0) mw, coalesce(g, 0) g, coalesce(nt, 0) nt, coalesce(mn, 0) mn, coalesce(sn, 0) sn, lo, coalesce(ids, 0) ids, coalesce(kinds, 0) kinds from hd left join wa using (proposal_id))"""
 _RULES = ["not snapshot_blocked", "snapshot_last = expected_last", "true", "model_version = 'm1'", "true", "true", "mw <= 0.25 + 1e-9", "g <= 1 + 1e-9", "nt between -1e-9 and 1 + 1e-9", "cash_weight >= 0.05 - 1e-9", "mn <= 0.10 * equity + 1e-9", "sn <= 0.50 * equity + 1e-9", "lo is null or lo >= 500.0", "ids = kinds", "not (account_blocked or trading_blocked)", "not reconciliation_blocked", "not live_enabled"]
 _CODES = ["snapshot_health", "snapshot_freshness", "decision_session_freshness", "model_version", "feature_version", "finite_values", "position_limit", "gross_exposure", "net_exposure", "cash_reserve", "per_order_notional", "total_rebalance_notional", "minimum_order_notional", "duplicate_intent", "broker_account_status", "reconciliation", "live_trading_disabled"]
-_CHECKS = f"with {_HEAD}, ck as (" + " union all ".join(f"select proposal_id, {i} as seq, '{c}' as code, case when coalesce({r}, false) then 'pass' else 'block' end as status from x" for i, (c, r) in enumerate(zip(_CODES, _RULES), 1)) + ")"
+_N = lambda e: f"cast({e} as decimal(38,6))::varchar"
+_WHY = ["'snapshot is blocked'", "snapshot_last || ' is not ' || expected_last", "''", "model_version || ' is not m1'", "''", "''", f"{_N('mw')} || ' > 0.25'", f"{_N('g')} || ' > 1'", f"{_N('nt')} || ' is not between 0 and 1'", f"{_N('cash_weight')} || ' < 0.05'", f"{_N('mn')} || ' > ' || {_N('0.10 * equity')}", f"{_N('sn')} || ' > ' || {_N('0.50 * equity')}", f"{_N('lo')} || ' < 500.0'", "(ids - kinds) || ' repeated'", "concat_ws(', ', case when account_blocked then 'account blocked' end, case when trading_blocked then 'trading blocked' end)", "'reconciliation is blocked'", "'live trading is enabled'"]
+_CHECKS = f"with {_HEAD}, ck as (" + " union all ".join(f"select proposal_id, {i} as seq, '{c}' as code, case when coalesce({r}, false) then 'pass' else 'block' end as status, case when not coalesce({r}, false) then {y} end as detail from x" for i, (c, r, y) in enumerate(zip(_CODES, _RULES, _WHY), 1)) + ")"
 
 
 def _checks(spark, d):
@@ -231,10 +233,15 @@ def trial_seeds(spark, d):
     return panel.table(spark, d, "orders").select("o_orderkey", reg.trial_seed(F.col("o_custkey"), F.col("o_orderkey")).alias("seed"))
 
 
-@query("select o_orderkey as run_id from orders where sha256(o_orderstatus) <> sha256('O')")
+@query("""with st as (select o_custkey as study, sha256(min(o_orderpriority)) as h from orders group by all having count(*) > 3)
+select o_orderkey as run_id, o_custkey as study, case when h is null then 'unknown' else 'changed' end as reason from orders left join st on study = o_custkey where h is null or h <> sha256(o_orderpriority)""")
 def context_mismatch(spark, d):
+    """Runs of a study whose context is not the one that the study was begun with."""
     o = panel.table(spark, d, "orders")
-    return o.where(F.sha2(F.col("o_orderstatus").cast("binary"), 256) != F.sha2(F.lit("O").cast("binary"), 256)).select(F.col("o_orderkey").alias("run_id"))
+    studies = o.groupBy(F.col("o_custkey").alias("study")).agg(F.min("o_orderpriority").alias("context"), F.count("*").alias("n")).where("n > 3")
+    stored = studies.select("study", reg.context_hash("context").alias("context_hash"))
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("study"), F.col("o_orderpriority").alias("context"))
+    return reg.context_mismatches(runs, stored, "study", "context").select("run_id", "study", "reason")
 
 
 @query("select o_orderkey as run_id, case when o_orderkey % 3 = 0 then 'new' when o_orderstatus = 'O' then 'same' else 'conflict' end as action from orders")

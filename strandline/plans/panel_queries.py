@@ -122,6 +122,12 @@ def intents_to_insert(spark, d):
     return ingest.to_insert(o.where("o_orderstatus <> 'F'"), o.where("o_orderstatus = 'F'"), "client_order_id").select("client_order_id")
 
 
+@query("select 'c-' || o_custkey::varchar || '-' || cast(o_orderdate as date)::varchar as client_order_id, count(*) as n from orders group by all")
+def intent_counts(spark, d):
+    o = panel.table(spark, d, "orders").withColumn("client_order_id", F.concat_ws("-", F.lit("c"), F.col("o_custkey").cast("string"), F.to_date("o_orderdate").cast("string")))
+    return ingest.stored_counts(o, "client_order_id")
+
+
 @query()
 def run_list(spark, d):
     """Run records written as JSON lines with some unreadable ones between them; the readable ones, newest first."""

@@ -111,6 +111,11 @@ def to_insert(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return new.dropDuplicates([key]).join(stored.select(key).distinct(), key, "left_anti")
 
 
+def stored_counts(stored: DataFrame, key: str) -> DataFrame:
+    """(key, n): how often each key is stored; once, if only ``to_insert`` feeds the table."""
+    return stored.groupBy(key).agg(F.count("*").alias("n"))
+
+
 def run_lines(orders: DataFrame) -> DataFrame:
     """Orders told as run records in JSON lines; every tenth line is cut short."""
     body = F.to_json(F.struct(F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"), F.lit("complete").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("finished"), F.struct(F.round(F.col("o_totalprice") / 1e5, 4).alias("sharpe")).alias("metrics")))
