@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, digest, html, langid, mixing, quality, sharding, warc
+from . import audio, bpe, digest, html, langid, lattice, mixing, quality, sharding, warc
 from .neardup import near_duplicates
 
 
@@ -87,8 +87,21 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_of(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def piece_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public vocabulary of pieces and their scores lies."""
+    return vocab_path(name)
+
+
+def op13_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice likelihood of all documents by a model of those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = lattice.train(docs.where(lattice.not_held_out()), piece_path())
+    own = docs.select("doc_id", "text", (~lattice.not_held_out()).alias("held_out"))
+    return lattice.score(own, model, counts, keep=("doc_id", "held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chroma, op2_bpe, op3_fingerprint, op4_neardup, op5_html, op6_mixing, op7_language, op8_warc, op9_quality, op10_shards)
+    found = (op1_chroma, op2_bpe, op3_fingerprint, op4_neardup, op5_html, op6_mixing, op7_language, op8_warc, op9_quality, op10_shards, op13_likelihood)
     return {f.__name__: f for f in found}
 
 
