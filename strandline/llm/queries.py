@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, digest, hardneg, html, langid, lattice, mixing, quality, sharding, warc
+from . import audio, bpe, digest, hardneg, html, langid, lattice, mixing, quality, ranked, sharding, warc
 from .neardup import near_duplicates
 
 
@@ -93,6 +93,11 @@ def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(vectors, F.col("vec_id") % 100 == 0, noise=F.col("vec_id") % 7 == 0)
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    return ranked.search(ranked.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def piece_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the public vocabulary of pieces and their scores lies."""
     return vocab_path(name)
@@ -107,9 +112,9 @@ def op13_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chroma, op2_bpe, op3_fingerprint, op4_neardup, op5_html, op6_mixing, op7_language, op8_warc, op9_quality, op10_shards, op11_hardneg, op13_likelihood)
+    found = (op1_chroma, op2_bpe, op3_fingerprint, op4_neardup, op5_html, op6_mixing, op7_language, op8_warc, op9_quality, op10_shards, op11_hardneg, op12_search, op13_likelihood)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE, "op11_hardneg": hardneg.ORACLE}
+    return {"op6_mixing": mixing.ORACLE, "op11_hardneg": hardneg.ORACLE, "op12_search": ranked.ORACLE}
