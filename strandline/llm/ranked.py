@@ -31,7 +31,7 @@ from ._words import text_slices
 from ._work import settled
 
 #: Postings of a block, documents of a shard at most, bytes of text of a shard (or one document), items of a group.
-BLOCK, SHARD_DOCUMENTS, SHARD_BYTES, ITEMS = 128, 1 << 16, 1 << 26, 512
+BLOCK, SHARD_DOCUMENTS, SHARD_BYTES, ITEMS = 128, 1 << 16, 1 << 24, 512
 #: Documents of the first window and of the largest.
 FIRST_WINDOW, LAST_WINDOW = 256, 8192
 
@@ -63,7 +63,10 @@ def _shard(number: int, ids: np.ndarray, sizes: np.ndarray, docs: np.ndarray, te
     order = np.lexsort((ids, ids == np.iinfo(np.int64).max))
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-    key, tf = np.unique(terms * max(1, len(ids)) + place[docs], return_counts=True)
+    key = terms.astype(np.int64) * max(1, len(ids))
+    key += place[docs]
+    del terms, docs
+    key, tf = np.unique(key, return_counts=True)
     term, doc = key // max(1, len(ids)), key % max(1, len(ids))
     length = sizes[order][doc]
     heads = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -132,8 +135,8 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             # Each slice has its own dictionary: one more encoding numbers the terms of the shard.
             coded = words.dictionary_encode()
             to = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            of = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-            return _shard(number, np.concatenate(ids), np.concatenate(sizes), np.concatenate(docs) if docs else np.zeros(0, np.int64), to[of], coded.dictionary)
+            of = np.concatenate(terms) if terms else np.zeros(0, np.int32)
+            return _shard(number, np.concatenate(ids), np.concatenate(sizes), np.concatenate(docs) if docs else np.zeros(0, np.int32), to[of], coded.dictionary)
 
         for batch in batches:
             own = np.asarray(batch.column("id").fill_null(np.iinfo(np.int64).max))
@@ -143,8 +146,8 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 base = sum(map(len, kinds))
                 ids.append(own[first:last])
                 sizes.append(np.diff(bounds).astype(np.int64))
-                docs.append(np.repeat(np.arange(n, n + last - first), np.diff(bounds)))
-                terms.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + base)
+                docs.append(np.repeat(np.arange(n, n + last - first, dtype=np.int32), np.diff(bounds)))
+                terms.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(base))
                 kinds.append(coded.dictionary)
                 n, bytes_ = n + last - first, bytes_ + len(data)
                 if n >= SHARD_DOCUMENTS or bytes_ >= SHARD_BYTES:
