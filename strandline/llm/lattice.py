@@ -37,13 +37,15 @@ from ._words import _IS_SEP, mix, text_slices
 from ._work import settled
 
 #: Bounds of what tasks hold of the training counts: words, and bytes of these words.
-HEAD_WORDS, HEAD_BYTES = 1 << 16, 4 << 20
+HEAD_WORDS, HEAD_BYTES = 1 << 18, 8 << 20
 #: Rounds of expected counts, and the weight of the vocabulary's own scores against them.
 ROUNDS, PRIOR = 2, 1000.0
 #: Classes with counts of their own: the languages of most training documents. All other documents count in the whole alone.
 CLASSES = 8
 #: Concentrations of a text's own distribution, equally likely beforehand.
 URNS = (100.0, 1000.0, 10000.0)
+#: Fixed point of the sums that meet by row: whole numbers add up alike in any order, and small ones pack well.
+POINT, BASE_POINT = 1 << 24, 1 << 30
 #: Rows of (class, word, count) that a task holds before it passes them on.
 HELD_ROWS = 1_000_000
 #: Bytes of words whose arcs are in memory at a time.
@@ -273,6 +275,17 @@ def urn_logs(logs: np.ndarray, times: np.ndarray, urns: tuple[float, ...]) -> np
     return out.reshape(-1, len(times))
 
 
+def repeat_logs(logs: np.ndarray, times: np.ndarray, urns: tuple[float, ...]) -> np.ndarray:
+    """[classes * urns, words]: what ``urn_logs`` holds besides the word's log, the urn's and that of (times - 1)!; near 0 for rare words."""
+    out = np.zeros((len(logs), len(urns), len(times)))
+    often = np.flatnonzero(times > 1)
+    if len(often):
+        k = times[often]
+        for u, a in enumerate(urns):
+            out[:, u, often] = log_rising(np.maximum(np.exp(logs[:, often] + np.log(a)), 1e-300) + 1, k - 1) - _log_gamma(k.astype(float))
+    return out.reshape(-1, len(times))
+
+
 def not_held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
     """Rows to learn from: crc32 of the id as text, modulo ``parts``, is not ``part``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(parts)) != part
@@ -416,6 +429,10 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text_col: str = "text"
                 add = [total(x) for x in urn_logs(logs[:, word[here]], times[here], m.urns)]
                 known, based = total(times[here].astype(float)).astype(np.int64), total(times[here] * base[word[here]])
                 rest = np.flatnonzero(~here)
+                # Of a rare word all is known here but its log, and what a repeat adds beyond (times - 1)!.
+                own = np.bincount(doc[rest], minlength=n)
+                repeats = np.bincount(doc[rest], weights=np.where(times[rest] > 1, _log_gamma(times[rest].astype(float)), 0.0), minlength=n)
+                add = [x + repeats + own * np.log(m.urns[i % len(m.urns)]) for i, x in enumerate(add)]
                 tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[rest], np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([words.take(pa.array(key[rest] % size)).cast(pa.string()), pa.array(times[rest])], ["word", "times"]))
                 yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), *[batch.column(f"k{i}").slice(first, n) for i in range(len(keep))], pa.array(np.diff(bounds).astype(np.int64)), pa.array(known), pa.array(based), *map(pa.array, add), tail], ["row", *[f"k{i}" for i in range(len(keep))], "n", "known", "base", *sums, "tail"])
                 row += n
@@ -433,22 +450,25 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text_col: str = "text"
             c = _array(batch, kinds)
             times = batch.column("times").to_numpy()
             logs = m.word_logs(coded.dictionary, c[:, first])[:, idx]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.where(c[0] > 0, times, 0)), pa.array(times * m.base_log10(c[0])), *map(pa.array, urn_logs(logs, times, m.urns))], ["row", "known", "base", *sums])
+            fixed = lambda x, point=POINT: pa.array(np.rint(x * point).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.where(c[0] > 0, times, 0)), fixed(times * m.base_log10(c[0]), BASE_POINT), *map(fixed, logs), *map(fixed, repeat_logs(logs, times, m.urns))], ["row", "known", "base", *words, *sums])
 
+    words = [f"w{z}" for z in range(len(model.tokens))]
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times").join(counts, "word", "left")
-    added = tail.mapInArrow(rare, f"row long, known long, base double, {', '.join(f'{c} double' for c in sums)}").groupBy("row").agg(*[F.sum(c).alias(f"t_{c}") for c in ("known", "base", *sums)])
+    added = tail.mapInArrow(rare, f"row long, known long, base long, {', '.join(f'{c} long' for c in (*words, *sums))}").groupBy("row").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"t_{c}") for c in ("known", "base", *words, *sums)])
     both = rows.drop("tail").join(added, "row", "left")
     n, total = F.col("n").cast("double"), model.total()
     # Each token is the end with the probability that training tokens are; a text's own distribution divides by u (u + 1) ... (u + n - 1).
     ends = max(model.documents, 0.5) / max(total, 1)
     divisors = urn_divisors(model.urns)
-    ways = [F.lit(float(model.prior[z] - np.log(len(model.urns)))) + F.col(f"s{z * len(model.urns) + u}") + F.coalesce(F.col(f"t_s{z * len(model.urns) + u}"), F.lit(0.0)) - divisors[u](n) for z in range(len(model.tokens)) for u in range(len(model.urns))]
+    rare_logs = lambda z, i: F.coalesce(F.col(f"t_w{z}") + F.col(f"t_s{i}"), F.lit(0)) / POINT
+    ways = [F.lit(float(model.prior[z] - np.log(len(model.urns)))) + F.col(f"s{i}") + rare_logs(z, i) - divisors[i % len(model.urns)](n) for i in range(len(sums)) for z in [i // len(model.urns)]]
     best = F.greatest(*ways) if len(ways) > 1 else ways[0]
     text = best + F.log(sum((F.exp(w - best) for w in ways[1:]), F.exp(ways[0] - best)))
     end_base, end_known = float(model.base_log10(np.array([float(model.documents)]))[0]), int(model.documents > 0)
     return both.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (F.col("n") + 1).alias("n_tokens"), (F.col("known") + F.coalesce("t_known", F.lit(0)) + end_known).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.round(F.col("base") + F.coalesce("t_base", F.lit(0.0)) + end_base, 6).alias("base_score"),
+        F.round(F.col("base") + F.coalesce("t_base", F.lit(0)) / BASE_POINT + end_base, 6).alias("base_score"),
         F.round((text + F.lit(float(np.log(ends))) + n * float(np.log1p(-min(ends, 0.5)))) / float(np.log(10)), 6).alias("score"),
     )
 
