@@ -1,6 +1,7 @@
 """Return-series analytics, keyed by ``strategy``: one job serves any number of series.
 
-Input: returns (strategy, session, ret). Running figures are windows over one series at a time.
+Input: returns (strategy, session, ret). Running and trailing figures are taken in ranges and blocks of a
+series (``functions.blocks``) and quantiles by distributed selection, so one long series is many tasks' work.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks, normal, quantiles
 from ..sources.tables import written
 
 YEAR = 252
@@ -21,26 +23,31 @@ def r10(c: Column) -> Column:
     return F.round(c, PLACES)
 
 
-def by_session(lo: int | None = None) -> Window:
-    w = Window.partitionBy("strategy").orderBy("session")
-    return w.rowsBetween(Window.unboundedPreceding if lo is None else lo, 0)
+SERIES = ["strategy"]
 
 
-def product(factor: Column, over: Window | None = None) -> Column:
-    """Product of factors of any sign: exp of the summed logs of sizes, with parity and zeros counted apart."""
-    s = (lambda c: F.sum(c)) if over is None else (lambda c: F.sum(c).over(over))
-    zeros, minus = s((factor == 0).cast("int")), s((factor < 0).cast("int"))
-    size = F.exp(s(F.when(factor != 0, F.log(F.abs(factor))).otherwise(0.0)))
-    return F.when(zeros > 0, 0.0).when(minus % 2 == 1, -size).otherwise(size)
+def _parts(factor: Column) -> dict[str, Column]:
+    """What the product of factors of any sign is summed up from: zeros, minus signs, logs of sizes."""
+    return {"zeros": (factor == 0).cast("long"), "minus": (factor < 0).cast("long"), "logs": F.when(factor != 0, F.log(F.abs(factor))).otherwise(0.0)}
+
+
+def _product(zeros: Column, minus: Column, logs: Column) -> Column:
+    return F.when(zeros > 0, 0.0).when(minus % 2 == 1, -F.exp(logs)).otherwise(F.exp(logs))
+
+
+def product(factor: Column) -> Column:
+    """Product of factors of any sign, as an aggregate."""
+    return _product(*[F.sum(c) for c in _parts(factor).values()])
 
 
 def equity_returns(equity: DataFrame, initial: float) -> DataFrame:
-    before = F.lag("equity", 1, initial).over(Window.partitionBy("strategy").orderBy("session"))
-    return equity.select("strategy", "session", r10(F.when(before <= 0, 0.0).otherwise(F.col("equity") / before - 1)).alias("ret"))
+    x, before = blocks.previous(equity, SERIES, "session", "equity", "__last", F.lit(float(initial))), F.col("__last")
+    return x.select("strategy", "session", r10(F.when(before <= 0, 0.0).otherwise(F.col("equity") / before - 1)).alias("ret"))
 
 
 def growth_curve(returns: DataFrame, initial: float = 1.0) -> DataFrame:
-    return returns.withColumn("equity", initial * product(1 + F.col("ret"), by_session()))
+    sums = {f"__{n}": (c, "sum") for n, c in _parts(1 + F.col("ret")).items()}
+    return blocks.running(returns, SERIES, "session", sums).withColumn("equity", initial * _product(*map(F.col, sums))).drop(*sums)
 
 
 def annualized_return(growth: Column, n: Column) -> Column:
@@ -63,7 +70,7 @@ def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
 def drawdowns(returns: DataFrame) -> DataFrame:
     """(strategy, session, idx, ret, equity, peak, dd); the peak begins at the first 1 + r."""
     x = growth_curve(returns)
-    x = x.withColumn("peak", F.max("equity").over(by_session())).withColumn("idx", F.row_number().over(Window.partitionBy("strategy").orderBy("session")))
+    x = blocks.running(x, SERIES, "session", {"peak": (F.col("equity"), "max"), "idx": (F.lit(1), "sum")})
     return x.withColumn("dd", F.col("equity") / F.col("peak") - 1)
 
 
@@ -73,8 +80,7 @@ EPS = 1e-12
 def drawdown_duration(dd: DataFrame) -> DataFrame:
     """Longest run under water: gaps and islands."""
     under = F.col("dd") < -EPS
-    island = F.sum((~under).cast("int")).over(by_session())
-    runs = dd.withColumn("island", island).where(under).groupBy("strategy", "island").count()
+    runs = blocks.running(dd, SERIES, "session", {"island": ((~under).cast("int"), "sum")}).where(under).groupBy("strategy", "island").count()
     return dd.select("strategy").distinct().join(runs.groupBy("strategy").agg(F.max("count").alias("m")), "strategy", "left").select("strategy", F.coalesce("m", F.lit(0)).alias("max_drawdown_duration"))
 
 
@@ -86,13 +92,13 @@ def time_to_recovery(dd: DataFrame) -> DataFrame:
     return deep.select("strategy").join(found, "strategy", "left")
 
 
-def quantile(level: float) -> Column:
-    """Exact percentile, linear between neighbours: it counts distinct values of one series, pre-aggregated."""
-    return F.percentile("ret", round(1 - level, 10))
+def tail_quantiles(returns: DataFrame, **levels: float) -> DataFrame:
+    """(strategy, names...): the exact quantile below each level."""
+    return quantiles.quantiles(returns, "strategy", "ret", {n: round(1 - x, 10) for n, x in levels.items()})
 
 
 def var_cvar(returns: DataFrame, level: float) -> DataFrame:
-    q = returns.groupBy("strategy").agg(quantile(level).alias("q"))
+    q = tail_quantiles(returns, q=level)
     tail = returns.join(q, "strategy").groupBy("strategy").agg(F.first("q").alias("q"), F.avg(F.when(F.col("ret") <= F.col("q"), F.col("ret"))).alias("t"))
     return tail.select("strategy", r10(F.greatest(F.lit(0.0), -F.col("q"))).alias("var"), r10(F.greatest(F.lit(0.0), -F.coalesce("t", "q"))).alias("cvar"))
 
@@ -120,15 +126,18 @@ def cornish_fisher_value(level: float, n: Column, mean: Column, sd: Column, skew
 
 
 def cornish_fisher(returns: DataFrame, level: float = 0.95) -> DataFrame:
-    m = moments(returns).join(returns.groupBy("strategy").agg(quantile(level).alias("q")), "strategy")
+    m = moments(returns).join(tail_quantiles(returns, q=level), "strategy")
     return m.select("strategy", cornish_fisher_value(level, *(F.col(c) for c in ("n", "mean", "sd", "skew", "kurt", "q"))).alias("cornish_fisher_var"))
 
 
 def rolling_sharpe(returns: DataFrame, window: int = 126) -> DataFrame:
     """Trailing Sharpe ratio, not rounded; null until the window is filled."""
-    w = by_session(-(window - 1))
-    value = ratio(F.avg("ret").over(w), F.stddev_samp("ret").over(w)) * math.sqrt(YEAR)
-    return returns.withColumn("rolling_sharpe", F.when(F.count("ret").over(w) == window, value))
+    def columns(w):
+        own = w(window - 1)
+        value = ratio(F.avg("ret").over(own), F.stddev_samp("ret").over(own)) * math.sqrt(YEAR)
+        return [{"rolling_sharpe": F.when(F.count("ret").over(own) == window, value)}]
+
+    return blocks.windowed(returns, SERIES, "session", columns, window, place="__place").drop("__place")
 
 
 def histogram(returns: DataFrame, bins: int = 41) -> DataFrame:
@@ -157,8 +166,8 @@ def performance_summary(returns: DataFrame) -> DataFrame:
     wide = dd.groupBy("strategy").agg(
         F.count("*").alias("n"), product(1 + F.col("ret")).alias("growth"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2))).alias("down"),
         F.min("dd").alias("mdd"), F.max("ret").alias("best_day"), F.min("ret").alias("worst_day"), F.avg((F.col("ret") > 0).cast("double")).alias("positive_fraction"),
-        F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"), quantile(0.95).alias("q95"), quantile(0.99).alias("q99"),
-    )
+        F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"),
+    ).join(tail_quantiles(dd, q95=0.95, q99=0.99), "strategy")
     tail = lambda q: F.avg(F.when(F.col("ret") <= F.col(q), F.col("ret")))
     tails = dd.join(wide.select("strategy", "q95", "q99"), "strategy").groupBy("strategy").agg(tail("q95").alias("t95"), tail("q99").alias("t99"))
     x = wide.select("*", *corrected()).join(tails, "strategy").join(drawdown_duration(dd), "strategy").join(time_to_recovery(dd), "strategy")
@@ -192,21 +201,13 @@ def capture_ratios(pairs: DataFrame) -> DataFrame:
     return x.select("strategy", out("ru", "bu").alias("up_capture"), out("rd", "bd").alias("down_capture"))
 
 
-def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function by the error function's rational approximation (error below 1.5e-7)."""
-    t = 1 / (1 + 0.3275911 * F.abs(x) / math.sqrt(2))
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1 - poly * F.exp(-x * x / 2)
-    return F.when(x >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
-
-
 def psr(returns: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Probabilistic Sharpe ratio: (strategy, sharpe, psr). ``thresholds`` has one row with sr0."""
     m = moments(returns).withColumn("sr", ratio(F.col("mean"), F.col("sd")))
     m = m.withColumn("sr0", F.lit(0.0)) if thresholds is None else m.join(thresholds.select("sr0"), F.lit(True))
     den = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("skew") * F.col("sr") + (F.col("kurt") + 2) / 4 * F.col("sr") ** 2))
-    value = F.when(F.col("n") < 3, 0.0).otherwise(normal_cdf((F.col("sr") - F.col("sr0")) * F.sqrt(F.col("n") - 1) / den))
-    return m.select("strategy", F.round("sr", 8).alias("sharpe"), F.round("sr0", 8).alias("threshold"), F.round(value, 6).alias("psr"))
+    value = F.when(F.col("n") < 3, 0.0).otherwise(normal.cdf((F.col("sr") - F.col("sr0")) * F.sqrt(F.col("n") - 1) / den))
+    return m.select("strategy", F.round("sr", 8).alias("sharpe"), F.round("sr0", 8).alias("threshold"), r10(value).alias("psr"))
 
 
 def expected_max_sharpe(trials: DataFrame) -> DataFrame:
@@ -230,9 +231,10 @@ def pbo_logits(trials: DataFrame, splits: int = 10) -> DataFrame:
     The winner is the first best by name; ranks of ties are averaged.
     """
     spark = trials.sparkSession
-    w = Window.partitionBy("strategy").orderBy("session")
-    n = F.count("*").over(Window.partitionBy("strategy"))
-    i, big, extra = F.row_number().over(w) - 1, F.floor(n / splits), n % splits
+    sizes = trials.groupBy(F.col("strategy").alias("__of")).agg(F.count("*").alias("__n"))
+    trials = blocks.numbered(trials, SERIES, "session", "__i").join(sizes, F.col("strategy").eqNullSafe(F.col("__of")))
+    n, i = F.col("__n"), F.col("__i")
+    big, extra = F.floor(n / splits), n % splits
     block = F.when(i < extra * (big + 1), F.floor(i / (big + 1))).otherwise(extra + F.floor((i - extra * (big + 1)) / F.greatest(big, F.lit(1))))
     m = trials.withColumn("block", block.cast("int")).groupBy("strategy", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") ** 2).alias("q"))
     from itertools import combinations
@@ -257,6 +259,6 @@ def overfitting_summary(trials: DataFrame, splits: int = 10) -> DataFrame:
 
 def downsample(curve: DataFrame, points: int = 320) -> DataFrame:
     """Every ceil(n / points)-th row of each series, and its last."""
-    n = F.count("*").over(Window.partitionBy("strategy"))
-    i = F.row_number().over(Window.partitionBy("strategy").orderBy("session"))
-    return curve.withColumns({"__n": n, "__i": i}).where(f"(__i - 1) % cast(ceil(__n / {points}) as int) = 0 or __i = __n").drop("__n", "__i")
+    sizes = curve.groupBy(F.col("strategy").alias("__of")).agg(F.count("*").alias("__n"))
+    x = blocks.numbered(curve, SERIES, "session", "__i").join(sizes, F.col("strategy").eqNullSafe(F.col("__of")))
+    return x.where(f"__i % cast(ceil(__n / {points}) as int) = 0 or __i = __n - 1").drop("__n", "__i", "__of")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
+
 
 def build(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None, early: DataFrame | None = None, close_hour: int = 21) -> DataFrame:
     """(session, session_idx, close_ts): weekdays but holidays; the hour of close is UTC, three hours less for early closes. One row a day, so one window numbers them."""
@@ -20,7 +22,8 @@ def build(spark: SparkSession, start: str, end: str, holidays: DataFrame | None
 
 def observed(bars: DataFrame) -> DataFrame:
     """The calendar of a panel: its distinct sessions."""
-    return bars.select("session").distinct().withColumn("session_idx", F.row_number().over(Window.orderBy("session")))
+    x = blocks.numbered(bars.select("session").distinct(), [], "session", "session_idx")
+    return x.withColumn("session_idx", (F.col("session_idx") + 1).cast("int"))
 
 
 def between(calendar: DataFrame, start: str, end: str) -> DataFrame:

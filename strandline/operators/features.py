@@ -1,4 +1,4 @@
-"""Point-in-time features: one shuffle by symbol, one sort, all windows on it."""
+"""Point-in-time features: windows over blocks of a symbol's bars."""
 
 from __future__ import annotations
 
@@ -7,37 +7,34 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
+
 HORIZON = 21
 WARM = 126
 FEATURES = ("return_21", "return_63", "return_126", "volatility_21", "sma_distance_100", "dollar_volume_20")
 
 
-def _w(lo: int | None = None) -> Window:
-    w = Window.partitionBy("symbol").orderBy("session")
-    return w if lo is None else w.rowsBetween(-(lo - 1), 0)
-
-
-def trailing_return(n: int) -> Column:
-    return F.col("close") / F.lag("close", n).over(_w()) - 1
-
-
-def full(value: Column, of: Column | str, n: int) -> Column:
-    """A rolling value once its window holds n non-null entries."""
-    return F.when(F.count(of).over(_w(n)) == n, value)
-
-
 def raw_features(bars: DataFrame) -> DataFrame:
-    """Bars with features (null until their window is full), label and its end; the number of the bar in its symbol."""
-    x = bars.withColumn("log_return", F.log(F.col("close") / F.lag("close").over(_w())))
-    out = {f"return_{n}": trailing_return(n) for n in (21, 63, 126)}
-    out["volatility_21"] = full(F.stddev_samp("log_return").over(_w(21)) * math.sqrt(252), "log_return", 21)
-    out["sma_distance_100"] = full(F.col("close") / F.avg("close").over(_w(100)) - 1, "close", 100)
-    dollars = F.col("close") * F.col("volume")
-    out["dollar_volume_20"] = full(F.avg(dollars).over(_w(20)), dollars, 20)
-    out["forward_return_21"] = F.lead("close", HORIZON).over(_w()) / F.col("close") - 1
-    out["label_end_session"] = F.lead("session", HORIZON).over(_w())
-    out["bar_no"] = F.row_number().over(_w())
-    return x.withColumns(out)
+    """Bars with features (null until their window is full), label and its end; the number of the bar in its symbol.
+
+    Windows are taken inside blocks of a symbol's bars with the ``WARM`` + 1 bars before and the ``HORIZON`` bars after
+    them, so the bars of one long symbol spread over many tasks.
+    """
+
+    def columns(w):
+        lag = lambda n: F.lag("close", n).over(w())
+        full = lambda value, of, n: F.when(F.count(of).over(w(n - 1)) == n, value)
+        dollars = F.col("close") * F.col("volume")
+        out = {f"return_{n}": F.col("close") / lag(n) - 1 for n in (21, 63, 126)}
+        out["volatility_21"] = full(F.stddev_samp("log_return").over(w(20)) * math.sqrt(252), "log_return", 21)
+        out["sma_distance_100"] = full(F.col("close") / F.avg("close").over(w(99)) - 1, "close", 100)
+        out["dollar_volume_20"] = full(F.avg(dollars).over(w(19)), dollars, 20)
+        out["forward_return_21"] = F.lead("close", HORIZON).over(w()) / F.col("close") - 1
+        out["label_end_session"] = F.lead("session", HORIZON).over(w())
+        return [{"log_return": F.log(F.col("close") / lag(1))}, out]
+
+    x = blocks.windowed(bars, ["symbol"], "session", columns, WARM + 1, HORIZON, place="bar_no")
+    return x.withColumn("bar_no", (F.col("bar_no") + 1).cast("int"))
 
 
 def feature_rows(bars: DataFrame, snapshot_id: str, horizon: int = HORIZON) -> DataFrame:

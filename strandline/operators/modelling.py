@@ -4,6 +4,7 @@ Training rows of a decision are those whose label ended before its embargo. For
 calendar that is a prefix in the order of label ends: sums of all products are
 aggregated for each label end, then run over sessions, and picked as of the embargo.
 So rows are read once for all decisions and penalties.
+Running totals are taken in ranges of sessions (``functions.blocks``), never in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.linear import matrix_of
 from . import calendars, features
 
@@ -37,8 +39,8 @@ def decisions(rows: DataFrame, embargo: int = EMBARGO) -> DataFrame:
 def label_sums(rows: DataFrame) -> DataFrame:
     """Running totals by label end: (label_end_session, rows, sessions, first, last), one row a session."""
     per = usable(rows).groupBy("label_end_session").agg(F.count("*").alias("rows"), F.min("decision_session").alias("lo"), F.max("decision_session").alias("hi"))
-    w = Window.orderBy("label_end_session").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("label_end_session", F.sum("rows").over(w).alias("rows"), F.min("lo").over(w).alias("training_start"), F.max("hi").over(w).alias("training_end"))
+    out = blocks.running(per, [], "label_end_session", {"r": (F.col("rows"), "sum"), "training_start": (F.col("lo"), "min"), "training_end": (F.col("hi"), "max")})
+    return out.select("label_end_session", F.col("r").alias("rows"), "training_start", "training_end")
 
 
 def training_split(rows: DataFrame, embargo: int = EMBARGO) -> DataFrame:
@@ -50,8 +52,8 @@ def training_split(rows: DataFrame, embargo: int = EMBARGO) -> DataFrame:
     d = decisions(rows, embargo).where("embargo_start is not null")
     # A row for each symbol and decision: the size of the result.
     due = t.select("symbol").distinct().crossJoin(d.select(F.col("embargo_start").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("date").alias("s"), "decision_session"))
-    w = Window.partitionBy("symbol").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = t.unionByName(due).select("symbol", "decision_session", F.count("s").over(w).alias("training_rows"), F.min("s").over(w).alias("training_start"), F.max("s").over(w).alias("training_end"))
+    figures = {"training_rows": (F.when(F.col("s").isNotNull(), 1).cast("long"), "sum"), "training_start": (F.col("s"), "min"), "training_end": (F.col("s"), "max")}
+    run = blocks.running(t.unionByName(due), ["symbol"], "at", figures, then=("kind",))
     return run.where("decision_session is not null and training_rows > 0").select("decision_session", "symbol", "training_rows", "training_start", "training_end")
 
 
@@ -66,8 +68,8 @@ def training_membership(rows: DataFrame, embargo: int = EMBARGO) -> DataFrame:
     events = t.select(F.col("label_end_session").alias("at")).distinct().withColumn("decision_session", F.lit(None).cast("date")).withColumn("kind", F.lit(1)).unionByName(
         d.select(F.col("embargo_start").alias("at"), "decision_session").withColumn("kind", F.lit(0))
     )
-    later = F.min("decision_session").over(Window.orderBy(F.col("at").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    first = events.withColumn("first_decision", later).where("kind = 1").select(F.col("at").alias("label_end_session"), "first_decision")
+    events = blocks.running(events, [], "at", {"first_decision": (F.col("decision_session"), "min")}, then=("kind",), descending=True)
+    first = events.where("kind = 1").select(F.col("at").alias("label_end_session"), "first_decision")
     return t.join(first, "label_end_session").select("symbol", "training_session", "first_decision")
 
 
@@ -81,26 +83,69 @@ def sufficiency(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
         decisions(rows).select(F.col("embargo_start").alias("at"), F.lit(0).cast("long").alias("n"), "decision_session", F.lit(0).alias("kind"))
     )
     # A label end counts only if it lies before the embargo: at equal dates decisions come first.
-    run = F.sum("n").over(Window.orderBy(F.col("at").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0))
-    out = events.withColumn("training_sessions", run).where("decision_session is not null")
+    out = blocks.running(events, [], "at", {"training_sessions": (F.col("n"), "sum")}, then=("kind",)).where("decision_session is not null")
     return out.select("decision_session", "training_sessions", F.when(F.col("training_sessions") >= minimum, "ok").otherwise("blocked").alias("status"))
 
 
-def ridge_coefficients(rows: DataFrame, alphas: DataFrame, every: int = 1) -> DataFrame:
-    """(decision_session, alpha, n, intercept, beta array) of every ``every``-th decision with training rows.
+def _names(n: int) -> list[str]:
+    return [f"g{i}_{j}" for i in range(n) for j in range(i, n)]
+
 
-    rows: feature rows with z-scores. The sums of one decision are 36 numbers; the solve of 6 x 6 systems is Arrow-batched.
+def score_sums(rows: DataFrame) -> DataFrame:
+    """(label_end_session, g0_0, ...): what the rows of each label end add to the sums of products of (1, z-scores, label) of every later decision.
+
+    A decision's z-scores are those among the rows of a session that it may see. Where symbols end their labels of one session
+    at different times (a panel with gaps), more rows come in with each label end, and the scores of all the session's rows move.
+    So raw moments run over the label ends inside each session, each state is turned into sums of products of z-scores, and
+    a label end adds the difference to the state before it. Rows are read once; a session has one state a label end. Values are
+    taken relative to the session's least, so that a column without spread has exactly none.
     """
-    cols = [F.lit(1.0), *[F.col(z) for z in Z], F.col("forward_return_21")]
-    names = [f"g{i}_{j}" for i in range(len(cols)) for j in range(i, len(cols))]
-    per = usable(finite_rows(rows)).where("finite").groupBy("label_end_session").agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))])
-    d = decisions(rows)
-    d = d.withColumn("i", F.row_number().over(Window.orderBy("decision_session")) - 1).where(f"i % {every} = 0 and embargo_start is not null")
-    events = per.select(F.col("label_end_session").alias("at"), F.lit(None).cast("date").alias("decision_session"), F.lit(1).alias("kind"), *names).unionByName(
+    u = usable(finite_rows(rows)).where("finite")
+    fs, k = features.FEATURES, len(features.FEATURES)
+    least = u.groupBy("decision_session").agg(*[F.min(c).alias(f"__{c}") for c in fs])
+    cols = [F.lit(1.0), *[F.col(c) - F.col(f"__{c}") for c in fs], F.col("forward_return_21")]
+    per = u.join(least, "decision_session").groupBy("decision_session", "label_end_session").agg(*[F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k + 2) for j in range(i, k + 2)])
+    # States of one session: as many as it has label ends, one for each symbol at most.
+    w = Window.partitionBy("decision_session").orderBy("label_end_session")
+    run = per.select("decision_session", "label_end_session", *[F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in _names(k + 2)])
+    n, g = F.col("g0_0"), lambda i, j: F.col(f"g{min(i, j)}_{max(i, j)}")
+    sd = [F.sqrt(F.greatest(g(i, i) - g(0, i) * g(0, i) / n, F.lit(0.0)) / (n - 1)) for i in range(1, k + 1)]
+    state = run.withColumns({f"__sd{i}": F.when(n > 1, sd[i - 1]) for i in range(1, k + 1)})
+    spread = lambda i: F.when(F.col(f"__sd{i}") > 1e-12, F.col(f"__sd{i}"))
+    out = {}
+    for i in range(k + 2):
+        for j in range(i, k + 2):
+            if i in (0, k + 1) and j in (0, k + 1):
+                value = g(i, j)
+            elif i == 0:
+                value = F.lit(0.0)
+            elif j == k + 1:
+                value = (g(i, j) - g(0, i) * g(0, j) / n) / spread(i)
+            else:
+                value = (g(i, j) - g(0, i) * g(0, j) / n) / spread(i) / spread(j)
+            out[f"g{i}_{j}"] = F.coalesce(value, F.lit(0.0))
+    scored = state.select("decision_session", "label_end_session", *[v.alias(c) for c, v in out.items()])
+    added = scored.select("label_end_session", *[(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0))).alias(c) for c in out])
+    return added.groupBy("label_end_session").agg(*[F.sum(c).alias(c) for c in out])
+
+
+def decision_sums(rows: DataFrame, every: int = 1) -> DataFrame:
+    """(decision_session, g array): the sums of products of every ``every``-th decision with training rows, over all of them."""
+    names = _names(len(features.FEATURES) + 2)
+    d = blocks.numbered(decisions(rows), [], "decision_session", "i").where(f"i % {every} = 0 and embargo_start is not null")
+    events = score_sums(rows).select(F.col("label_end_session").alias("at"), F.lit(None).cast("date").alias("decision_session"), F.lit(1).alias("kind"), *names).unionByName(
         d.select(F.col("embargo_start").alias("at"), "decision_session", F.lit(0).alias("kind"), *[F.lit(0.0).alias(n) for n in names])
     )
-    w = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    sums = events.select("decision_session", F.array(*[F.sum(n).over(w) for n in names]).alias("g")).where("decision_session is not null and g[0] > 0")
+    sums = blocks.running(events, [], "at", {f"s{n}": (F.col(n), "sum") for n in names}, then=("kind",))
+    return sums.select("decision_session", F.array(*[f"s{n}" for n in names]).alias("g")).where("decision_session is not null and g[0] > 0.5")
+
+
+def ridge_coefficients(rows: DataFrame, alphas: DataFrame, every: int = 1) -> DataFrame:
+    """(decision_session, alpha, n, intercept, beta array) of every ``every``-th decision with training rows.
+
+    rows: feature rows of any panel, with or without gaps. The sums of one decision are 36 numbers; the solve of 6 x 6 systems is Arrow-batched.
+    """
+    sums = decision_sums(rows, every)
     k = len(Z) + 1
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +156,7 @@ def ridge_coefficients(rows: DataFrame, alphas: DataFrame, every: int = 1) -> Da
                 n, mean, my = m[0, 0], m[0, 1:k] / m[0, 0], m[0, k] / m[0, 0]
                 a = m[1:k, 1:k] - n * np.outer(mean, mean) + alpha * np.eye(k - 1)
                 beta = np.linalg.lstsq(a, m[1:k, k] - n * mean * my, rcond=None)[0]
-                out.append((day, alpha, int(n), float(my - mean @ beta), beta.tolist()))
+                out.append((day, alpha, round(n), float(my - mean @ beta), beta.tolist()))
             yield pd.DataFrame(out, columns=["decision_session", "alpha", "n", "intercept", "beta"])
 
     return sums.crossJoin(F.broadcast(alphas)).select("decision_session", "alpha", "g").mapInPandas(solve, "decision_session date, alpha double, n long, intercept double, beta array<double>")  # alphas: a parameter grid of a few rows
@@ -147,7 +192,7 @@ def finiteness(rows: DataFrame) -> DataFrame:
     events = bad.select("at", "n", F.lit(None).cast("date").alias("decision_session"), F.lit(1).alias("kind")).unionByName(
         decisions(rows).where("embargo_start is not null").select(F.col("embargo_start").alias("at"), F.lit(0).cast("long").alias("n"), "decision_session", F.lit(0).alias("kind"))
     )
-    run = events.withColumn("bad_training", F.sum("n").over(Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("decision_session is not null")
+    run = blocks.running(events, [], "at", {"bad_training": (F.col("n"), "sum")}, then=("kind",)).where("decision_session is not null")
     out = decisions(rows).select("decision_session").join(own, "decision_session", "left").join(run.select("decision_session", "bad_training"), "decision_session", "left")
     return out.select("decision_session", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("cross_section", "bad_cross_section", "bad_training")])
 
@@ -159,7 +204,7 @@ def forecast_batches(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
     events = sums.select(F.col("label_end_session").alias("at"), F.lit(None).cast("date").alias("decision_session"), F.lit(1).alias("kind"), F.struct("rows", "training_start", "training_end").alias("s")).unionByName(
         d.where("embargo_start is not null").select(F.col("embargo_start").alias("at"), "decision_session", F.lit(0).alias("kind"), F.lit(None).cast("struct<rows:bigint,training_start:date,training_end:date>").alias("s"))
     )
-    picked = events.withColumn("s", F.last("s", ignorenulls=True).over(Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("decision_session is not null").select("decision_session", "s.*")
+    picked = blocks.running(events.withColumnRenamed("s", "own"), [], "at", {"s": (F.col("own"), "last")}, then=("kind",)).where("decision_session is not null").select("decision_session", "s.*")
     out = d.join(s, "decision_session").join(picked, "decision_session", "left").join(finiteness(rows), "decision_session")
     why = F.when(F.col("status") == "blocked", "insufficient_training_sessions").when(F.col("cross_section") == 0, "empty_cross_section").when(F.col("bad_training") > 0, "non_finite_training").when(F.col("bad_cross_section") > 0, "non_finite_prediction")
     return out.select("decision_session", "embargo_start", "training_start", "training_end", F.coalesce("rows", F.lit(0)).alias("training_rows"), "training_sessions", why.alias("blocked_reason"))
@@ -167,8 +212,7 @@ def forecast_batches(rows: DataFrame, minimum: int = MINIMUM) -> DataFrame:
 
 def schedule(sessions: DataFrame, warmup: int, cadence: int = 1) -> DataFrame:
     """(decision_session, execution_session, retrain): decisions after the warm-up, executed at the next session."""
-    w = Window.orderBy("session")
-    x = sessions.select("session", F.row_number().over(w).alias("i"), F.lead("session").over(w).alias("execution_session"))
+    x = blocks.windowed(sessions.select("session"), [], "session", lambda w: [{"execution_session": F.lead("session").over(w())}], 0, 1, place="i").withColumn("i", (F.col("i") + 1).cast("int"))
     return x.where(f"i > {warmup} and execution_session is not null").select(F.col("session").alias("decision_session"), "execution_session", (((F.col("i") - warmup - 1) % cadence) == 0).alias("retrain"))
 
 
@@ -176,4 +220,5 @@ def held_weights(grid: DataFrame, weights: DataFrame) -> DataFrame:
     """Weights of the last decision that has any, for every session of ``grid``: (session, weights map). One map a session."""
     maps = weights.groupBy("decision_session").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "weight")))).alias("weights"))
     x = grid.select(F.col("session").alias("decision_session")).distinct().join(maps, "decision_session", "left")
-    return x.withColumn("weights", F.last("weights", ignorenulls=True).over(Window.orderBy("decision_session").rowsBetween(Window.unboundedPreceding, 0))).where("weights is not null").select(F.col("decision_session").alias("session"), "weights")
+    x = blocks.running(x.withColumnRenamed("weights", "own"), [], "decision_session", {"weights": (F.col("own"), "last")})
+    return x.where("weights is not null").select(F.col("decision_session").alias("session"), "weights")

@@ -11,7 +11,7 @@ from ..operators import features as feat
 from ..operators import modelling as mod
 from ..operators import replay as rep
 from ..operators import targets as tgt
-from ..sources import ingest, panel
+from ..sources import digests, ingest, panel
 from . import sql as S
 
 Q, SQL = {}, {}
@@ -82,6 +82,23 @@ def _coefficients(spark, z, alphas=(1.0, 10.0, 100.0)):
     return mod.ridge_coefficients(z, _alphas(spark, *alphas))
 
 
+_FEATURES = feat.FEATURES
+_SUMS = ", ".join([f"round(sum(z{i} * forward_return_21), 6) as zy_{i}" for i in range(6)] + [f"round(sum(z{i} * z{j}), 5) as zz_{i}_{j}" for i in range(6) for j in range(i, 6)])
+
+
+@query(f"""{S.FEATURES}, {CALENDAR}, {USABLE}, seen as (select dec.decision_session as d, us.* from dec join us on label_end_session < embargo_start),
+scored as (select d, forward_return_21, {', '.join(f'case when stddev_samp({c}) over w > 1e-12 then ({c} - avg({c}) over w) / stddev_samp({c}) over w else 0.0 end as z{i}' for i, c in enumerate(_FEATURES))} from seen window w as (partition by d, decision_session))
+select d as decision_session, count(*) as n, round(sum(forward_return_21), 8) as y, {_SUMS} from scored group by d""")
+def ridge_sums(spark, d):
+    """What every decision's fits are solved from, on a panel with gaps: its training rows, their labels and products of z-scores among the rows that it may see."""
+    g = mod.decision_sums(ingest.written(feat.feature_rows(panel.daily_bars(spark, d), "daily"), "features"))
+    at = {(i, j): k for k, (i, j) in enumerate((i, j) for i in range(8) for j in range(i, 8))}
+    return g.select(
+        "decision_session", F.round(F.col("g")[0]).cast("long").alias("n"), F.round(F.col("g")[at[0, 7]], 8).alias("y"), *[F.round(F.col("g")[at[i + 1, 7]], 6).alias(f"zy_{i}") for i in range(6)],
+        *[F.round(F.col("g")[at[i + 1, j + 1]], 5).alias(f"zz_{i}_{j}") for i in range(6) for j in range(i, 6)],
+    )
+
+
 @query()
 def ridge_coefficients(spark, d):
     return _coefficients(spark, _scores(spark, d))
@@ -317,7 +334,7 @@ def trial_overfitting(spark, d):
 def trials_table(spark, d):
     """The trials written once, in (trial, session) order, with a manifest for each, and scanned back against it."""
     t = ingest.written(alpha_trials(spark, d).sort("trial", "session"), "trials")
-    said = ingest.manifests(t, "trial", "session", "trials")
+    said = digests.manifests(t, "trial", "session", "trials")
     series = t.groupBy("trial").agg(F.count("*").alias("sessions"), F.min("session").alias("start_session"), F.max("session").alias("end_session"))
     return series.join(said, F.lower("trial") == F.col("snapshot_id"), "left").select("trial", "sessions", "start_session", "end_session", (F.col("sessions") == F.col("row_count")).alias("complete"), "content_sha256")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calendars as cal
 from ..operators import features as feat
 from ..operators import validation as val
-from ..sources import ingest, panel
+from ..sources import digests, ingest, panel
 from . import sql as S
 
 Q, SQL = {}, {}
@@ -56,25 +56,70 @@ def schema_contract(spark, d):
     return ingest.contract(panel.daily_bars(spark, d), ", ".join(f"{c} {t}" for c, t in _CONTRACT.items()) + ", source string")
 
 
-@query()
+_D4S = ("open", "high", "low", "close", "volume", "vwap")
+_DEPTH = 2
+
+
+def _stored(bars):
+    """Bars as a snapshot holds them: decimals of four places, whose text is the same everywhere."""
+    return bars.withColumns({c: F.col(c).cast("decimal(20,4)") for c in _D4S})
+
+
+def _tree_sql(name: str, rows: str) -> str:
+    """CTEs of the digest tree of ``rows``: name_0 (the root) to name_2 (the leaves)."""
+    text = " || '|' || ".join(f"strlen({v}) || ':' || {v}" for c in sorted((*_D4S, "session", "symbol", "trade_count")) for v in [f"{c}::decimal(20,4)::varchar" if c in _D4S else f"{c}::varchar"])
+    return f"""{name}_h as (select sha256({text}) as h, count(*) as n from {rows} group by 1),
+{name}_2 as (select 2 as level, h[1:2] as node, sum(n)::bigint as rows, sha256(string_agg(h || '*' || n, ',' order by h || '*' || n)) as sha256 from {name}_h group by 2),
+{name}_1 as (select 1 as level, node[1:1] as node, sum(rows)::bigint as rows, sha256(string_agg(node[2:2] || '=' || sha256, ',' order by node)) as sha256 from {name}_2 group by 2),
+{name}_0 as (select 0 as level, '' as node, sum(rows)::bigint as rows, sha256(string_agg(node || '=' || sha256, ',' order by node)) as sha256 from {name}_1)"""
+
+
+_NODES = "select * from t_0 union all select * from t_1 union all select * from t_2"
+
+
+@query(f"{S.BARS}, {_tree_sql('t', 'bars')} select rows, {_DEPTH} as depth, sha256 from t_0")
 def snapshot_digest(spark, d):
-    return ingest.digest(panel.daily_bars(spark, d))
+    return digests.digest(_stored(panel.daily_bars(spark, d)), _DEPTH)
 
 
-@query()
+@query(f"{S.BARS}, {_tree_sql('t', 'bars')} {_NODES}")
+def snapshot_tree(spark, d):
+    """Every node of the digest tree of the daily bars."""
+    return digests.tree(_stored(panel.daily_bars(spark, d)), _DEPTH)
+
+
+_CHANGED = "symbol = 'ASIA' and session = date '1996-05-06'"
+
+
+@query(f"""{S.BARS}, other as (select * replace (case when {_CHANGED} then close + 1 else close end as close) from bars), {_tree_sql('t', 'bars')}, {_tree_sql('u', 'other')},
+a as ({_NODES}), b as ({_NODES.replace('t_', 'u_')})
+select coalesce(a.level, b.level) as level, coalesce(a.node, b.node) as node, coalesce(a.rows, 0) as rows, coalesce(b.rows, 0) as other_rows from a full join b on a.level = b.level and a.node = b.node where a.sha256 is distinct from b.sha256""")
+def snapshot_differences(spark, d):
+    """Where the trees of the bars and of the bars with one changed price differ: the leaves of the old and the new row, and the way up."""
+    bars = _stored(panel.daily_bars(spark, d))
+    other = bars.withColumn("close", F.when(F.expr(_CHANGED), F.col("close") + 1).otherwise(F.col("close")).cast("decimal(20,4)"))
+    return digests.differences(digests.tree(bars, _DEPTH), digests.tree(other, _DEPTH))
+
+
+_FULL_SQL = """ok as (select * from bars where open > 0 and high > 0 and low > 0 and close > 0 and volume > 0),
+full_ as (select session from ok group by session having count(distinct symbol) = (select count(distinct symbol) from ok)),
+fb as (select symbol, session, round(open, 4) as open, greatest(round(open, 4), round(high, 4), round(low, 4), round(close, 4)) as high, least(round(open, 4), round(high, 4), round(low, 4), round(close, 4)) as low, round(close, 4) as close, volume, trade_count from ok where session in (select session from full_)),
+rect as (select *, round((high + low + close) / 3, 4) as vwap from fb)"""
+
+
+@query(f"{S.BARS}, {_FULL_SQL}, {_tree_sql('t', 'rect')} select 'bars' as dataset, rows, {_DEPTH} as depth, sha256, true as verified, 0::bigint as bad_leaves from t_0")
 def snapshot_verify(spark, d):
-    """Daily bars that pass the quality gate, published and read back."""
-    bars = ingest.written(panel.daily_bars(spark, d).where("session <= date '2001-06-30'"), "bars")
+    """The sessions that every symbol has, through the whole quality gate, published, read back and held against their tree."""
+    bars = ingest.written(panel.rectangular(panel.daily_bars(spark, d)), "bars")
     u = bars.select("symbol").distinct()
     latest = str(bars.agg(F.max("session")).first()[0])
-    issues = val.quality_report(bars.join(u, "symbol", "left_semi"), u, cal.observed(bars), latest).where("code not in ('missing_session', 'incomplete_latest_session')")
-    return ingest.publish_and_verify(bars, "bars", issues)
+    return digests.publish_and_verify(_stored(bars), "bars", val.quality_report(bars, u, cal.observed(bars), latest), _DEPTH)
 
 
 @query()
 def manifest_lookup(spark, d):
     """Manifests of two datasets, daily and weekly bars, and those of one of them."""
-    both = ingest.manifests(panel.daily_bars(spark, d), "symbol", "session").unionByName(ingest.manifests(panel.weekly_bars(spark, d), "symbol", "session", "weekly"))
+    both = digests.manifests(panel.daily_bars(spark, d), "symbol", "session").unionByName(digests.manifests(panel.weekly_bars(spark, d), "symbol", "session", "weekly"))
     return ingest.lookup(both, "bars")
 
 

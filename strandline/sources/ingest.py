@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import published, written  # noqa: F401
+from .tables import written  # noqa: F401
 
 
 def contract(df: DataFrame, wanted: str) -> DataFrame:
@@ -19,41 +19,6 @@ def contract(df: DataFrame, wanted: str) -> DataFrame:
     return counts.select(F.inline(F.array(*[row(*x) for x in said])))
 
 
-def _lanes(df: DataFrame) -> list[Column]:
-    """Four sums of 64-bit parts of the rows' SHA-256: a digest of a table in any row order that is summed up from any split of it."""
-    h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    return [F.sum(F.conv(F.substring(h, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)")).alias(f"lane{k}") for k in range(4)]
-
-
-def _sealed(rows: str) -> Column:
-    return F.sha2(F.concat_ws(":", F.col(rows).cast("string"), *[F.coalesce(F.col(f"lane{k}"), F.lit(0)).cast("string") for k in range(4)]).cast("binary"), 256)
-
-
-def digest(df: DataFrame) -> DataFrame:
-    """(rows, sha256) of a table, in any row order: one partial aggregate, a few numbers from each task."""
-    return df.agg(F.count("*").alias("rows"), *_lanes(df)).select("rows", _sealed("rows").alias("sha256"))
-
-
-def publish_and_verify(df: DataFrame, name: str, issues: DataFrame | None = None) -> DataFrame:
-    """Write a snapshot (never over one that exists), keep its digest as a manifest, read it back and compare: (dataset, rows, sha256, verified).
-
-    ``issues`` is a quality report (see ``validation.quality_report``): a blocked one stops before anything is written.
-    """
-    if issues is not None and issues.where("blocked").head(1):
-        raise ValueError(f"{name}: the quality report blocks publishing")
-    back = published(df, name)
-    said, got = digest(df), digest(back)
-    return said.join(got.select(F.col("rows").alias("r"), F.col("sha256").alias("h")), F.lit(True)).select(F.lit(name).alias("dataset"), "rows", "sha256", ((F.col("rows") == F.col("r")) & (F.col("sha256") == F.col("h"))).alias("verified"))
-
-
-def manifests(df: DataFrame, by: str, order: str, dataset: str = "bars") -> DataFrame:
-    """One manifest a group: (dataset, snapshot_id, row_count, content_sha256, metadata, valid). Each group is one partial aggregate, whatever its size."""
-    m = df.groupBy(by).agg(F.count("*").alias("row_count"), *_lanes(df), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    m = m.select(F.lit(dataset).alias("dataset"), F.lower(F.regexp_replace(by, " ", "-")).alias("snapshot_id"), "row_count", _sealed("row_count").alias("content_sha256"), F.create_map(F.lit("start"), F.col("lo").cast("string"), F.lit("end"), F.col("hi").cast("string")).alias("metadata"))
-    path_ok = F.col("snapshot_id").rlike("^[a-z0-9][a-z0-9._-]*$") & ~F.col("snapshot_id").contains("..")
-    return m.withColumn("valid", path_ok & F.col("content_sha256").rlike("^[0-9a-f]{64}$") & (F.length(F.trim("dataset")) > 0))
-
-
 def lookup(table: DataFrame, dataset: str, snapshot_id: str | None = None) -> DataFrame:
     out = table.where((F.col("dataset") == dataset) & F.col("valid"))
     return out if snapshot_id is None else out.where(F.col("snapshot_id") == snapshot_id)
@@ -107,8 +72,10 @@ def reload(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def to_insert(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored yet, one for each key."""
-    return new.dropDuplicates([key]).join(stored.select(key).distinct(), key, "left_anti")
+    """Rows whose key is not stored yet, one for each key: of several the least row, column by column, whatever the order they came in."""
+    rest = [c for c in new.columns if c != key]
+    first = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("__r")).select(key, *[F.col("__r")[c].alias(c) for c in rest]) if rest else new.select(key).distinct()
+    return first.select(*new.columns).join(stored.select(key).distinct(), key, "left_anti")
 
 
 def stored_counts(stored: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import blocks
+
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity", "l_extendedprice")
 
 
@@ -60,7 +62,5 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def close_returns(bars: DataFrame) -> DataFrame:
     """(strategy, session, ret): close to close for each symbol, the first row dropped."""
-    from pyspark.sql import Window
-
-    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("session"))
-    return bars.select(F.col("symbol").alias("strategy"), "session", F.round(F.col("close") / before - 1, 10).alias("ret")).where("ret is not null")
+    x = blocks.previous(bars.select("symbol", "session", "close"), ["symbol"], "session", "close", "before")
+    return x.select(F.col("symbol").alias("strategy"), "session", F.round(F.col("close") / F.col("before") - 1, 10).alias("ret")).where("ret is not null")

@@ -7,7 +7,7 @@ import pytest
 
 from strandline.functions import linear
 from strandline.operators import analytics, calendars, features, modelling, orders, registry, replay, targets, validation
-from strandline.sources import ingest, panel
+from strandline.sources import digests, ingest, panel
 
 
 def returns(spark, values, name="s", start=dt.date(2024, 1, 1)):
@@ -134,8 +134,8 @@ def test_json_and_snapshots(spark):
     bad = spark.createDataFrame([('{"bars": {"A": [{"t": "2024-01-02T05:00:00Z", "o": "1", "h": "2", "l": "1", "c": "x", "v": 1, "vw": "1", "n": 1}]}}',)], "payload string")
     assert ingest.bars_from_json(bad, "payload").first().reason == "bad_close"
     b = bars(spark, [("A", "2024-01-01", 1.0), ("A", "2024-01-02", 2.0)])
-    assert ingest.publish_and_verify(b, "t").first().verified
-    assert ingest.digest(b).first() == ingest.digest(b.orderBy(b.session.desc())).first() != ingest.digest(b.limit(1)).first()
+    assert digests.publish_and_verify(b, "t").first().verified
+    assert digests.digest(b).first() == digests.digest(b.orderBy(b.session.desc())).first() != digests.digest(b.limit(1)).first()
     back = ingest.reload(ingest.evidence(b, "bar", "2024-01-01 00:00:00", "session"), b.schema)
     assert sorted(back.collect()) == sorted(b.collect())
 
@@ -244,7 +244,7 @@ def test_gates(spark):
     assert codes(in_order) == ["ok"] and codes(in_order.withColumn("no", -F.col("no"))) == ["unsorted_bars"]
     issues = validation.quality_report(in_order.withColumn("no", -F.col("no")), u, cal, "2024-01-03", "no")
     with pytest.raises(ValueError):
-        ingest.publish_and_verify(b, "t", issues)
+        digests.publish_and_verify(b, "t", issues)
     nan = spark.createDataFrame([(1.0,), (float("nan"),)], "ret double")
     with pytest.raises(Exception, match="not finite"):
         modelling.finite_series(nan, "ret").collect()
