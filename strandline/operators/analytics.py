@@ -151,6 +151,12 @@ def histogram(returns: DataFrame, bins: int = 41) -> DataFrame:
     return dense.join(n, ["strategy", "bin"], "left").select("strategy", "bin", F.round(F.col("lo") + (F.col("bin") + 0.5) * F.col("width"), 8).alias("centre"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def logit_histogram(logits: DataFrame, bins: int = 21) -> DataFrame:
+    """(bin, centre, n) of the logits of a cross-validation; none without logits."""
+    x = histogram(logits.select(F.lit("logit").alias("strategy"), F.col("logit").alias("ret")), bins)
+    return x.select("bin", F.round("centre", 4).alias("centre"), "n")
+
+
 def compounded(returns: DataFrame, *parts: str) -> DataFrame:
     """Compound returns of calendar parts: ``year`` or ``year``, ``month``."""
     keys = [getattr(F, p)("session").alias(p) for p in parts]

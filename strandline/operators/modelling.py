@@ -159,7 +159,7 @@ def ridge_coefficients(rows: DataFrame, alphas: DataFrame, every: int = 1) -> Da
                 out.append((day, alpha, round(n), float(my - mean @ beta), beta.tolist()))
             yield pd.DataFrame(out, columns=["decision_session", "alpha", "n", "intercept", "beta"])
 
-    return sums.crossJoin(F.broadcast(alphas)).select("decision_session", "alpha", "g").mapInPandas(solve, "decision_session date, alpha double, n long, intercept double, beta array<double>")  # alphas: a parameter grid of a few rows
+    return sums.crossJoin(alphas).select("decision_session", "alpha", "g").mapInPandas(solve, "decision_session date, alpha double, n long, intercept double, beta array<double>")
 
 
 def forecasts(rows: DataFrame, coefficients: DataFrame) -> DataFrame:

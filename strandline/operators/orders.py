@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blocks
+
 
 def position_deltas(target: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("account", "symbol")) -> DataFrame:
     """Target minus held quantity, for symbols in the target only: what is held beside it is not sold here."""
@@ -64,3 +66,24 @@ def outcomes(wanted: DataFrame, existing: DataFrame, blocked: Column) -> DataFra
 
 def open_orders(orders: DataFrame, state: str = "state") -> DataFrame:
     return orders.where(F.col(state).isin("new", "partially_filled"))
+
+
+def recent_fills(fills: DataFrame, at: str, *then: str) -> DataFrame:
+    """All fills with ``seq``, their place in the order they came in (from 1): by date and, within one, by ``then``."""
+    return blocks.numbered(fills, [], at, "seq", then).withColumn("seq", F.col("seq") + 1)
+
+
+def preview(intents: DataFrame, checks: DataFrame, differences: DataFrame) -> DataFrame:
+    """(account, part, seq, item, status, detail, blocked): all that a preview shows of each account that has intents or differences, in long form.
+
+    Parts: its rules (item: code; status: pass or block), its differences (item: kind and item; detail: both sides) and its
+    intents (item: symbol; status: side; detail: id). An account is blocked if a rule or a difference blocks it, or if it was never checked.
+    """
+    rule = checks.select(F.col("proposal_id").alias("account"), F.lit("rule").alias("part"), "seq", F.col("code").alias("item"), "status", "detail")
+    gap = differences.select("account", F.lit("difference").alias("part"), "seq", F.concat_ws(" ", "kind", "item").alias("item"), F.lit("block").alias("status"), F.concat_ws(" is not ", "internal", "broker").alias("detail"))
+    order = intents.select("account", F.lit("intent").alias("part"), F.lit(1).alias("seq"), F.col("symbol").alias("item"), F.col("side").alias("status"), F.col("client_order_id").alias("detail"))
+    gate = rule.unionByName(gap).unionByName(order).groupBy("account").agg(
+        F.coalesce(F.bool_or((F.col("part") != "intent") & (F.col("status") == "block")), F.lit(False)).alias("b"), F.count_if(F.col("part") == "rule").alias("r"), F.count_if(F.col("part") != "rule").alias("n")
+    )
+    gate = gate.where("n > 0").select("account", (F.col("b") | (F.col("r") == 0)).alias("blocked"))
+    return rule.unionByName(gap).unionByName(order).join(gate, "account")

@@ -11,30 +11,112 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def canonical_number(c: Column) -> Column:
-    """All digits of a number without trailing zeros: plain from 1e-6 up to below 1e21, else as d.ddde+x; -0 is 0. Non-finite numbers are null."""
-    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  names a value that is used several times
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that it names several times, computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def shown(x: Column) -> Column:
-        digits, n, point = x["digits"], x["n"], x["point"]
-        plain = (
-            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-            .when(point >= n, F.rpad(digits, point, F.lit("0")))
-            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-        )
-        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
-        far = F.concat(F.substring(digits, 1, 1), tail, F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
-        return F.when(n == 0, "0").otherwise(F.concat(x["sign"], F.when(point.between(-5, 21), plain).otherwise(far)))
-
-    def split(x: Column) -> Column:
-        digits = F.regexp_replace(x["long"], "0+$", "")
-        return F.struct(x["sign"].alias("sign"), digits.alias("digits"), F.length(digits).alias("n"), (x["power"] - F.length(x["part"]) + F.length(x["long"])).alias("point"))
 
+def _digits(c: Column) -> Column:
+    """(sign, digits, n, point) of a number's text: its digits without zeros at either end, and how many stand before the point."""
     t = c.cast("string")
     part = F.regexp_extract(t, "[.]([0-9]+)", 1)
     power = F.coalesce(F.regexp_extract(t, "E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
     read = F.struct(F.regexp_extract(t, "^-?", 0).alias("sign"), part.alias("part"), power.alias("power"), F.regexp_replace(F.concat(F.regexp_extract(t, "^-?([0-9]+)", 1), part), "^0+", "").alias("long"))
-    return F.when(t.rlike("^-?[0-9]"), bound(bound(read, split), shown))
+
+    def split(x: Column) -> Column:
+        digits = F.regexp_replace(x["long"], "0+$", "")
+        return F.struct(x["sign"].alias("sign"), digits.alias("digits"), F.length(digits).alias("n"), (x["power"] - F.length(x["part"]) + F.length(x["long"])).alias("point"))
+
+    return _bound(read, split)
+
+
+def _fixed(x: Column, end: str) -> Column:
+    """Plain notation; ``end`` follows a whole number."""
+    digits, n, point = x["digits"], x["n"], x["point"]
+    return (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= n, F.concat(F.rpad(digits, point, F.lit("0")), F.lit(end)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+    )
+
+
+def _power(x: Column, width: int) -> Column:
+    """Notation with an exponent of at least ``width`` digits."""
+    tail = F.when(x["n"] > 1, F.concat(F.lit("."), F.substring(x["digits"], F.lit(2), x["n"]))).otherwise("")
+    size = F.abs(x["point"] - 1).cast("string")
+    return F.concat(F.substring(x["digits"], 1, 1), tail, F.when(x["point"] > 0, "e+").otherwise("e-"), F.lpad(size, F.greatest(F.lit(width), F.length(size)), F.lit("0")))
+
+
+def canonical_number(c: Column) -> Column:
+    """All digits of a number without trailing zeros: plain from 1e-6 up to below 1e21, else as d.ddde+x; -0 is 0. Non-finite numbers are null."""
+
+    def shown(x: Column) -> Column:
+        return F.when(x["n"] == 0, "0").otherwise(F.concat(x["sign"], F.when(x["point"].between(-5, 21), _fixed(x, "")).otherwise(_power(x, 1))))
+
+    return F.when(c.cast("string").rlike("^-?[0-9]"), _bound(_digits(c), shown))
+
+
+def json_float(c: Column) -> Column:
+    """A finite double as canonical JSON writes it: 0.0 for either zero, plain from 1e-4 up to below 1e16, else as d.ddde+xx. Others fail. The digits are those that the JVM writes."""
+
+    def shown(x: Column) -> Column:
+        return F.when(x["n"] == 0, "0.0").otherwise(F.concat(x["sign"], F.when(x["point"].between(-3, 16), _fixed(x, ".0")).otherwise(_power(x, 2))))
+
+    bad = F.raise_error(F.lit("canonical JSON does not support non-finite float")).cast("string")
+    return F.when(c.isNull(), None).when(F.isnan(c) | (F.abs(c) == float("inf")), bad).otherwise(_bound(_digits(c), shown))
+
+
+def json_string(c: Column) -> Column:
+    """A string in JSON's quotes, ASCII alone: other characters as \\uXXXX, those beyond the basic plane as two."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+
+    def escaped(ch: Column) -> Column:
+        def of(n: Column) -> Column:
+            out = F.when((n >= 32) & (n < 127) & (n != 34) & (n != 92), ch)
+            for code, text in short.items():
+                out = out.when(n == code, F.lit(text))
+            over = n - 0x10000
+            return out.when(n < 0x10000, unit(n)).otherwise(F.concat(unit(F.floor(over / 1024) + 0xD800), unit(over % 1024 + 0xDC00)))
+
+        return _bound(F.ascii(ch), of)
+
+    plain = ~c.rlike(r'[^\x20-\x7e]|["\\]')
+    return F.concat(F.lit('"'), F.when(plain | (c == ""), c).otherwise(F.array_join(F.transform(F.split(c, ""), escaped), "")), F.lit('"'))
+
+
+def canonical_json(c: Column, kind: T.DataType) -> Column:
+    """A value of any nesting as canonical JSON: keys of structs and maps in order, no spaces, decimals as text without trailing zeros, null as null.
+
+    Map keys are text; dates and times are text in ISO form. A double that is not finite fails.
+    """
+
+    def text(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            parts = [F.concat(json_string(F.lit(f.name)), F.lit(":"), whole(c[f.name], f.dataType)) for f in sorted(kind, key=lambda f: f.name)]
+            return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        if isinstance(kind, T.ArrayType):
+            return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: whole(x, kind.elementType)), ","), F.lit("]"))
+        if isinstance(kind, T.MapType):
+            entry = lambda k: F.concat(json_string(k.cast("string")), F.lit(":"), whole(c[k], kind.valueType))
+            return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(c)), entry), ","), F.lit("}"))
+        if isinstance(kind, T.DecimalType):
+            return F.concat(F.lit('"'), canonical_number(c), F.lit('"'))
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return json_float(c)
+        if isinstance(kind, (T.IntegralType, T.BooleanType)):
+            return c.cast("string")
+        return json_string(c.cast("string"))
+
+    def whole(c: Column, kind: T.DataType) -> Column:
+        return F.coalesce(F.when(c.isNotNull(), text(c, kind)), F.lit("null"))
+
+    return whole(c, kind)
+
+
+def spec_hash(c: Column, kind: T.DataType) -> Column:
+    """SHA-256 of a spec's canonical JSON and a line feed."""
+    return F.sha2(F.concat(canonical_json(c, kind), F.lit("\n")).cast("binary"), 256)
 
 
 def digest(*columns: str) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import linear
 from ..operators import analytics as an
-from ..sources import panel
+from ..operators.modelling import finite_series
+from ..sources import ingest, panel
 from . import sql as S
 
 Q, SQL = {}, {}
@@ -27,7 +28,8 @@ def query(oracle: str | None = None):
 
 
 def returns(spark, d):
-    return panel.close_returns(panel.daily_bars(spark, d))
+    """Returns behind the finiteness gate: no statistic is computed of a series that is not finite throughout."""
+    return finite_series(panel.close_returns(panel.daily_bars(spark, d)), "ret")
 
 
 R = S.RETURNS
@@ -241,6 +243,13 @@ def pbo_logits(spark, d):
     return an.pbo_logits(returns(spark, d))
 
 
+@query(f"""{R}, {_PBO}, sp as (select min(logit) lo, (max(logit) - min(logit)) / 21 as width from pl), n as (select least(floor((logit - lo) / width), 20)::int as bin, count(*) as n from pl, sp group by 1)
+select b::int as bin, round(lo + (b + 0.5) * width, 4) as centre, coalesce(n.n, 0) as n from sp cross join range(21) t(b) left join n on n.bin = b""")
+def logit_histogram(spark, d):
+    """The logits of all combinations in 21 bins."""
+    return an.logit_histogram(ingest.written(an.pbo_logits(returns(spark, d)), "logits"))
+
+
 @query(f"""{_DSR}, {_PBO}, su as (select count(*) as combinations, round(avg(case when logit <= 0 then 1.0 else 0.0 end), 8) as pbo, round(quantile_cont(logit, 0.5), 8) as logit_median from pl)
 select combinations, pbo, logit_median, strategy, sharpe, threshold, psr as dsr from su cross join (select * from pr order by sharpe desc, strategy limit 1)""")
 def overfitting_summary(spark, d):
@@ -250,14 +259,3 @@ def overfitting_summary(spark, d):
 @query(f"""{DD} select strategy, session, round(equity, 8) as equity from (select *, count(*) over (partition by strategy) as n from dd) where (idx - 1) % ceil(n / 320.0)::int = 0 or idx = n""")
 def downsample_curve(spark, d):
     return an.downsample(an.growth_curve(returns(spark, d)).select("strategy", "session", F.round("equity", 8).alias("equity")))
-
-
-@query()
-def report_payload(spark, d):
-    """One JSON document a series: statistics, yearly returns and a thinned curve."""
-    r = returns(spark, d)
-    stats = an.performance_summary(r)
-    curve = an.downsample(an.growth_curve(r)).groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("session", F.round("equity", 6).alias("equity")))).alias("curve"))  # 321 points at most
-    years = an.compounded(r, "year").groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("year", "ret"))).alias("years"))
-    x = stats.join(curve, "strategy").join(years, "strategy")
-    return x.select("strategy", F.to_json(F.struct(F.struct(*[c for c in stats.columns if c != "strategy"]).alias("performance"), "years", "curve")).alias("payload"))

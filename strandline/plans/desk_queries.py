@@ -151,19 +151,45 @@ def open_orders(spark, d):
     return od.open_orders(o)
 
 
-@query()
+@query("""select l_orderkey as order_id, l_linenumber as line, l_quantity::bigint as qty, cast(l_shipdate as date) as filled_on, row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as seq
+from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus in ('F', 'P')) and l_linestatus = 'F'""")
+def recent_fills(spark, d):
+    """Fills of orders that are filled or partly filled, in the order they came in."""
+    t = panel.table
+    some = t(spark, d, "orders").where("o_orderstatus in ('F', 'P')").select(F.col("o_orderkey").alias("l_orderkey"))
+    x = t(spark, d, "lineitem").where("l_linestatus = 'F'").join(some, "l_orderkey", "left_semi").withColumn("filled_on", F.to_date("l_shipdate"))
+    x = od.recent_fills(x, "filled_on", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return x.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("qty"), "filled_on", "seq")
+
+
+_GATE = f"""{_CHECKS}, {_HOLD}, {_RP}, {_RO}, {_RC}, df as (select * from rc union all select * from rp union all select * from ro),
+br as (select proposal_id as account, count(*) filter (where status = 'block') > 0 as by_rules, string_agg(code, ',' order by seq) filter (where status = 'block') as blocking_rules from ck group by 1),
+dn as (select account, count(*) as differences from df group by 1)"""
+
+
+@query(f"{_GATE} select it.*, by_rules, coalesce(blocking_rules, '') as blocking_rules, coalesce(differences, 0) as differences, coalesce(by_rules, true) or coalesce(differences, 0) > 0 as blocked from it left join br using (account) left join dn using (account)")
 def execution_preview(spark, d):
-    """Intents with the gate of their account: blocked by a rule or a difference."""
-    blocked = rules.summary(_checks(spark, d)).select(F.col("proposal_id").alias("account"), F.col("blocked").alias("by_rules"))
+    """Intents with the gate of their account: the rules that block it and its differences."""
+    failed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == "block", F.struct("seq", "code")))), lambda x: x["code"]), ",")  # seventeen at most
+    blocked = _checks(spark, d).groupBy(F.col("proposal_id").alias("account")).agg((F.count_if(F.col("status") == "block") > 0).alias("by_rules"), failed.alias("blocking_rules"))
     diffs = od.reconciliation(*_recon(spark, d)).groupBy("account").agg(F.count("*").alias("differences"))
-    x = _intents(spark, d).join(blocked, "account", "left").join(diffs, "account", "left").fillna(0, ["differences"])
+    x = _intents(spark, d).join(blocked, "account", "left").join(diffs, "account", "left").fillna(0, ["differences"]).fillna("", ["blocking_rules"])
     return x.withColumn("blocked", F.coalesce("by_rules", F.lit(True)) | (F.col("differences") > 0))
 
 
+@query(f"""{_GATE}, al as (select proposal_id as account, 'rule' as part, seq, code as item, status, detail from ck
+  union all select account, 'difference', seq, kind || ' ' || item, 'block', internal || ' is not ' || broker from df union all select account, 'intent', 1, symbol, side, client_order_id from it),
+gt as (select account, bool_or(part <> 'intent' and status = 'block') or count(*) filter (where part = 'rule') = 0 as blocked from al group by 1 having count(*) filter (where part <> 'rule') > 0)
+select al.*, blocked from al join gt using (account)""")
+def execution_preview_rows(spark, d):
+    """The whole preview of each account: rule rows, differences and intents."""
+    return od.preview(_intents(spark, d), _checks(spark, d), od.reconciliation(*_recon(spark, d)))
+
+
 # --- experiment registry: orders told as runs
 
 _RUNS = """rn as (select 'run-' || o_orderkey::varchar as run_id, o_custkey as study, 'k' || (o_custkey % 3 = 0 and o_orderkey % 2 = 0)::int::varchar as compatibility_key, round(o_totalprice / 1e5, 4) as sharpe, round(o_totalprice / 1e5 - (o_orderkey % 10) / 10.0, 4) as robust_sharpe,
-  round(-(o_orderkey % 100) / 100.0, 2) as max_drawdown, round((o_custkey % 50) / 50.0, 2) as turnover, o_orderkey % 6 = 0 as git_dirty, case when o_orderkey % 9 = 0 then 'degraded' else 'ok' end as tracking_status from orders),
+  round(-(o_orderkey % 100) / 100.0, 2) as max_drawdown, round((o_custkey % 50) / 50.0, 2) as turnover, o_orderkey % 6 = 0 as git_dirty, case when o_orderkey % 9 = 0 then 'degraded' else 'ok' end as tracking_status, floor(o_totalprice) / 1e4 as penalty from orders),
 st as (select *, concat_ws('; ', case when max_drawdown < -0.8 then 'drawdown below floor' end, case when turnover > 0.9 then 'turnover above cap' end) as reason from rn),
 rs as (select *, case when reason <> '' then 'blocked' else 'complete' end as status from st)"""
 
@@ -172,7 +198,7 @@ def _runs(spark, d):
     o = panel.table(spark, d, "orders")
     x = o.selectExpr(
         "concat('run-', cast(o_orderkey as string)) as run_id", "o_custkey as study", "concat('k', cast(cast(o_custkey % 3 = 0 and o_orderkey % 2 = 0 as int) as string)) as compatibility_key", "round(o_totalprice / 1e5, 4) as sharpe", "round(o_totalprice / 1e5 - (o_orderkey % 10) / 10.0D, 4) as robust_sharpe",
-        "round(-(o_orderkey % 100) / 100.0D, 2) as max_drawdown", "round((o_custkey % 50) / 50.0D, 2) as turnover", "o_orderkey % 6 = 0 as git_dirty", "case when o_orderkey % 9 = 0 then 'degraded' else 'ok' end as tracking_status",
+        "round(-(o_orderkey % 100) / 100.0D, 2) as max_drawdown", "round((o_custkey % 50) / 50.0D, 2) as turnover", "o_orderkey % 6 = 0 as git_dirty", "case when o_orderkey % 9 = 0 then 'degraded' else 'ok' end as tracking_status", "floor(o_totalprice) / 1e4D as penalty",
     )
     return reg.objective_status(x, -0.8, 0.9)
 
@@ -182,9 +208,12 @@ def objective_status(spark, d):
     return _runs(spark, d).select("run_id", "status", "reason")
 
 
-@query()
+_SPEC = f"""with {_RUNS}, id as (select study, '{{"alpha":"' || regexp_replace(penalty::varchar, '[.]0$', '') || '","git_dirty":' || git_dirty || ',"study":' || study || ',"turnover":' || turnover || '}}' as a, '{{"study":' || study || ',"tracking_status":"' || tracking_status || '"}}' as b from rn)"""
+
+
+@query(f"{_SPEC} select study, 'run-' || sha256(a)[1:20] as run_id, sha256(b) as compatibility_key from id")
 def run_ids(spark, d):
-    return reg.run_ids(_runs(spark, d).withColumn("alpha", reg.canonical_number(F.col("sharpe"))).drop("run_id", "compatibility_key"), ("study", "alpha", "git_dirty", "turnover"), ("study", "tracking_status")).select("study", "run_id", "compatibility_key")
+    return reg.run_ids(_runs(spark, d).withColumn("alpha", reg.canonical_number(F.col("penalty"))).drop("run_id", "compatibility_key"), ("study", "alpha", "git_dirty", "turnover"), ("study", "tracking_status")).select("study", "run_id", "compatibility_key")
 
 
 @query("""with c as (select o_custkey as run_id, case o_orderstatus when 'F' then 2.0 when 'O' then 5.0 else 10.0 end as bps, min(o_totalprice / 1e5) as s from orders group by all),
@@ -270,6 +299,17 @@ def artifact_inventory(spark, d):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.lit("application/vnd.apache.parquet").alias("media_type"))
 
 
+@query(f"""with {_RUNS} select run_id, sha256('{{"model":{{"alpha":"' || regexp_replace(penalty::varchar, '[.]0$', '') || '","window":[' || study::double || ',0.0,null]}},"note":"caf\\u00e9 \\"' || tracking_status || '\\"","tags":{{"a":' || turnover || ',"b":' || penalty || '}}}}' || chr(10)) as spec_sha256 from rn""")
+def spec_hashes(spark, d):
+    """Hashes of nested experiment specs: structs, maps and arrays in one canonical JSON text."""
+    spec = F.struct(
+        F.create_map(F.lit("b"), "penalty", F.lit("a"), "turnover").alias("tags"), F.concat(F.lit('caf\u00e9 "'), "tracking_status", F.lit('"')).alias("note"),
+        F.struct(F.array(F.col("study").cast("double"), F.lit(-0.0), F.lit(None).cast("double")).alias("window"), F.col("penalty").cast("decimal(12,6)").alias("alpha")).alias("model"),
+    )
+    x = _runs(spark, d).select("run_id", spec.alias("spec"))
+    return x.select("run_id", reg.spec_hash(F.col("spec"), x.schema["spec"].dataType).alias("spec_sha256"))
+
+
 _KEYS = ("client_secret", "PASSWORD", "token_2", "user_api_key", "Access_Key_Id", "database_url", "DSN", "note", "tok_en")
 _KEY = f"list_extract([{', '.join(repr(k) for k in _KEYS)}], (event_id % {len(_KEYS)} + 1)::int)"
 

@@ -234,3 +234,85 @@ def test_new_keys_keep_the_least_row(spark):
     new = spark.createDataFrame([("k", 2, "b"), ("k", 1, "z"), ("k", 1, "y"), ("old", 0, "q")], "id string, n int, t string").repartition(3)
     stored = spark.createDataFrame([("old",)], "id string")
     assert [tuple(r) for r in ingest.to_insert(new, stored, "id").collect()] == [("k", 1, "y")]
+
+
+def test_canonical_json_equals_the_plain_form(spark):
+    """Structs, maps and arrays of any depth against a plain encoder's text."""
+    import decimal
+    import json
+
+    from strandline.operators import registry
+
+    floats = [0.0, -0.0, 1.0, -1.5, 0.1, 1e-4, 9.9e-5, 123456789.125, 1e15, 1e16, 1.7e16, -2.5e-300, 3e300, 1e-310, 12345678901234567890.0]
+    decimals = ["0", "-0.00", "1.50", "-12.000", "1000000", "0.000001", "0.00000012", "123456789012345678.9"]
+    texts = ["", "plain", 'q"\\/', "tab\tnl\ncr\rbs\bff\f", "\x01\x1f\x7f", "é ü 日本", "\U0001f600x", " "]
+    rows = [(f, [f, None], {texts[i % 8]: f, "b": 1.0, "a": None}, decimal.Decimal(decimals[i % 8]), texts[i % 8], i, i % 2 == 0, ([{"z": [texts[i % 8]]}],)) for i, f in enumerate(floats)]
+    rows.append((None,) * 8)
+    schema = "f double, l array<double>, m map<string,double>, d decimal(38,18), t string, i long, b boolean, n struct<deep array<map<string,array<string>>>>"
+    df = spark.createDataFrame(rows, schema)
+    got = df.coalesce(1).select(registry.canonical_json(F.struct("*"), df.schema).alias("j")).collect()
+
+    def number(d):
+        d = d.normalize()
+        if not d:
+            return "0"
+        return format(d, "f") if -6 <= d.adjusted() <= 20 else f"{d:e}".replace("E", "e")
+
+    def plain(x):
+        if isinstance(x, decimal.Decimal):
+            return number(x)
+        if isinstance(x, float):
+            return 0.0 if x == 0 else x
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
+    for r, row in zip(got, rows):
+        value = dict(zip("flmdtibn", row))
+        if row[7] is not None:
+            value["n"] = {"deep": row[7][0]}
+        assert r.j == json.dumps({k: plain(v) for k, v in value.items()}, sort_keys=True, separators=(",", ":")), (r.j, value)
+    with pytest.raises(Exception, match="non-finite"):
+        spark.createDataFrame([(float("nan"),)], "f double").select(registry.canonical_json(F.col("f"), df.schema["f"].dataType)).collect()
+
+
+def test_preview_rows_and_fill_order(spark):
+    from strandline.operators import orders
+
+    intents = spark.createDataFrame([("a", "X", "buy", "id1"), ("c", "Y", "sell", "id2")], "account string, symbol string, side string, client_order_id string")
+    checks = spark.createDataFrame([("a", 1, "r1", "pass", None), ("a", 2, "r2", "pass", None), ("b", 1, "r1", "block", "why")], "proposal_id string, seq int, code string, status string, detail string")
+    gaps = spark.createDataFrame([("d", 1, "cash", "cash", "1", "2")], "account string, seq int, kind string, item string, internal string, broker string")
+    got = sorted(map(tuple, orders.preview(intents, checks, gaps).select("account", "part", "item", "status", "blocked").collect()))
+    assert got == [("a", "intent", "X", "buy", False), ("a", "rule", "r1", "pass", False), ("a", "rule", "r2", "pass", False), ("c", "intent", "Y", "sell", True), ("d", "difference", "cash cash", "block", True)]
+    fills = spark.createDataFrame([(DAY + dt.timedelta(days=i * 700 % 2000), i) for i in range(9)], "at date, k int").repartition(3)
+    seen = [(r["at"], r.k) for r in orders.recent_fills(fills, "at", "k").orderBy("seq").collect()]
+    assert seen == sorted(seen) and len(seen) == 9
+
+
+def test_returns_that_are_not_finite_stop_analytics(spark):
+    df = modelling.finite_series(spark.createDataFrame([("s", DAY, 0.1), ("s", DAY + dt.timedelta(days=1), float("nan"))], "strategy string, session date, ret double"), "ret")
+    with pytest.raises(Exception, match="not finite"):
+        analytics.var_cvar(df, 0.95).collect()
+
+
+def test_logit_bins_keep_empty_ones_and_widen_a_constant(spark):
+    x = spark.createDataFrame([(v,) for v in (-2.0, -2.0, 0.0, 2.0)], "logit double")
+    rows = analytics.logit_histogram(x).orderBy("bin").collect()
+    counts, edges = np.histogram([-2.0, -2.0, 0.0, 2.0], bins=21)
+    assert [r.n for r in rows] == counts.tolist() and [r.centre for r in rows] == [round((a + b) / 2, 4) for a, b in zip(edges, edges[1:])]
+    assert sum(r.n for r in analytics.logit_histogram(x.where("logit = 0")).collect()) == 1
+
+
+def test_report_documents_hold_every_block_in_order(spark):
+    import json
+
+    from strandline.operators import report
+
+    keys = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
+    one = spark.createDataFrame([("a", 1.5, None), ("c", 2.0, "x")], "k string, v double, t string")
+    many = spark.createDataFrame([("b", 2, "q"), ("b", 1, "r"), ("a", 3, "s")], "k string, n int, t string")
+    everywhere = spark.createDataFrame([(7,)], "n int")
+    got = report.assemble(keys, {"one": report.as_object(one, "k"), "many": report.as_list(many, [F.col("n")], "k"), "all": report.as_list(everywhere, [F.col("n")]), "none": report.as_object(everywhere.where("false"))}, "k").collect()
+    docs = {r.k: r.payload for r in got}
+    assert json.loads(docs["a"]) == {"one": {"v": 1.5, "t": None}, "many": [{"n": 3, "t": "s"}], "all": [{"n": 7}], "none": None}
+    assert docs["b"] == '{"one":null,"many":[{"n":1,"t":"r"},{"n":2,"t":"q"}],"all":[{"n":7}],"none":null}' and len(docs) == 2
