@@ -272,7 +272,7 @@ def urn_logs(logs: np.ndarray, times: np.ndarray, urns: tuple[float, ...]) -> np
             # Beyond the least double a repeat adds its count alone.
             x = np.maximum(np.exp(out[:, u, often]), 1e-300)
             out[:, u, often] += log_rising(x + 1, times[often] - 1)
-    return out.reshape(-1, len(times))
+    return out.reshape(len(logs) * len(urns), len(times))
 
 
 def repeat_logs(logs: np.ndarray, times: np.ndarray, urns: tuple[float, ...]) -> np.ndarray:
@@ -283,7 +283,7 @@ def repeat_logs(logs: np.ndarray, times: np.ndarray, urns: tuple[float, ...]) ->
         k = times[often]
         for u, a in enumerate(urns):
             out[:, u, often] = log_rising(np.maximum(np.exp(logs[:, often] + np.log(a)), 1e-300) + 1, k - 1) - _log_gamma(k.astype(float))
-    return out.reshape(-1, len(times))
+    return out.reshape(len(logs) * len(urns), len(times))
 
 
 def not_held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
@@ -425,13 +425,13 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text_col: str = "text"
                 key, times = np.unique(np.repeat(np.arange(n), np.diff(bounds)) * size + idx, return_counts=True)
                 doc, word = key // size, head[key % size]
                 here = word >= 0
-                total = lambda x: np.bincount(doc[here], weights=x, minlength=n)
+                total = lambda x: np.bincount(doc[here], weights=x, minlength=n).astype(float)  # noqa: E731  (of nothing it makes whole numbers)
                 add = [total(x) for x in urn_logs(logs[:, word[here]], times[here], m.urns)]
                 known, based = total(times[here].astype(float)).astype(np.int64), total(times[here] * base[word[here]])
                 rest = np.flatnonzero(~here)
                 # Of a rare word all is known here but its log, and what a repeat adds beyond (times - 1)!.
                 own = np.bincount(doc[rest], minlength=n)
-                repeats = np.bincount(doc[rest], weights=np.where(times[rest] > 1, _log_gamma(times[rest].astype(float)), 0.0), minlength=n)
+                repeats = np.bincount(doc[rest], weights=np.where(times[rest] > 1, _log_gamma(times[rest].astype(float)), 0.0), minlength=n).astype(float)
                 add = [x + repeats + own * np.log(m.urns[i % len(m.urns)]) for i, x in enumerate(add)]
                 tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[rest], np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays([words.take(pa.array(key[rest] % size)).cast(pa.string()), pa.array(times[rest])], ["word", "times"]))
                 yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), *[batch.column(f"k{i}").slice(first, n) for i in range(len(keep))], pa.array(np.diff(bounds).astype(np.int64)), pa.array(known), pa.array(based), *map(pa.array, add), tail], ["row", *[f"k{i}" for i in range(len(keep))], "n", "known", "base", *sums, "tail"])
