@@ -4,8 +4,8 @@ The lattice of a word holds every segmentation into the pieces of an existing vo
 and single bytes: the log-space forward recursion sums the products of piece
 probabilities over all of them. Piece probabilities start from the vocabulary's own
 scores and are adapted to the training words of each class (the most frequent
-languages) by expected counts: forward and backward sums over the lattices, weighted by
-the words' counts. Pieces that begin a word and other pieces share one distribution, so
+languages) by expected counts: forward and backward sums over the lattices of all words, each
+kind of word once, as words that are new resemble rare ones. Pieces that begin a word and other pieces share one distribution, so
 the probabilities of all words add up to 1.
 
 On it stand two levels of absolute discounting: what the discounts of all training
@@ -39,7 +39,7 @@ from ._work import settled
 #: Bounds of what tasks hold of the training counts: words, and bytes of these words.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 8 << 20
 #: Rounds of expected counts, and the weight of the vocabulary's own scores against them.
-ROUNDS, PRIOR = 2, 1000.0
+ROUNDS, PRIOR = 2, 100.0
 #: Classes with counts of their own: the languages of most training documents. All other documents count in the whole alone.
 CLASSES = 8
 #: Concentrations of a text's own distribution, equally likely beforehand.
@@ -352,7 +352,7 @@ def _adapted(counts: DataFrame, pieces: Pieces, classes: int) -> np.ndarray:
                 for z in range(classes):
                     some = np.flatnonzero(c[z] > 0)
                     if len(some):
-                        total[z] += expected_counts(pieces.items, logp[z], batch.column("word").take(pa.array(some)), c[z, some])
+                        total[z] += expected_counts(pieces.items, logp[z], batch.column("word").take(pa.array(some)), np.ones(len(some)))
             z, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[z, piece])], ["z", "piece", "n"])
 
