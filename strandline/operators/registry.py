@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,6 +213,51 @@ def flat_params(df: DataFrame, params: str, longest: int = 250) -> DataFrame:
     return df.withColumn(params, F.transform_values(params, lambda k, v: F.when(F.length(v) > longest, F.concat(F.lit("sha256:"), F.sha2(v.cast("binary"), 256))).otherwise(v)))
 
 
+# Media types by suffix; any other file is bytes.
+MEDIA = {"parquet": "application/vnd.apache.parquet", "json": "application/json", "md": "text/markdown", "csv": "text/csv", "txt": "text/plain", "toml": "application/toml"}
+#: Bytes that a task holds of a file, and schemes of stores that tasks can stream from themselves.
+PIECE, STREAMED = 4 << 20, ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+
+
+def artifact_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """(relative_path, sha256, size, media_type) of every file below ``folder``, whatever its size; hidden files are passed over.
+
+    Spark lists the files, without their contents, and deals them out by size; each is hashed by one task in pieces of ``PIECE`` bytes. From
+    stores that tasks cannot stream from (other schemes than ``STREAMED``) files are read whole, 2 GB each at most.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            hashes = []
+            for path in batch.column("path").to_pylist():
+                uri = quote(path.replace("s3a://", "s3://", 1), safe=":/@")
+                store, at = (fs.LocalFileSystem(), re.sub("^file:/*", "/", path)) if path.startswith("file:") else fs.FileSystem.from_uri(uri)
+                h = hashlib.sha256()
+                with store.open_input_stream(at) as stream:
+                    while piece := stream.read(PIECE):
+                        h.update(piece)
+                hashes.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], ["path", "length", "sha256"])
+
+    if (root.getScheme() or "file") in STREAMED:
+        listed = found.select("path", "length")
+        # By ranges of size and name: a task gets files of like size.
+        rows = listed.repartitionByRange(max(1, min(listed.count(), 2 * spark.sparkContext.defaultParallelism)), "length", "path").mapInArrow(run, "path string, length long, sha256 string")
+    else:
+        rows = found.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    inside = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), "^/+", "/")
+    name = F.expr(f"substring(__p, {len(root.getPath().rstrip('/')) + 2})")
+    kinds = F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv])
+    suffix = F.lower(F.regexp_extract("relative_path", "[.]([A-Za-z0-9]+)$", 1))
+    out = rows.withColumn("__p", inside).withColumn("relative_path", name)
+    return out.select("relative_path", "sha256", F.col("length").alias("size"), F.coalesce(F.try_element_at(kinds, suffix), F.lit("application/octet-stream")).alias("media_type"))
+
+
 # What marks a key as secret.
 MARKERS = ("secret", "password", "token", "api_key", "access_key", "database_url", "dsn")
 HIDDEN = "[REDACTED]"

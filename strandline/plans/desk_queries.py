@@ -294,9 +294,8 @@ def flat_params(spark, d):
 
 @query()
 def artifact_inventory(spark, d):
-    """Files of a table as artifacts: size and hash of each."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{d}/lineitem.parquet")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.lit("application/vnd.apache.parquet").alias("media_type"))
+    """All files of the tables as artifacts: path, size, hash and media type of each."""
+    return reg.artifact_inventory(spark, d)
 
 
 @query(f"""with {_RUNS} select run_id, sha256('{{"model":{{"alpha":"' || regexp_replace(penalty::varchar, '[.]0$', '') || '","window":[' || study::double || ',0.0,null]}},"note":"caf\\u00e9 \\"' || tracking_status || '\\"","tags":{{"a":' || turnover || ',"b":' || penalty || '}}}}' || chr(10)) as spec_sha256 from rn""")

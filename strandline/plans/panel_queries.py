@@ -159,6 +159,22 @@ def evidence_roundtrip(spark, d):
     return ingest.reload(ingest.evidence(bars, "bar", "1998-01-01 00:00:00", "session"), bars.schema)
 
 
+@query(f"{S.BARS} select 'bar' as kind, session as decision_session, symbol, close, trade_count, null::double as absent from bars")
+def evidence_fields(spark, d):
+    """Evidence payloads read by path, without a schema."""
+    rows = ingest.evidence(panel.daily_bars(spark, d), "bar", "1998-01-01 00:00:00", "session")
+    wanted = {"symbol": ("$.symbol", "string"), "close": ("$.close", "double"), "trade_count": ("$.trade_count", "bigint"), "absent": ("$.nothing.here", "double")}
+    return ingest.fields(rows, "payload", wanted, "kind", "decision_session")
+
+
+@query(f"{S.BARS}, k as (select unnest(['symbol', 'session', 'open', 'high', 'low', 'close', 'volume', 'vwap', 'trade_count']) as key) select key, case key when 'symbol' then 'string' when 'session' then 'string' when 'trade_count' then 'bigint' else 'number' end as kind, count(*) as n from bars, k group by all")
+def evidence_keys(spark, d):
+    """What the payloads of the evidence hold: keys and kinds."""
+    rows = ingest.evidence(panel.daily_bars(spark, d), "bar", "1998-01-01 00:00:00", "session")
+    found = ingest.keys_of(rows, "payload")
+    return found.groupBy("key", F.when(F.col("kind").isin("double", "decimal"), "number").otherwise(F.col("kind")).alias("kind")).agg(F.sum("n").alias("n"))
+
+
 @query("""with n as (select distinct 'c-' || o_custkey::varchar || '-' || cast(o_orderdate as date)::varchar as client_order_id from orders where o_orderstatus <> 'F'),
 s as (select distinct 'c-' || o_custkey::varchar || '-' || cast(o_orderdate as date)::varchar as client_order_id from orders where o_orderstatus = 'F')
 select client_order_id from n where client_order_id not in (select client_order_id from s)""")

@@ -71,6 +71,22 @@ def reload(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(F.from_json("payload", schema).alias("p")).select("p.*")
 
 
+def fields(rows: DataFrame, payload: str, wanted: dict[str, tuple[str, str]], *keep: str) -> DataFrame:
+    """Columns ``keep`` and, for each name, the value at a path of the payload as a type: {name: (path, type)}.
+
+    Each payload is parsed once, to a variant, whatever its shape; no schema is needed. What is missing, not JSON or not of the type is null.
+    """
+    x = rows.withColumn("__v", F.try_parse_json(payload))
+    return x.select(*keep, *[F.try_variant_get("__v", path, kind).alias(name) for name, (path, kind) in wanted.items()])
+
+
+def keys_of(rows: DataFrame, payload: str) -> DataFrame:
+    """(key, kind, n): the top-level keys of all payloads with the kinds of their values, and how often each occurs. What is not a JSON object is passed over."""
+    v = rows.select(F.try_parse_json(payload).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    x = v.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    return x.groupBy("key", F.lower(F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)).alias("kind")).agg(F.count("*").alias("n"))
+
+
 def to_insert(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not stored yet, one for each key: of several the least row, column by column, whatever the order they came in."""
     rest = [c for c in new.columns if c != key]

@@ -316,3 +316,24 @@ def test_report_documents_hold_every_block_in_order(spark):
     docs = {r.k: r.payload for r in got}
     assert json.loads(docs["a"]) == {"one": {"v": 1.5, "t": None}, "many": [{"n": 3, "t": "s"}], "all": [{"n": 7}], "none": None}
     assert docs["b"] == '{"one":null,"many":[{"n":1,"t":"r"},{"n":2,"t":"q"}],"all":[{"n":7}],"none":null}' and len(docs) == 2
+
+
+def test_artifacts_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    from strandline.operators import registry
+
+    monkeypatch.setattr(registry, "PIECE", 7)
+    files = {"report.md": b"# x\n", "a b/spec.json": b"{}", "deep/er/x.bin": bytes(range(256)) * 10, "empty.csv": b""}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {r.relative_path: (r.sha256, r.size, r.media_type) for r in registry.artifact_inventory(spark, f"file://{tmp_path}").collect()}
+    kinds = {"report.md": "text/markdown", "a b/spec.json": "application/json", "deep/er/x.bin": "application/octet-stream", "empty.csv": "text/csv"}
+    assert got == {n: (hashlib.sha256(c).hexdigest(), len(c), kinds[n]) for n, c in files.items()}
+
+
+def test_payload_fields_by_path(spark):
+    rows = spark.createDataFrame([(1, '{"a": {"b": [1, 2.5]}, "t": "x"}'), (2, '{"a": 7}'), (3, "not json"), (4, None), (5, "[1]")], "id int, p string")
+    got = ingest.fields(rows, "p", {"b": ("$.a.b[1]", "double"), "t": ("$.t", "string"), "a": ("$.a", "int")}, "id").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 2.5, "x", None), (2, None, None, 7), (3, None, None, None), (4, None, None, None), (5, None, None, None)]
+    keys = sorted(map(tuple, ingest.keys_of(rows, "p").collect()))
+    assert [(k, n) for k, _, n in keys] == [("a", 1), ("a", 1), ("t", 1)]
