@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -37,6 +39,10 @@ _STAYS = _OF_TABLE | frozenset("script style template".split())
 _HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 _P_ENDS = BLOCKS - {"html", "body", "li", "dd", "dt", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup", "legend"}
 _DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_COMMENT_END = re.compile(r"--!?>|(?<=<!-)->|(?<=<!--)>")
+#: Elements whose marks are text up to their own end (none ends plaintext), and inputs that show nothing of their value.
+_TEXT_ONLY = frozenset("textarea xmp plaintext".split())
+_MUTE = frozenset("hidden checkbox radio password file image color range".split())
 _NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -55,28 +61,46 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.stack = [self.root]
+        #: Places in the stack of the open elements of each tag, rising.
+        self.open: dict[str, list[int]] = defaultdict(list)
         self.depth = 1
 
+    def _push(self, node: Node) -> None:
+        self.open[node.tag].append(len(self.stack))
+        self.stack.append(node)
+        self.depth = max(self.depth, len(self.stack))
+
+    def _cut(self, at: int) -> None:
+        """Closes the open elements from ``at`` on."""
+        while len(self.stack) > at:
+            self.open[self.stack.pop().tag].pop()
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 without one."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment ends at ``-->`` (also ``--!>``), at once if it begins with one, and with the page if nothing ends it."""
+        end = _COMMENT_END.search(self.rawdata, i + 2 if self.rawdata.startswith(("<!-->", "<!--->"), i) else i + 4)
+        return end.end() if end else len(self.rawdata)
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """``<![`` and what follows is a comment up to the next ``>``, whatever it says."""
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
     def _end(self, tags: set[str], stop: set[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                del self.stack[k:]
-                return self._end(tags, stop)
-            if self.stack[k].tag in stop:
-                return None
+        border = self._last(stop - tags)
+        while (k := self._last(tags)) > border:
+            self._cut(k)
 
     def _leave(self, head: bool, columns: bool) -> None:
         if head and self.stack[-1].tag == "head" or columns and self.stack[-1].tag == "colgroup":
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
 
     def _table(self) -> int:
         """Place of the innermost open table, 0 without one."""
-        return next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == "table"), 0)
+        return self._last(("table",))
 
     def _before(self, at: int, child: Node | str) -> None:
         holder = self.stack[at - 1].children
@@ -86,16 +110,16 @@ class TreeBuilder(HTMLParser):
         self._leave(tag not in _HEAD, tag not in ("col", "template"))
         if tag in _OF_TABLE:
             # What was moved before the table ends here.
-            k = next(k for k in range(len(self.stack) - 1, -1, -1) if k == 0 or self.stack[k].tag in _TABLE or self.stack[k].tag in ("td", "th", "caption"))
+            k = self._last((*_TABLE, "td", "th", "caption"))
             if self.stack[k].tag in _TABLE:
-                del self.stack[k + 1 :]
+                self._cut(k + 1)
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag == "table" and self.stack[-1].tag in _TABLE and (at := self._table()):
-            del self.stack[at:]
+            self._cut(at)
         if tag in _P_ENDS:
             self._end({"p"}, {"td", "th", "table", "button", "object", "li"} - {tag})
-        if tag in ("html", "body") and any(n.tag == tag for n in self.stack):
+        if tag in ("html", "body") and self.open.get(tag):
             return
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.handle_starttag("tr", [])
@@ -105,8 +129,9 @@ class TreeBuilder(HTMLParser):
             return
         self._before(at, node) if at else self.stack[-1].children.append(node)
         if tag not in VOID:
-            self.stack.append(node)
-            self.depth = max(self.depth, len(self.stack))
+            self._push(node)
+        if tag in _TEXT_ONLY:
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -114,14 +139,14 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.handle_starttag("br", [])
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                return
+        k = self._last((tag,))
+        border = 0 if tag in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") else self._last(("td", "th", "table"))
+        if k and k >= border:
+            self._cut(k)
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1].tag == "textarea":
+            data = unescape(data)  # marks are text there, references are not
         if data.strip():
             self._leave(True, True)
             if self.stack[-1].tag in _TABLE and (at := self._table()):
@@ -138,7 +163,7 @@ def _style(node: Node) -> dict[str, str]:
 def _dropped(node: Node, style: dict[str, str]) -> bool:
     if node.tag in UNSEEN or "hidden" in node.attrs or style.get("display") == "none":
         return True
-    return node.tag == "input" and (node.attrs.get("type") or "").lower() == "hidden" or node.tag == "dialog" and "open" not in node.attrs
+    return node.tag == "input" and (node.attrs.get("type") or "").lower() in _MUTE or node.tag == "dialog" and "open" not in node.attrs
 
 
 def prune(root: Node) -> None:
@@ -147,14 +172,19 @@ def prune(root: Node) -> None:
     while todo:
         node, shown = todo.pop()
         kept = []
+        # A closed details element shows its first summary alone.
+        folded = node.tag == "details" and "open" not in node.attrs
+        summary = next((c for c in node.children if isinstance(c, Node) and c.tag == "summary"), None) if folded else None
         for c in node.children:
             if isinstance(c, str):
-                if shown:
+                if shown and not folded:
                     kept.append(c)
                 continue
             style = _style(c)
-            if _dropped(c, style):
+            if _dropped(c, style) or folded and c is not summary:
                 continue
+            if style.get("display") in ("block", "flex", "grid", "table") and c.tag not in BLOCKS | VOID | {"textarea"}:
+                c.tag = "div"
             said = style.get("visibility")
             seen = said == "visible" if said in ("visible", "hidden", "collapse") else shown
             if seen or c.tag not in ("img", "input", "br"):
@@ -299,7 +329,7 @@ def _walk(node: Node, out: _Lines) -> None:
         elif n.tag in ("img", "input"):
             if shown := n.attrs.get("alt" if n.tag == "img" else "value"):
                 out.text(shown)
-        elif n.tag == "pre" or n.tag == "textarea":
+        elif n.tag in ("pre", "listing") or n.tag in _TEXT_ONLY:
             out.block(True)
             out.lines += "".join(_raw(n)).strip("\n").split("\n")
             out.block(True)
@@ -351,6 +381,8 @@ def render(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
+    if builder.cdata_elem and builder.rawdata:  # text that nothing ended
+        builder.handle_data(builder.rawdata)
     prune(builder.root)
     before = sys.getrecursionlimit()
     try:
