@@ -28,6 +28,8 @@ from ._work import new_path, settled
 
 #: Bytes of an archive, about: it is closed by the record that reaches them.
 ARCHIVE_BYTES = 8 << 20
+#: Bounds of what is read as one: a record's headers, a name in a gzip header, what a member inflates to (larger ones are damage).
+HEADER_BYTES, NAME_BYTES, MEMBER_BYTES = 1 << 16, 1 << 10, 1 << 28
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _END = b"\r\n\r\n"
@@ -87,12 +89,36 @@ def write_archives(records: DataFrame, path: str, date: str = "1970-01-01T00:00:
     archives.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
+def _deflated(data: bytes, at: int) -> bool:
+    """Whether a gzip header stands at ``at``: known flags, and fields of bounded length. Most false starts end here."""
+    if at + 10 > len(data) or data[at + 3] & 0xE0:
+        return False
+    flags, pos = data[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + int.from_bytes(data[pos : pos + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            pos = data.find(b"\0", pos, pos + NAME_BYTES) + 1
+            if not pos:
+                return False
+    if flags & 2:
+        if data[pos : pos + 2] != (zlib.crc32(data[at:pos]) & 0xFFFF).to_bytes(2, "little"):
+            return False
+        pos += 2
+    return pos < len(data) and data[pos] & 6 != 6  # 3 is no kind of block
+
+
 def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int | None]:
-    """What the gzip member at ``at`` holds, and where it ends; the end is None if it is damaged or cut off, and the bytes are those before the damage."""
-    d, out, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
+    """What the gzip member at ``at`` holds, and where it ends; the end is None if it is damaged, cut off or larger than ``MEMBER_BYTES``, and the bytes are those before that."""
+    if not _deflated(data, at):
+        return b"", None
+    d, out, pos, view, left = zlib.decompressobj(31), [], at, memoryview(data), MEMBER_BYTES
     try:
         while not d.eof and pos < len(data):
-            out.append(d.decompress(view[pos : pos + step]))
+            out.append(d.decompress(view[pos : pos + step], left))
+            left -= len(out[-1])
+            if left <= 0 or d.unconsumed_tail:
+                return b"".join(out), None
             pos += step
     except zlib.error:
         return _member(data, at, 64) if step > 64 else (b"".join(out), None)
@@ -117,11 +143,14 @@ def _record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     version = _VERSION_LINE.match(raw, at)
     if not version:
         return None
-    stop = raw.find(_END, version.end() - 2)
-    if stop < 0:
-        return None
-    headers, name = {}, ""
-    for line in raw[version.end() : stop].split(b"\r\n"):
+    headers, name, at = {}, "", version.end()
+    while True:  # line by line: what is no header is found without reading on
+        stop = raw.find(b"\r\n", at, version.end() + HEADER_BYTES)
+        if stop < 0:
+            return None
+        line, at = raw[at:stop], stop + 2
+        if not line:
+            break
         if line[:1] in (b" ", b"\t") and name:  # a header goes on
             headers[name] += " " + line.strip().decode("utf-8", "replace")
             continue
@@ -133,7 +162,7 @@ def _record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
     size = _length(headers.get("content-length", ""))
     if size is None:
         return None
-    start = stop + len(_END)
+    start = at
     end = start + size
     if raw[end : end + 4] != _END:
         return None
