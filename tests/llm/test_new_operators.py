@@ -298,3 +298,52 @@ def test_likelihood_edges(spark):
     assert got[0].base_score == 0 and got[1].n_tokens == 1 and got[0].score < got[1].score <= 0
     model, got = scored(spark, [None, "", " "])
     assert model.total() == 3 and got[0].score == 0.0 or got[0].score > -1
+
+
+# --- hostile input of earlier operators ---
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    from strandline.llm import html
+
+    began = time.time()
+    assert html.render("<div>" * 100_000 + "x") == "x"
+    assert html.render("<p><button>" + "<div>" * 50_000 + "x") == "x"
+    assert html.render("a" + "<!--" * 50_000) == "a"
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<input type=checkbox value=7><input type=PASSWORD value=s><input value=5>", "5"),
+        ("a<!-- b", "a"), ("a<!-->b<!--->c<!-- --!>d", "abcd"),
+        ("<details><summary>s</summary>body</details>", "s"), ("<details open><summary>s</summary>body</details>", "s\nbody"), ("x<details>body</details>", "x"),
+        ("<textarea><b>x</b> &amp; y</textarea>", "<b>x</b> & y"), ("<textarea>open", "open"), ("<xmp><b>q</b></xmp>", "<b>q</b>"), ("<plaintext><b>q", "<b>q"),
+        ('a<span style="display:block">b</span>c', "a\nb\nc"), ("<p>a<div>b</p>c", "a\n\nbc"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", "- a\n  - b\n- c"), ("<a>x<a>y</a>z", "xyz"), ("<b><td>x</b>y", "xy"),
+    ],
+)
+def test_what_pages_show(page, text):
+    from strandline.llm import html
+
+    assert [x for x in html.render(page).split("\n") if x] == [x for x in text.split("\n") if x]
+
+
+def test_hostile_archives_take_linear_time_and_bounded_memory(monkeypatch):
+    import gzip
+    import time
+
+    from strandline.llm import warc
+
+    good = warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:page:1>"), ("WARC-Payload-Digest", f"sha1:{warc.base32_sha1(b'hi')}")], b"hi")
+    began = time.time()
+    for junk in (b"WARC/1.1\r\n" * 200_000, b"WARC/1.1\r\na:b\r\n" * 100_000, b"\x1f\x8b\x08" * 400_000, b"\x1f\x8b\x08\x1f" * 200_000, random.Random(1).randbytes(2_000_000)):
+        found = list(warc.salvage(junk + good + junk))
+        assert [f[0] for f in found if f[0] == "record"] == ["record"] and sum(f[2] - f[1] for f in found) == 2 * len(junk) + len(good)
+    assert time.time() - began < 60
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    found = list(warc.salvage(gzip.compress(bytes(1 << 24)) + good))
+    assert [f[0] for f in found] == ["gap", "record"]
