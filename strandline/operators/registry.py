@@ -220,7 +220,7 @@ PIECE, STREAMED = 4 << 20, ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
 def artifact_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(relative_path, sha256, size, media_type) of every file below ``folder``, whatever its size; hidden files are passed over.
+    """(relative_path, sha256, size, media_type) of every file below ``folder``, whatever its size; hidden and empty files are passed over, as by all of Spark's readers.
 
     Spark lists the files, without their contents, and deals them out by size; each is hashed by one task in pieces of ``PIECE`` bytes. From
     stores that tasks cannot stream from (other schemes than ``STREAMED``) files are read whole, 2 GB each at most.
