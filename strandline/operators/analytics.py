@@ -45,9 +45,14 @@ def equity_returns(equity: DataFrame, initial: float) -> DataFrame:
     return x.select("strategy", "session", r10(F.when(before <= 0, 0.0).otherwise(F.col("equity") / before - 1)).alias("ret"))
 
 
+def running_product(df: DataFrame, by: list[str], order: str, factor: Column, name: str) -> DataFrame:
+    """``df`` with the product of ``factor`` over all rows of the series up to each."""
+    sums = {f"__{n}": (c, "sum") for n, c in _parts(factor).items()}
+    return blocks.running(df, by, order, sums).withColumn(name, _product(*map(F.col, sums))).drop(*sums)
+
+
 def growth_curve(returns: DataFrame, initial: float = 1.0) -> DataFrame:
-    sums = {f"__{n}": (c, "sum") for n, c in _parts(1 + F.col("ret")).items()}
-    return blocks.running(returns, SERIES, "session", sums).withColumn("equity", initial * _product(*map(F.col, sums))).drop(*sums)
+    return running_product(returns, SERIES, "session", 1 + F.col("ret"), "equity").withColumn("equity", initial * F.col("equity"))
 
 
 def annualized_return(growth: Column, n: Column) -> Column:

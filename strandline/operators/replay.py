@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .analytics import product
+from .analytics import running_product
 
 YEAR = 252
 
@@ -62,13 +62,13 @@ def cost_free(weights: DataFrame, bars: DataFrame, key: str = "strategy") -> Dat
 
 def replay(free: DataFrame, costs: DataFrame, initial: float = 1_000_000.0, key: str = "strategy") -> DataFrame:
     """(key, cost_bps, session, equity, ret, turnover, cost, hit) of each session and cost level."""
-    x = free.crossJoin(F.broadcast(costs)).withColumn("k", F.col("cost_bps") / 1e4 * F.col("turn"))  # costs: a few levels
+    x = free.crossJoin(costs).withColumn("k", F.col("cost_bps") / 1e4 * F.col("turn"))
     x = x.withColumn("cl", 1 - F.col("w") - F.col("k") + F.col("intraday"))
     w = Window.partitionBy(key, "cost_bps").orderBy("session")
     x = x.withColumns({"k0": F.lag("k").over(w), "cl0": F.lag("cl").over(w)})
     open_ = F.coalesce((F.col("den") - F.col("k0")) / F.col("cl0"), F.lit(1.0))
     x = x.withColumn("gap", open_).withColumn("f", F.col("gap") * F.col("cl"))
-    x = x.withColumn("growth", product(F.col("f"), w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = running_product(x, [key, "cost_bps"], "session", F.col("f"), "growth")
     before = F.col("growth") / F.col("f")
     return x.select(key, "cost_bps", "session", (initial * F.col("growth")).alias("equity"), (F.col("f") - 1).alias("ret"), (F.col("turn") * F.col("gap")).alias("turnover"), (F.col("k") * F.col("gap") * before * initial).alias("cost"), (F.col("f") > 1).alias("hit"))
 
