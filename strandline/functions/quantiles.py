@@ -36,22 +36,26 @@ def order_statistics(rows: DataFrame, key: str, value: str, wanted: DataFrame) -
     Places beyond a series give no row; keys that are null are a series. ``wanted`` may hold any number of places.
     """
     left = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), sortable(F.col(value)).alias("x"))
-    asked = wanted.select(F.col(key).alias("k"), F.col("place").cast("long").alias("place")).distinct().withColumns({"prefix": F.lit(0).cast("long"), "rest": F.col("place")})
-    for shift in range(64 - BITS, -1, -BITS):
+    sizes = left.groupBy(F.col("k").alias("ck")).agg(F.count("*").alias("size"))
+    asked = wanted.select(F.col(key).alias("k"), F.col("place").cast("long").alias("place")).distinct().join(sizes, F.col("k").eqNullSafe(F.col("ck")))
+    asked = written(asked.select("k", "place", F.lit(0).cast("long").alias("prefix"), F.col("place").alias("rest"), "size"), "places")
+    shift = 64
+    while shift:
+        # Where no prefix holds more rows than a round has prefixes, one last round reads all bits that are left.
+        most = asked.agg(F.max("size")).first()[0] or 0
+        upper, shift = shift, 0 if most <= 1 << BITS else shift - BITS
         own = F.shiftright("x", shift)
-        if shift < 64 - BITS:
+        above = F.shiftright("x", upper) if upper < 64 else F.lit(0).cast("long")
+        if upper < 64:
             # Only rows under a wanted prefix are still in question.
             under = asked.select(F.col("k").alias("wk"), F.col("prefix").alias("wp")).distinct()
-            left = left.join(under, F.col("k").eqNullSafe(F.col("wk")) & (F.shiftright("x", shift + BITS) == F.col("wp")), "left_semi")
-            upper = F.shiftright(own, BITS)
-        else:
-            upper = F.lit(0).cast("long")
-        counts = left.groupBy("k", upper.alias("upper"), own.alias("own")).agg(F.count("*").alias("n"))
+            left = left.join(under, F.col("k").eqNullSafe(F.col("wk")) & (above == F.col("wp")), "left_semi")
+        counts = left.groupBy("k", above.alias("upper"), own.alias("own")).agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.partitionBy("k", "upper").orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
         counts = counts.select(F.col("k").alias("ck"), "upper", "own", "n", F.coalesce(before, F.lit(0)).alias("before"))
         here = F.col("k").eqNullSafe(F.col("ck")) & (F.col("prefix") == F.col("upper"))
         found = asked.join(counts, here).where((F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("before") + F.col("n")))
-        asked = written(found.select("k", "place", F.col("own").alias("prefix"), (F.col("rest") - F.col("before")).alias("rest")), "places")
+        asked = written(found.select("k", "place", F.col("own").alias("prefix"), (F.col("rest") - F.col("before")).alias("rest"), F.col("n").alias("size")), "places")
     return asked.select(F.col("k").alias(key), "place", double_of(F.col("prefix")).alias(value))
 
 

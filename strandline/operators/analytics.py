@@ -174,13 +174,14 @@ def performance_summary(returns: DataFrame) -> DataFrame:
     The drawdowns of all series are written once, as the aggregate, the runs, the recovery and the tails read them.
     """
     dd = written(drawdowns(returns), "drawdowns")
+    q = written(tail_quantiles(dd, q95=0.95, q99=0.99), "quantiles")
     wide = dd.groupBy("strategy").agg(
         F.count("*").alias("n"), product(1 + F.col("ret")).alias("growth"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), 2))).alias("down"),
         F.min("dd").alias("mdd"), F.max("ret").alias("best_day"), F.min("ret").alias("worst_day"), F.avg((F.col("ret") > 0).cast("double")).alias("positive_fraction"),
         F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"),
-    ).join(tail_quantiles(dd, q95=0.95, q99=0.99), "strategy")
+    ).join(q, "strategy")
     tail = lambda q: F.avg(F.when(F.col("ret") <= F.col(q), F.col("ret")))
-    tails = dd.join(wide.select("strategy", "q95", "q99"), "strategy").groupBy("strategy").agg(tail("q95").alias("t95"), tail("q99").alias("t99"))
+    tails = dd.join(q, "strategy").groupBy("strategy").agg(tail("q95").alias("t95"), tail("q99").alias("t99"))
     x = wide.select("*", *corrected()).join(tails, "strategy").join(drawdown_duration(dd), "strategy").join(time_to_recovery(dd), "strategy")
     ann = annualized_return(F.col("growth"), F.col("n"))
     root, loss = math.sqrt(YEAR), lambda c: r10(F.greatest(F.lit(0.0), -c))

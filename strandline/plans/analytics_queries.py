@@ -28,8 +28,8 @@ def query(oracle: str | None = None):
 
 
 def returns(spark, d):
-    """Returns behind the finiteness gate: no statistic is computed of a series that is not finite throughout."""
-    return finite_series(panel.close_returns(panel.daily_bars(spark, d)), "ret")
+    """Returns behind the finiteness gate: no statistic is computed of a series that is not finite throughout. Written once: statistics read them several times."""
+    return ingest.written(finite_series(panel.close_returns(panel.daily_bars(spark, d)), "ret"), "returns")
 
 
 R = S.RETURNS
@@ -46,7 +46,7 @@ def close_returns(spark, d):
 @query(f"""{S.BARS}, e as (select symbol as strategy, session, close * 1000 as equity from bars)
 select strategy, session, round(case when b <= 0 then 0.0 else equity / b - 1 end, 10) as ret from (select *, lag(equity, 1, 1000000.0) over (partition by strategy order by session) as b from e)""")
 def equity_returns(spark, d):
-    e = panel.daily_bars(spark, d).select(F.col("symbol").alias("strategy"), "session", (F.col("close") * 1000).alias("equity"))
+    e = ingest.written(panel.daily_bars(spark, d).select(F.col("symbol").alias("strategy"), "session", (F.col("close") * 1000).alias("equity")), "equity")
     return an.equity_returns(e, 1e6)
 
 

@@ -91,7 +91,7 @@ scored as (select d, forward_return_21, {', '.join(f'case when stddev_samp({c})
 select d as decision_session, count(*) as n, round(sum(forward_return_21), 8) as y, {_SUMS} from scored group by d""")
 def ridge_sums(spark, d):
     """What every decision's fits are solved from, on a panel with gaps: its training rows, their labels and products of z-scores among the rows that it may see."""
-    g = mod.decision_sums(ingest.written(feat.feature_rows(panel.daily_bars(spark, d), "daily"), "features"))
+    g = mod.decision_sums(ingest.written(feat.feature_rows(ingest.written(panel.daily_bars(spark, d), "bars"), "daily"), "features"))
     at = {(i, j): k for k, (i, j) in enumerate((i, j) for i in range(8) for j in range(i, 8))}
     return g.select(
         "decision_session", F.round(F.col("g")[0]).cast("long").alias("n"), F.round(F.col("g")[at[0, 7]], 8).alias("y"), *[F.round(F.col("g")[at[i + 1, 7]], 6).alias(f"zy_{i}") for i in range(6)],

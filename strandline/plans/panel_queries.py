@@ -363,7 +363,7 @@ def _some(columns: str):
 
 
 def _raw(spark, d, cols):
-    x = feat.raw_features(panel.daily_bars(spark, d)).withColumnRenamed("session", "decision_session")
+    x = feat.raw_features(ingest.written(panel.daily_bars(spark, d), "bars")).withColumnRenamed("session", "decision_session")
     return x.select("symbol", "decision_session", *[F.round(c, 8).alias(c) if not c.endswith("session") else F.col(c) for c in cols])
 
 
@@ -373,7 +373,7 @@ for _name, _cols in {"feat_returns": "return_21, return_63, return_126", "feat_v
 
 
 def features(spark, d):
-    return feat.feature_rows(panel.daily_bars(spark, d), "daily")
+    return feat.feature_rows(ingest.written(panel.daily_bars(spark, d), "bars"), "daily")
 
 
 @query(f"{S.FEATURES} select *, 'daily' as snapshot_id from features")
@@ -383,7 +383,7 @@ def feature_rows(spark, d):
 
 @query(f"{S.FEATURES} select symbol, decision_session, 0.0 as z from features where false")
 def leakage_audit(spark, d):
-    return feat.leakage(panel.daily_bars(spark, d), "1998-06-30").select("symbol", "decision_session", F.lit(0.0).alias("z"))
+    return feat.leakage(ingest.written(panel.daily_bars(spark, d), "bars"), "1998-06-30").select("symbol", "decision_session", F.lit(0.0).alias("z"))
 
 
 @query(f"""{S.FEATURES} select symbol, decision_session, {', '.join(f'case when stddev_samp({c}) over w > 1e-12 then round(({c} - avg({c}) over w) / stddev_samp({c}) over w, 6) else 0.0 end as z_{c}' for c in feat.FEATURES)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks
+from .tables import written
 
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_quantity", "l_extendedprice")
 
@@ -61,6 +62,6 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def close_returns(bars: DataFrame) -> DataFrame:
-    """(strategy, session, ret): close to close for each symbol, the first row dropped."""
-    x = blocks.previous(bars.select("symbol", "session", "close"), ["symbol"], "session", "close", "before")
+    """(strategy, session, ret): close to close for each symbol, the first row dropped. The closes are written once, as both levels of the scan read them."""
+    x = blocks.previous(written(bars.select("symbol", "session", "close"), "closes"), ["symbol"], "session", "close", "before")
     return x.select(F.col("symbol").alias("strategy"), "session", F.round(F.col("close") / F.col("before") - 1, 10).alias("ret")).where("ret is not null")

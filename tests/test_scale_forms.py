@@ -79,7 +79,10 @@ def test_a_long_series_is_many_tasks_work(spark):
     assert df.groupBy("k", blocks._range(df, "s", blocks.WIDTH)).count().agg(F.max("count")).first()[0] <= blocks.WIDTH
 
 
-def test_quantiles_equal_percentile(spark):
+@pytest.mark.parametrize("bits", [16, 8])
+def test_quantiles_equal_percentile(spark, monkeypatch, bits):
+    """In one round (all series are small against its prefixes) and in several."""
+    monkeypatch.setattr(quantiles, "BITS", bits)
     rng = random.Random(3)
     odd = [0.0, -0.0, 5e-324, -5e-324, float("inf"), float("-inf"), 1.5, 1.5, 1.5, None]
     rows = [(k, v) for k, n in (("a", 500), (None, 40), ("b", 2)) for v in [rng.gauss(0, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(n)] + odd * (n > 2)]
