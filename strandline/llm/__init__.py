@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered operators over text, page and media columns.
+"""Training-data operators: thirteen numbered operators over text, page and media columns.
 
 Nothing else in the library imports this subpackage.
 """
