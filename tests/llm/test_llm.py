@@ -457,6 +457,27 @@ def test_audio_finds_nine_of_ten_links(spark):
     assert links > 400 and found >= 0.9 * links
 
 
+def test_audio_finds_links_of_the_documents(spark):
+    p = audio.TEXT_AS_AUDIO
+    got = {r.doc_id: r for r in queries.op1_chroma(spark, "/root/testdata/sf0.01").collect()}
+    first: dict = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        x = audio.fingerprint(audio.samples_of((r.text or "").encode(), p.sample), p)
+        if len(x) >= p.least:
+            first.setdefault(x.tobytes(), (r.doc_id, x))
+    ids, prints = zip(*first.values())
+    shelf, links, found, true = audio.Shelf(list(prints)), 0, 0, dict.fromkeys(ids, 0)
+    for i, x in enumerate(prints):
+        later = np.arange(i + 1, len(prints))
+        for j in later[shelf.aligned(x, later, p)].tolist():
+            links += 1
+            found += got[ids[i]].recording_id == got[ids[j]].recording_id
+            true[ids[i]] += 1
+            true[ids[j]] += 1
+    assert links >= 20 and found >= 0.9 * links
+    assert sum(got[d].links == n for d, n in true.items()) >= 0.99 * len(true)
+
+
 def test_audio_counts_every_link(spark, monkeypatch):
     p, rng = audio.TEXT_AS_AUDIO, random.Random(8)
     one, long = prose(rng, 900), prose(rng, 20_000)
