@@ -510,6 +510,8 @@ def test_all_equal_words_vote():
         plain = np.array([int((u[max(k, 0) :][: len(v) - max(-k, 0)] == v[max(-k, 0) :][: len(u) - max(k, 0)]).sum()) for k in range(1 - len(v), len(u))])
         assert audio._votes(u, v).tolist() == plain.tolist()
         assert audio.Shelf([y, x]).aligned(x, np.arange(2), p).tolist() == [audio.aligned(x, y, p), audio.aligned(x, x, p)]
+        many = audio._aligned_many([x, y, x, x[:0]], [y, x, x, y])
+        assert np.array(many).T.tolist() == [list(audio._aligned(u, v)) for u, v in ((x, y), (y, x), (x, x), (x[:0], y))]
 
 
 def test_alike_joins_chains_within_lists():
@@ -518,6 +520,11 @@ def test_alike_joins_chains_within_lists():
     there = np.full(6, -1, np.int8)
     assert audio.alike(np.array([1, 1, 1, 1, 2, 3]), around, there, p).tolist() == [0, 0, 2, 0, 4, 5]
     assert audio.alike(np.zeros(0, np.int64), around[:0], there[:0], p).tolist() == []
+    pairs: list = []
+    audio.alike(np.array([1, 1, 1, 1, 2, 3]), around, there, p, pairs)
+    assert sorted(zip(*(x.tolist() for x in pairs))) == [(0, 1), (0, 3), (1, 3)]
+    copies: list = []
+    assert audio.alike(np.ones(40, np.int64), np.zeros(40, np.int64), np.full(40, -1, np.int8), p, copies).tolist() == [0] * 40 and not len(copies[0])
     assert audio.alike(np.array([1, 1]), around[[0, 2]], np.zeros(2, np.int8), p).tolist() == [0, 0]  # nothing around to tell them apart
 
 
