@@ -16,3 +16,23 @@ def test_cash_is_an_exact_sum(spark, tmp_path):
     path = desk(spark, tmp_path, [(i, 1, "P", 0.1) for i in range(10)] + [(20, 2, "F", 3.5), (21, 2, "F", None)])
     got = {(r.account, r.internal, r.broker) for r in dq.reconciliation(spark, path).where("kind = 'cash'").collect()}
     assert got == {(1, "1", "0"), (2, "0", "3")}
+
+
+def test_preview_reads_one_table_of_positions(spark, tmp_path, monkeypatch):
+    """Both sides of a position in one row; null keys equal none; the gate of a row is that of its seventeen rules."""
+    lines = [(0, 1, 5.0), (1, 1, 2.0), (0, 2, 4.0), (1, 9, 7.0), (2, 9, 3.0)]
+    path = desk(spark, tmp_path, [(0, 1, "O", 10.0), (1, 1, "F", 20.0), (2, 3, "P", 30.0), (None, 4, "O", 1.0)], lines)
+    spark.createDataFrame([(9, None, 1.0)], "p_partkey long, p_brand string, p_retailprice double").write.mode("append").parquet(f"{path}/part.parquet")
+    names, write = [], dq.ingest.written
+    monkeypatch.setattr(dq.ingest, "written", lambda df, name: names.append(name) or write(df, name))
+    rows = dq.execution_preview(spark, path).collect()
+    assert names == ["positions"]
+    assert {(r.account, r.symbol, r.side, r.qty, r.differences) for r in rows} == {(1, "Brand#13", "buy", 4, 5)}
+    assert {(r.account, r.symbol, r.delta) for r in dq.position_deltas(spark, path).collect()} == {(1, "Brand#12", 3), (1, "Brand#13", 4), (3, None, 3)}
+    gaps = {(r.account, r.item, r.internal, r.broker) for r in dq.recon_positions(spark, path).collect()}
+    assert gaps == {(1, "Brand#12", "5", "2"), (1, "Brand#13", "4", "0"), (1, None, "0", "7"), (3, None, "3", "0")}
+    assert sorted(((r.account, r.item, r.internal) for r in dq.recon_orders(spark, path).collect()), key=str) == [(1, "1", "absent"), (3, "2", "open"), (4, None, "absent"), (4, None, "open")]
+    codes = {}
+    for r in sorted(dq.risk_checks(spark, path).collect(), key=lambda r: r.seq):
+        codes.setdefault(r.proposal_id, []).extend([r.code] * (r.status == "block"))
+    assert {r.account: (r.by_rules, r.blocking_rules) for r in rows} == {1: (bool(codes[1]), ",".join(codes[1]))}
