@@ -1,7 +1,9 @@
 """Operator 9: quality classification by hierarchical empirical Bayes.
 
 A document classifier (averaged hashed n-grams, and words repeated at once, under a
-calibrated softmax) gives each document's evidence. Host and path posteriors
+calibrated softmax) gives each document's evidence. It learns from every labelled document:
+groups of them, dealt by a hash of the id, are fitted side by side, and the mean of the fits is
+the model (a fit is a linear function of its features, so the mean is one, too). Host and path posteriors
 come from grouped sums of that evidence: a host's mean is shrunk toward the global
 mean and a path's toward its host's, by beta prior strengths that the method of
 moments takes from the spread of all hosts' means, so sparse sites stay near
@@ -10,7 +12,7 @@ their prior. A document does not count in its own site's sums. Log-odds add up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from . import _ngrams as ng
 from ._work import settled
 from ._words import text_slices
-from .langid import feature_rows, held, sampled, split_fit
 
-#: Labelled documents that the classifier is fitted on, about; twice as many at the very most.
-SAMPLE = 1500
+#: Labelled documents that one fit learns from, about, and how many of each label it has, about, at the least.
+GROUP, LEAST = 1500, 400
+#: Labels of this many documents or more lend every fifth to the calibration.
+CALIBRATES = 10
 BUCKETS = 1 << 14
 #: What one word that equals the word before counts, in n-grams: about as many as have most of their bytes in a word.
 REPEAT = 8
@@ -39,31 +43,67 @@ def _again(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class QualityModel:
-    """The classifier, and the ids of good documents that it was not fitted on: their final scores set the limit of rejection. Without them nothing is rejected."""
+    """The classifier, and a table (id) of the good documents that it was not fitted on: their final scores set the limit of rejection. Without them nothing is rejected."""
 
     model: ng.Averaged | None
-    calibration: tuple = ()
+    calibration: DataFrame | None = None
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """Fit on about ``sample`` labelled documents (label 1 good, 0 poor; others and nulls are passed over)."""
-    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
-    chosen = sampled(marked, "y", ["id"], sample)
-    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = chosen.select("id", F.struct("y", F.col("id").cast("string").alias("id")).alias("label"))
-    rows = feature_rows(texts.join(F.broadcast(chosen), "id").limit(4 * sample), "label", "text", BUCKETS, _again)  # chosen has 2 * sample rows at most
-    rows = [(label["y"], ix, c, label["id"]) for label, ix, c in rows]
-    if len({r[0] for r in rows}) < 2:
-        return QualityModel(None)
-    model, _, _ = split_fit([r[:3] for r in rows], BUCKETS + 1)
-    return QualityModel(model, tuple(sorted({r[3] for r, h in zip(rows, held(rows)) if h and r[0] == 1})))
+#: Fractions of a weight are kept in steps of 2 to the power of minus this, so that their sums do not follow the order of the groups.
+_FIXED = 36
 
 
-def evidence(fitted: QualityModel, text_col: str = "text") -> Column:
-    """The classifier's probability that a whole text is good; 0.5 for null and empty texts, or without a model."""
-    model = fitted.model
-    if model is None:
-        return F.lit(0.5)
+def _fit_group(rows: pa.Table) -> pa.Table:
+    """(place, value): the weights of one group's fit, in fixed point; the bias comes last. Without both labels there are none."""
+    rows = rows.sort_by([("draw", "ascending"), ("text", "ascending")])
+    labels, features = rows.column("y").to_pylist(), []
+    if len(set(labels)) == 2:
+        for _, _, data, offsets in text_slices(rows.column("text")):
+            for (ix, c), again in zip(ng.counts(data, offsets, BUCKETS), _again(data, offsets).tolist()):
+                features.append((np.append(ix, BUCKETS).astype(np.int16), np.append(c, again).astype(np.int32)) if again else (ix.astype(np.int16), c.astype(np.int32)))
+        m = ng.fit(features, labels, BUCKETS + 1)
+        value = np.append(m.table[:, 1].astype(float) - m.table[:, 0], m.bias[1] - m.bias[0])
+    else:
+        value = np.zeros(0)
+    return pa.table({"place": pa.array(np.arange(len(value)), pa.int32()), "value": pa.array(np.round(value * (1 << _FIXED)).astype(np.int64))})
+
+
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", group: int = GROUP) -> QualityModel:
+    """Fit on all labelled documents (label 1 good, 0 poor; others and nulls are passed over), in groups of about ``group``.
+
+    A rare label's documents go into several groups, so that each group tells both apart. What reaches the
+    driver are the sums of the fits' weights, whose number is fixed.
+    """
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return QualityModel(None)
+    groups = max(1, round(sum(n.values()) / group))
+    by_label = lambda of: F.when(F.col("y") == 1, of(n[1])).otherwise(of(n[0]))
+    rows = texts.join(marked, "id").withColumn("draw", F.xxhash64(F.lit(11), "id"))
+    held = (F.pmod(F.xxhash64(F.lit(12), "id"), F.lit(5)) == 0) & by_label(lambda k: F.lit(k >= CALIBRATES))
+    times = by_label(lambda k: F.lit(min(groups, -(-groups * LEAST // k))))
+    dealt = rows.where(~held).select("y", "draw", "text", F.explode(F.sequence(F.lit(0), times - 1)).alias("turn")).withColumn("group", F.pmod(F.col("draw") + F.col("turn"), F.lit(groups)))
+    sums = dealt.groupBy("group").applyInArrow(lambda t: _fit_group(t), "place int, value long")
+    sums = sums.groupBy("place").agg((F.sum("value") / F.count("*")).alias("value")).toPandas().sort_values("place")  # as many rows as the model has weights
+    if not len(sums):
+        return QualityModel(None)
+    value = sums["value"].to_numpy(float) / (1 << _FIXED)
+    both = np.zeros((len(value), 2))
+    both[:, 1] = value
+    model = ng.Averaged([0, 1], both[:-1].astype(np.float32), both[-1])
+    apart = settled(rows.where(held).select("id", "y", _scores(model, lambda p: np.log(p[:, 1]) - np.log(p[:, 0]))("text").alias("margin")), "calibration")
+    steps = np.geomspace(0.2, 8, 30)
+    wrong = F.when(F.col("y") == 1, -F.col("margin")).otherwise(F.col("margin"))
+    loss = [F.round(F.avg(F.when(F.col("y") == k, F.least(F.log1p(F.exp(F.least(wrong / float(t), F.lit(700.0)))), F.lit(20.7)))), 9) for t in steps for k in (0, 1)]
+    found = [x or 0.0 for x in apart.agg(*loss).first()]
+    model.temperature = float(steps[int(np.argmin(np.array(found).reshape(-1, 2).sum(axis=1)))]) if any(found) else 1.0
+    return QualityModel(model, apart.where("y = 1").select("id").distinct())
+
+
+def _scores(model: ng.Averaged, of: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column | str], Column]:
+    """A function of a text column: ``of`` of the model's probabilities of (poor, good), 0.5 each for an empty text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in batches:
@@ -71,11 +111,19 @@ def evidence(fitted: QualityModel, text_col: str = "text") -> Column:
             for _, _, data, offsets in text_slices(pa.Array.from_pandas(text, type=pa.string())):
                 total, number = ng.sums(data, offsets, model.table[:-1])
                 again = _again(data, offsets)
-                p = model.probabilities(total + again[:, None] * model.table[-1], number + again)[:, 1]
-                out.append(np.where(np.diff(offsets) == 0, 0.5, p))
+                p = model.probabilities(total + again[:, None] * model.table[-1], number + again)
+                out.append(of(np.where((np.diff(offsets) == 0)[:, None], 0.5, np.maximum(p, 1e-300))))
             yield pd.Series(np.concatenate(out))
 
-    return F.pandas_udf(run, "double")(F.coalesce(F.col(text_col), F.lit("")))
+    return F.pandas_udf(run, "double")
+
+
+def evidence(fitted: QualityModel, text_col: str = "text") -> Column:
+    """The classifier's probability that a whole text is good; 0.5 for null and empty texts, or without a model."""
+    model = fitted.model
+    if model is None:
+        return F.lit(0.5)
+    return _scores(model, lambda p: p[:, 1])(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _logit(p: Column) -> Column:
@@ -115,10 +163,11 @@ def hierarchical_quality(df: DataFrame, fitted: QualityModel, id_col: str = "doc
     score = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("path_posterior")) - _logit(F.lit(mu)))))
     scored = all_.withColumn("host_posterior", at_host).withColumn("path_posterior", at_path).withColumn("score", score).select("id", "p", "host_posterior", "path_posterior", "score")
     limit = 0.0
-    if fitted.model is not None and fitted.calibration:
+    if fitted.model is not None and fitted.calibration is not None:
         scored = settled(scored, "scores")
-        found = scored.where(F.col("id").cast("string").isin(*fitted.calibration)).agg(F.percentile("score", F.lit(REJECT_RATE))).first()[0]
-        limit = min(REJECT_BELOW, found) if found is not None else 0.0
+        own = scored.join(fitted.calibration, "id", "left_semi").select(F.lit("good").alias("of"), "score")
+        found = quantiles(own, "of", "score", {"q": REJECT_RATE}).first()
+        limit = min(REJECT_BELOW, found["q"]) if found else 0.0
     return scored.select(F.col("id").alias(id_col), F.col("p").alias("evidence"), "host_posterior", "path_posterior", "score", (F.col("score") < limit).alias("rejected"))
 
 
