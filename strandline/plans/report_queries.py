@@ -40,7 +40,7 @@ def blocks(spark, d):
     headline = stats.join(last, "strategy").join(rel, "strategy", "left").select(
         "strategy", "sharpe", "annualized_return", "annualized_volatility", "max_drawdown", "sortino", "calmar", "beta", "alpha_annualized", "alpha_tstat", "alpha_pvalue", "information_ratio", F.round(F.col("e") * INITIAL, 2).alias("final_equity"), F.round("e", 4).alias("total_return_multiple")
     )
-    f = mq._signals(spark, d)
+    f = mq._signals(spark, d, ingest.written(panel.rectangular(bars), "panel"))
     latest = f.agg(F.max("decision_session").alias("decision_session"))
     w = ingest.written(tgt.quantised(tgt.constrained(tgt.desired(f.join(latest, "decision_session", "left_semi"), mq.KEY), mq.KEY)), "weights")
     classes = spark.createDataFrame([("ASIA", "Emerging"), ("AMERICA", "Developed"), ("EUROPE", "Developed")], "symbol string, asset_class string")
