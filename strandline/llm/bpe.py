@@ -32,6 +32,8 @@ from ._words import mix, span_hashes, text_slices
 MEMO = 600_000
 #: Pairs of tokens whose compatibility it remembers.
 PAIRS = 300_000
+#: Bytes of text that are encoded at a time: their code points, hashes and pieces take a hundred times as much.
+SLICE = 1 << 19
 
 
 def _byte_letters() -> dict[str, int]:
@@ -115,6 +117,14 @@ class Tokens:
         raw = data.tobytes()
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
+    def exact(self, ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each token sequence decodes to the bytes data[offsets[i]:offsets[i + 1]]."""
+        back, ends = self.decode_many(ids, bounds)
+        if np.array_equal(ends, offsets) and np.array_equal(back, data):
+            return np.ones(len(offsets) - 1, bool)
+        spans = zip(ends[:-1].tolist(), ends[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
+        return np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in spans], bool)
+
 
 class Bpe(Tokens):
     """Tables for encoding, too."""
@@ -290,8 +300,8 @@ def _spec(df: DataFrame, vocab_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", keep: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
-    """Token ids of every whole text: columns ``keep``, then n_col (long) and ids_col, and with ``decoded_col`` the text that these ids decode to.
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", n_col: str = "n_tokens", keep: tuple[str, ...] = (), decoded_col: str | None = None, exact_col: str | None = None) -> DataFrame:
+    """Token ids of every whole text: columns ``keep``, then n_col (long) and ids_col; with ``decoded_col`` the text that these ids decode to, with ``exact_col`` whether it is the text itself.
 
     ids_col is binary, four little-endian bytes for each id. Null and empty texts
     give no tokens. A special token's string in a text becomes that token, as the
@@ -305,13 +315,17 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
     def run(batches):
         bpe = _tables(Bpe, spec.value)
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch.column("__text")):
+            for first, last, data, offsets in text_slices(batch.column("__text"), SLICE):
                 ids, bounds = bpe.encode_many(data, offsets)
                 packed = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((bounds * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
                 columns = [*batch.slice(first, last - first).columns[:-1], pa.array(np.diff(bounds)), packed]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(bpe.texts(ids, bounds), pa.string())] if decoded_col else []), [*batch.schema.names[:-1], n_col, ids_col, *[decoded_col] * bool(decoded_col)])
+                if decoded_col:
+                    columns.append(pa.array(bpe.texts(ids, bounds), pa.string()))
+                if exact_col:
+                    columns.append(pa.array(bpe.exact(ids, bounds, data, offsets)))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], n_col, ids_col, *[decoded_col] * bool(decoded_col), *[exact_col] * bool(exact_col)])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{n_col}` long", f"`{ids_col}` binary"] + [f"`{decoded_col}` string"] * bool(decoded_col)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{n_col}` long", f"`{ids_col}` binary"] + [f"`{decoded_col}` string"] * bool(decoded_col) + [f"`{exact_col}` boolean"] * bool(exact_col)
     return taken.mapInArrow(run, ", ".join(fields))
 
 

@@ -1,6 +1,11 @@
 """Exact cash in reconciliation, previews from one table of holdings, and quality learnt from every labelled document."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from strandline.llm import bpe, quality, queries
 from strandline.plans import desk_queries as dq
+from strandline.plans import report_queries
 
 
 def desk(spark, path, orders, lines=()):
@@ -36,3 +41,42 @@ def test_preview_reads_one_table_of_positions(spark, tmp_path, monkeypatch):
     for r in sorted(dq.risk_checks(spark, path).collect(), key=lambda r: r.seq):
         codes.setdefault(r.proposal_id, []).extend([r.code] * (r.status == "block"))
     assert {r.account: (r.by_rules, r.blocking_rules) for r in rows} == {1: (bool(codes[1]), ",".join(codes[1]))}
+
+
+def test_report_makes_its_bars_once(spark, monkeypatch):
+    made, bars = [], dq.panel.daily_bars
+    monkeypatch.setattr(dq.panel, "daily_bars", lambda spark, d: made.append(d) or bars(spark, d))
+    report_queries.blocks(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+
+
+def test_round_trips_are_told_without_the_text(spark):
+    texts = ["plain words", "café <|endoftext|> x", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = bpe.encode(df, queries.vocab_path(), keep=("doc_id",), exact_col="exact")
+    assert out.columns == ["doc_id", "n_tokens", "ids", "exact"] and all(r.exact for r in out.collect())
+    tokens = bpe.Tokens(open(queries.vocab_path(), encoding="utf-8").read())
+    ids, bounds = np.arange(4), np.array([0, 2, 4])
+    data, offsets = tokens.decode_many(ids, bounds)
+    assert tokens.exact(ids, bounds, data, offsets).all()
+    assert tokens.exact(ids[::-1], bounds, data, offsets).tolist() == [False, False]
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    """Each labelled text is in a group or calibrates, a rare label in every group, and the model does not follow the partitions."""
+    seen = []
+    texts = [f"good words of plain prose number {i}" if i % 15 else f"%%## ##%% {i} @@@ %%##" for i in range(900)]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 15 > 0)) for i in range(900)], "doc_id long, quality int")
+    a = quality.train(df, labels, group=100)
+    b = quality.train(df.repartition(7), labels.repartition(3), group=100)
+    assert np.array_equal(a.model.table, b.model.table) and a.model.temperature == b.model.temperature
+    # A single odd text changes the model, whichever it is: nothing is left out.
+    for i in (7, 450, 893):
+        if not {r.id for r in a.calibration.where(f"id = {i}").collect()}:
+            other = df.withColumn("text", F.when(F.col("doc_id") == i, "zzqq xxjj vvkk").otherwise(F.col("text")))
+            assert not np.array_equal(quality.train(other, labels, group=100).model.table, a.model.table)
+            seen.append(i)
+    assert seen
+    rows = quality.hierarchical_quality(df, a).collect()
+    assert all((r.evidence > 0.5) == (r.doc_id % 15 > 0) for r in rows)
