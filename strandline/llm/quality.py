@@ -3,7 +3,9 @@
 A document classifier (averaged hashed n-grams, and words repeated at once, under a
 calibrated softmax) gives each document's evidence. It learns from every labelled document:
 groups of them, dealt by a hash of the id, are fitted side by side, and the mean of the fits is
-the model (a fit is a linear function of its features, so the mean is one, too). Host and path posteriors
+the model (a fit is a linear function of its features, so the mean is one, too). Texts without a label
+are passed over where they lie, by a map of fixed size; neighbouring groups are fitted in one task,
+so that a rare label's texts, which several groups share, are sent there once. Host and path posteriors
 come from grouped sums of that evidence: a host's mean is shrunk toward the global
 mean and a path's toward its host's, by beta prior strengths that the method of
 moments takes from the spread of all hosts' means, so sparse sites stay near
@@ -28,6 +30,10 @@ from ._words import text_slices
 
 #: Labelled documents that one fit learns from, about, and how many of each label it has, about, at the least.
 GROUP, LEAST = 1500, 400
+#: Groups that one task fits, one after the other.
+TOGETHER = 4
+#: Bits of the map of labelled ids, and of one row of it.
+MAP, MAP_ROW = 1 << 26, 1 << 15
 #: Labels of this many documents or more lend every fifth to the calibration.
 CALIBRATES = 10
 BUCKETS = 1 << 14
@@ -53,47 +59,80 @@ class QualityModel:
 _FIXED = 36
 
 
-def _fit_group(rows: pa.Table) -> pa.Table:
-    """(place, value): the weights of one group's fit, in fixed point; the bias comes last. Without both labels there are none."""
+def _fit_group(rows: pa.Table) -> np.ndarray | None:
+    """The weights of one group's fit, in fixed point; the bias comes last. Without both labels there are none."""
     rows = rows.sort_by([("draw", "ascending"), ("text", "ascending")])
     labels, features = rows.column("y").to_pylist(), []
-    if len(set(labels)) == 2:
-        for _, _, data, offsets in text_slices(rows.column("text")):
-            for (ix, c), again in zip(ng.counts(data, offsets, BUCKETS), _again(data, offsets).tolist()):
-                features.append((np.append(ix, BUCKETS).astype(np.int16), np.append(c, again).astype(np.int32)) if again else (ix.astype(np.int16), c.astype(np.int32)))
-        m = ng.fit(features, labels, BUCKETS + 1)
-        value = np.append(m.table[:, 1].astype(float) - m.table[:, 0], m.bias[1] - m.bias[0])
-    else:
-        value = np.zeros(0)
-    return pa.table({"place": pa.array(np.arange(len(value)), pa.int32()), "value": pa.array(np.round(value * (1 << _FIXED)).astype(np.int64))})
+    if len(set(labels)) < 2:
+        return None
+    for _, _, data, offsets in text_slices(rows.column("text")):
+        for (ix, c), again in zip(ng.counts(data, offsets, BUCKETS), _again(data, offsets).tolist()):
+            features.append((np.append(ix, BUCKETS).astype(np.int16), np.append(c, again).astype(np.int32)) if again else (ix.astype(np.int16), c.astype(np.int32)))
+    m = ng.fit(features, labels, BUCKETS + 1)
+    value = np.append(m.table[:, 1].astype(float) - m.table[:, 0], m.bias[1] - m.bias[0])
+    return np.round(value * (1 << _FIXED)).astype(np.int64)
+
+
+def _fit_groups(rows: pa.Table, groups: int, together: int, times: dict[int, int]) -> pa.Table:
+    """(place, value, fits): the sums of the weights of ``together`` neighbouring groups' fits, and their number.
+
+    A row belongs to its ``base`` and to the groups after it (the first ones after the last), ``times`` of its label in all.
+    """
+    base, y = rows.column("base").to_numpy(), rows.column("y").to_numpy()
+    turns, first = np.where(y == 1, times[1], times[0]), rows.column("piece")[0].as_py() * together
+    found = [_fit_group(rows.filter(pa.array((g - base) % groups < turns))) for g in range(first, min(groups, first + together))]
+    found = [x for x in found if x is not None]
+    value = sum(found) if found else np.zeros(0, np.int64)
+    return pa.table({"place": pa.array(np.arange(len(value)), pa.int32()), "value": pa.array(value), "fits": pa.array(np.full(len(value), len(found)), pa.int64())})
+
+
+def _perhaps_labelled(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """All rows of ``texts`` whose id is in ``marked``, and of the others those whose hash is that of such an id.
+
+    The map has MAP bits at most, however many ids there are: where it is full, it spares nothing, and the join that follows decides as before.
+    """
+    if texts.schema["id"].dataType != marked.schema["id"].dataType:  # their hashes would differ
+        return texts
+    bit = F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(MAP))
+    row, place = F.shiftright(bit, 15).alias("row"), F.pmod(bit, F.lit(MAP_ROW))
+    bits = marked.groupBy(row).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return texts.select("*", row).join(F.broadcast(bits), "row").where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1).select(*texts.columns)
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", group: int = GROUP) -> QualityModel:
     """Fit on all labelled documents (label 1 good, 0 poor; others and nulls are passed over), in groups of about ``group``.
 
     A rare label's documents go into several groups, so that each group tells both apart. What reaches the
-    driver are the sums of the fits' weights, whose number is fixed.
+    driver are the sums of the fits' weights, whose number is fixed. The texts are joined by a merge whatever the size of
+    the labels, as a plan that changes with it says nothing about larger tables.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
-    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = settled(marked, "labelled")
     n = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
     if len(n) < 2:
         return QualityModel(None)
-    groups = max(1, round(sum(n.values()) / group))
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = _perhaps_labelled(texts, marked)
+    groups, together = max(1, round(sum(n.values()) / group)), TOGETHER
     by_label = lambda of: F.when(F.col("y") == 1, of(n[1])).otherwise(of(n[0]))
-    rows = texts.join(marked, "id").withColumn("draw", F.xxhash64(F.lit(11), "id"))
-    held = (F.pmod(F.xxhash64(F.lit(12), "id"), F.lit(5)) == 0) & by_label(lambda k: F.lit(k >= CALIBRATES))
-    times = by_label(lambda k: F.lit(min(groups, -(-groups * LEAST // k))))
-    dealt = rows.where(~held).select("y", "draw", "text", F.explode(F.sequence(F.lit(0), times - 1)).alias("turn")).withColumn("group", F.pmod(F.col("draw") + F.col("turn"), F.lit(groups)))
-    sums = dealt.groupBy("group").applyInArrow(lambda t: _fit_group(t), "place int, value long")
-    sums = sums.groupBy("place").agg((F.sum("value") / F.count("*")).alias("value")).toPandas().sort_values("place")  # as many rows as the model has weights
+    fifth = F.pmod(F.xxhash64(F.lit(12), "id"), F.lit(5)) == 0
+    calibrates = by_label(lambda k: F.lit(k >= CALIBRATES))
+    times = {y: min(groups, -(-groups * LEAST // k)) for y, k in n.items()}
+    rows = texts.join(marked.hint("merge"), "id").where(~(fifth & calibrates)).withColumn("draw", F.xxhash64(F.lit(11), "id")).withColumn("base", F.pmod("draw", F.lit(groups)))
+    turns = F.sequence(F.lit(0), F.when(F.col("y") == 1, times[1]).otherwise(times[0]) - 1)
+    pieces = F.array_distinct(F.transform(turns, lambda turn: F.floor(F.pmod(F.col("base") + turn, F.lit(groups)) / together)))
+    dealt = rows.select("y", "draw", "base", "text", F.explode(pieces).alias("piece"))
+    sums = dealt.groupBy("piece").applyInArrow(lambda t: _fit_groups(t, groups, together, times), "place int, value long, fits long")
+    sums = sums.groupBy("place").agg((F.sum("value") / F.sum("fits")).alias("value")).toPandas().sort_values("place")  # as many rows as the model has weights
     if not len(sums):
         return QualityModel(None)
     value = sums["value"].to_numpy(float) / (1 << _FIXED)
     both = np.zeros((len(value), 2))
     both[:, 1] = value
     model = ng.Averaged([0, 1], both[:-1].astype(np.float32), both[-1])
-    apart = settled(rows.where(held).select("id", "y", _scores(model, lambda p: np.log(p[:, 1]) - np.log(p[:, 0]))("text").alias("margin")), "calibration")
+    margins = texts.where(fifth).select("id", _scores(model, lambda p: np.log(p[:, 1]) - np.log(p[:, 0]))("text").alias("margin"))
+    apart = settled(margins.join(marked.hint("merge"), "id").where(calibrates).select("id", "y", "margin"), "calibration")
     steps = np.geomspace(0.2, 8, 30)
     wrong = F.when(F.col("y") == 1, -F.col("margin")).otherwise(F.col("margin"))
     loss = [F.round(F.avg(F.when(F.col("y") == k, F.least(F.log1p(F.exp(F.least(wrong / float(t), F.lit(700.0)))), F.lit(20.7)))), 9) for t in steps for k in (0, 1)]
@@ -174,4 +213,4 @@ def hierarchical_quality(df: DataFrame, fitted: QualityModel, id_col: str = "doc
 def keep_good(df: DataFrame, fitted: QualityModel, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` whose id is not rejected (an id with several rows stays if one of them does)."""
     kept = hierarchical_quality(df, fitted, id_col, **options).where("not rejected").select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return df.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")

@@ -80,3 +80,29 @@ def test_quality_learns_from_every_labelled_document(spark):
     assert seen
     rows = quality.hierarchical_quality(df, a).collect()
     assert all((r.evidence > 0.5) == (r.doc_id % 15 > 0) for r in rows)
+
+
+def test_quality_sends_labelled_texts_only_and_joins_alike_at_any_size(spark):
+    """Texts without a label stay where they lie, all with one get through; small tables are joined as large ones are."""
+    texts = spark.range(20000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    marked = spark.range(0, 20000, 40).select("id", F.lit(1).alias("y"))
+    got = {r.id for r in quality._perhaps_labelled(texts.unionByName(texts.limit(1).withColumn("id", F.lit(None).cast("long"))), marked).collect()}
+    assert got >= set(range(0, 20000, 40)) and len(got) <= 510
+    assert quality._perhaps_labelled(texts, marked.withColumn("id", F.col("id").cast("int"))).count() == 20000
+    assert quality._perhaps_labelled(texts, marked.limit(0)).count() == 0
+    docs = texts.select(F.col("id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source")).limit(50)
+    plan = quality.keep_good(docs, quality.QualityModel(None))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
+def test_quality_deals_groups_in_pieces_as_one_by_one(spark, monkeypatch):
+    """However many groups a task fits, the model is the same; a rare label stands in several groups, also across pieces and from the last to the first."""
+    texts = [f"good words of plain prose number {i}" if i % 15 else f"%%## ##%% {i} @@@ %%##" for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 15 > 0)) for i in range(900)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "LEAST", 20)
+    found = []
+    for together in (1, 2, 4, 100):
+        monkeypatch.setattr(quality, "TOGETHER", together)
+        found.append(quality.train(df, labels, group=100).model)
+    assert all(np.array_equal(m.table, found[0].table) and np.array_equal(m.bias, found[0].bias) and m.temperature == found[0].temperature for m in found)
