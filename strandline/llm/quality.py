@@ -31,7 +31,7 @@ from ._words import text_slices
 #: Labelled documents that one fit learns from, about, and how many of each label it has, about, at the least.
 GROUP, LEAST = 1500, 400
 #: Groups that one task fits, one after the other.
-TOGETHER = 4
+TOGETHER = 2
 #: Bits of the map of labelled ids, and of one row of it.
 MAP, MAP_ROW = 1 << 26, 1 << 15
 #: Labels of this many documents or more lend every fifth to the calibration.
