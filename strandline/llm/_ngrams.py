@@ -76,15 +76,15 @@ class Averaged:
     bias: np.ndarray
     temperature: float = 1.0
 
+    def logits(self, total: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The classes' scores before the temperature."""
+        return total / (number + NEUTRAL)[:, None] + self.bias
+
     def probabilities(self, total: np.ndarray, number: np.ndarray) -> np.ndarray:
-        z = (total / (number + NEUTRAL)[:, None] + self.bias) / self.temperature
+        z = self.logits(total, number) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def of_counts(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        total = np.array([c @ self.table[ix] for ix, c in rows]).reshape(len(rows), len(self.classes))
-        return self.probabilities(total, np.array([c.sum() for _, c in rows]))
-
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list, buckets: int, dim: int = 16, epochs: int = 8, rate: float = 2.0, seed: int = 7) -> Averaged:
     """Stochastic gradient descent on one text at a time, with a rate that falls to 0, each class weighing the same."""
@@ -115,20 +115,3 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list, buckets: int, d
             bias -= 0.1 * g
             emb[ix] -= np.outer(x, back)
     return Averaged(classes, (emb @ out).astype(np.float32), bias)
-
-
-def calibrated(model: Averaged, rows: list[tuple[np.ndarray, np.ndarray]], labels: list) -> Averaged:
-    """Set the temperature that makes rows outside the training set likeliest."""
-    known = [(r, model.classes.index(x)) for r, x in zip(rows, labels) if x in model.classes]
-    if not known:
-        return model
-    ix = np.arange(len(known)), np.array([k for _, k in known])
-    best = None
-    for t in np.geomspace(0.2, 8, 30):
-        model.temperature = float(t)
-        p = model.of_counts([r for r, _ in known])
-        loss = -np.log(np.maximum(p[ix], 1e-9)).mean()
-        if best is None or loss < best[0]:
-            best = loss, float(t)
-    model.temperature = best[1]
-    return model
